@@ -26,7 +26,8 @@ def query(name: str, sql: str | None = None):
 
 
 def r6(c: Column | str, name: str) -> Column:
-    return F.round(F.col(c) if isinstance(c, str) else c, 6).alias(name)
+    """Six digits; the inner rounding removes noise of summation order at ties."""
+    return F.round(F.round(F.col(c) if isinstance(c, str) else c, 9), 6).alias(name)
 
 
 def us(c: str, name: str | None = None) -> Column:
