@@ -3,14 +3,24 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import asdict, dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aeroquant.operators import folds, metrics, split
+from aeroquant.functions import text
+from aeroquant.operators import enrich, folds, metrics, split
+from aeroquant.operators.boost import BoostedModel, Params, QuantileBoostedTrees
+from aeroquant.operators.preprocess import Preprocessor, fit_preprocessor
+from aeroquant.operators.quantiles import named_quantiles
 from aeroquant.plans.features import QUANTILES
+from aeroquant.schemas import MODEL_NUMERIC
+from aeroquant.session import cut_lineage
 
 POOLED = "all_carriers"
+HOLDOUT = "holdout"
+PRODUCTION = "production"
+CODED = "airline_encoded"
 MIN_ROWS = 500  # fixed value
 
 
@@ -61,3 +71,191 @@ def tier_report(rows: DataFrame, order: Sequence[str], min_rows: int = MIN_ROWS)
         (has_rows & split.feasible(n_folds)).alias("trained"),
         F.when(~has_rows, few).otherwise(split.infeasible_reason(n_folds)).alias("reason"),
     )
+
+
+@dataclass(frozen=True)
+class TrainedTiers:
+    """Everything one training run yields; models of all tiers in one table."""
+
+    model: BoostedModel
+    preprocessor: Preprocessor
+    medians: DataFrame  # route, tier, fit, route_median, n_train
+    report: DataFrame
+    chosen: DataFrame | None = None  # route, tier, quantile, candidate
+
+    KEYS = ("route", "tier", "fit")
+
+    def test_scores(self, fits: str) -> DataFrame:
+        return self.model.scored.where(F.col("fit").rlike(fits) & (F.col("role") == "test"))
+
+    def holdout(self) -> DataFrame:
+        """Metrics of the newest fifth, fitted on the rest."""
+        return metrics.metric_bundle(self.test_scores("^holdout$"), ["route", "tier", "quantile"])
+
+    def backtest(self) -> DataFrame:
+        """Metrics per walk-forward fold."""
+        found = metrics.metric_bundle(self.test_scores("^fold_"), [*self.KEYS, "quantile"])
+        return found.join(self.medians, list(self.KEYS))
+
+    def backtest_score(self) -> DataFrame:
+        return metrics.fold_balanced_score(self.backtest(), ["route", "tier", "quantile"])
+
+    def manifest(self) -> DataFrame:
+        """One row per route, tier and quantile; untrained tiers with the reason."""
+        keys = ["route", "tier", "quantile"]
+        held = self.holdout()
+        held = held.select(*keys, F.struct(*[c for c in held.columns if c not in keys]).alias("holdout"))
+        walked = self.backtest_score()
+        walked = walked.select(*keys, F.struct(*[c for c in walked.columns if c not in keys]).alias("backtest"))
+        levels = F.array(*[F.lit(float(q)) for q in QUANTILES])
+        base = self.report.withColumn("quantile", F.explode(levels))
+        made = self.medians.where(F.col("fit") == PRODUCTION).select("route", "tier", "route_median", "n_train")
+        features = F.array(*[F.lit(c) for c in MODEL_NUMERIC])
+        return (
+            base.join(held, keys, "left").join(walked, keys, "left")
+            .join(made.withColumnRenamed("n_train", "production_rows"), ["route", "tier"], "left")
+            .withColumn("model_features", F.when(
+                F.col("tier") == POOLED, F.concat(features, F.array(F.lit("airline")))).otherwise(features))
+        )
+
+    def score(self, requests: DataFrame, qs: Sequence[float] = QUANTILES) -> DataFrame:
+        """Anomaly and total per request and quantile, falling back to the pool."""
+        trained = self.report.where("trained").select("route", "tier")
+        chosen = enrich.select_tier(requests, trained).where(F.col("tier").isNotNull())
+        levels = F.array(*[F.lit(float(q)) for q in qs])
+        asked = chosen.withColumn("fit", F.lit(PRODUCTION)).withColumn("quantile", F.explode(levels))
+        if self.chosen is not None:
+            asked = asked.join(self.chosen, ["route", "tier", "quantile"])
+        ready = model_inputs(asked, self.preprocessor)
+        scored = self.model.predict(ready, "anomaly").join(self.medians.drop("n_train"), list(self.KEYS), "left")
+        total = F.coalesce("route_median", F.lit(0.0)) + F.col("anomaly")
+        return scored.select(*requests.columns, "tier", "is_fallback", "quantile", "anomaly", "route_median", total.alias("total"))
+
+
+def model_inputs(rows: DataFrame, fitted: Preprocessor) -> DataFrame:
+    """Imputed features, and the carrier code for pooled tiers only."""
+    out = fitted.apply(rows)
+    coded = F.when(F.col("tier") == POOLED, F.col(CODED)).otherwise(F.lit(0.0))
+    return out.withColumn(CODED, coded)
+
+
+def split_tiers(rows: DataFrame, report: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Rows of every trained tier with holdout role and fold segment."""
+    keys = ["route", "tier"]
+    trained = report.where("trained").select(*keys, "n_folds")
+    kept = tiered(rows).join(trained.select(*keys), keys, "left_semi")
+    held = split.chronological_split(kept, keys, order)
+    return split.fold_segments(held, keys, order, trained)
+
+
+def expand_fits(rows: DataFrame, fits: Sequence[str]) -> DataFrame:
+    """A copy of each row for every fit it takes part in, with its role there."""
+    i = F.sequence(F.greatest(F.col("segment"), F.lit(1)), F.col("n_folds").cast("int"))
+    walk = F.transform(i, lambda f: F.struct(
+        F.concat(F.lit("fold_"), f.cast("string")).alias("fit"),
+        F.when(F.col("segment") == f, "test").otherwise("train").alias("role"),
+    ))
+    parts = []
+    if "folds" in fits:
+        parts.append(walk)
+    if HOLDOUT in fits:
+        parts.append(F.array(F.struct(F.lit(HOLDOUT).alias("fit"), F.col("role"))))
+    if PRODUCTION in fits:
+        parts.append(F.array(F.struct(F.lit(PRODUCTION).alias("fit"), F.lit("train").alias("role"))))
+    kept = [c for c in rows.columns if c not in ("role", "segment", "n_folds")]
+    return rows.select(*kept, F.inline(F.concat(*parts)))
+
+
+def fit_instances(instances: DataFrame, order: Sequence[str], qs: Sequence[float], params: Params,
+                  candidates: Sequence[Params] | None, chosen: DataFrame | None, report: DataFrame,
+                  checkpoint_every: int = 10) -> TrainedTiers:
+    """Targets, preprocessing and boosting for all populations together."""
+    keys = list(TrainedTiers.KEYS)
+    train = F.col("role") == "train"
+    found = named_quantiles(instances.where(train), keys, "flight_duration", {"route_median": 0.5})
+    medians = cut_lineage(found.withColumnRenamed("n", "n_train"))
+    rows = enrich.with_anomaly(instances, medians.drop("n_train"), keys).withColumn("y", F.col("anomaly"))
+    rows = cut_lineage(rows.drop("route_median", "anomaly", "flight_duration"))
+    fitted = fit_preprocessor(rows.where(train), keys, MODEL_NUMERIC, "y", qs)
+    fitted = replace(fitted, medians=cut_lineage(fitted.medians), encoding=cut_lineage(fitted.encoding),
+                     fallback=cut_lineage(fitted.fallback))
+    levels = F.array(*[F.lit(float(q)) for q in qs])
+    rows = rows.withColumn("quantile", F.explode(levels))
+    group = [*keys, "quantile"]
+    if candidates:
+        rows = rows.join(chosen, ["route", "tier", "quantile"])
+        group.append("candidate")
+    model = QuantileBoostedTrees([*MODEL_NUMERIC, CODED], group, qs, list(order), params, candidates,
+                                 checkpoint_every=checkpoint_every)
+    used = [*group, "role", "y", "airline", *order, *MODEL_NUMERIC, CODED]
+    ready = model_inputs(rows, fitted).select(*dict.fromkeys(used))
+    return TrainedTiers(model.fit(ready), fitted, medians, report, chosen)
+
+
+def train_tiers(rows: DataFrame, order: Sequence[str], qs: Sequence[float] = QUANTILES, params: Params = Params(),
+                fits: Sequence[str] = ("folds", "holdout", "production"), min_rows: int = MIN_ROWS,
+                candidates: Sequence[Params] | None = None, chosen: DataFrame | None = None,
+                checkpoint_every: int = 10) -> TrainedTiers:
+    """Train pooled and carrier tiers of every route.
+
+    ``rows`` are clean training rows with the model columns; ``order`` identifies
+    a row within a route and starts with the time.
+    """
+    report = cut_lineage(tier_report(rows, order, min_rows))
+    used = list(dict.fromkeys(["route", "airline", "flight_duration", *order, *MODEL_NUMERIC]))
+    split_rows = cut_lineage(split_tiers(rows.select(*used), report, order))
+    instances = expand_fits(split_rows, fits)
+    return fit_instances(instances, order, qs, params, candidates, chosen, report, checkpoint_every)
+
+
+def tune_tiers(rows: DataFrame, order: Sequence[str], candidates: Sequence[Params], qs: Sequence[float] = QUANTILES,
+               min_rows: int = MIN_ROWS, checkpoint_every: int = 10) -> DataFrame:
+    """Best candidate per route, tier and quantile.
+
+    Candidates are scored over walk-forward folds of the training part only; the
+    holdout is never seen.
+    """
+    keys = ["route", "tier"]
+    report = cut_lineage(tier_report(rows, order, min_rows))
+    trained = report.where("trained").select(*keys, "n_folds")
+    used = list(dict.fromkeys(["route", "airline", "flight_duration", *order, *MODEL_NUMERIC]))
+    kept = tiered(rows.select(*used)).join(trained.select(*keys), keys, "left_semi")
+    train = split.chronological_split(kept, keys, order).where(F.col("role") == "train")
+    segments = cut_lineage(split.fold_segments(train, keys, order, trained))
+    numbers = F.array(*[F.lit(i) for i in range(len(candidates))])
+    levels = F.array(*[F.lit(float(q)) for q in qs])
+    every = trained.select(*keys, F.explode(levels).alias("quantile")).withColumn("candidate", F.explode(numbers))
+    run = fit_instances(expand_fits(segments, ["folds"]), order, qs, Params(), candidates, every, report, checkpoint_every)
+    found = metrics.metric_bundle(run.test_scores("^fold_"), [*TrainedTiers.KEYS, "quantile", "candidate"])
+    scores = metrics.fold_balanced_score(found, [*keys, "quantile", "candidate"])
+    return metrics.best_candidate(scores, [*keys, "quantile"])
+
+
+def append_tuning_history(best: DataFrame, path: str, candidates: Sequence[Params]) -> None:
+    """Append one tuning run with its parameters; earlier runs stay."""
+    spark = best.sparkSession
+    table = spark.createDataFrame([(i, asdict(p)) for i, p in enumerate(candidates)], "candidate int, params map<string,double>")
+    rows = best.join(F.broadcast(table), "candidate", "left").withColumn("completed_at_utc", F.current_timestamp())  # one row per candidate
+    rows.write.mode("append").parquet(path)
+
+
+def nested_manifest(manifest: DataFrame, model_root: str) -> DataFrame:
+    """The long table as one document per route, as the dashboard reads it."""
+    where = F.concat(F.lit(model_root + "/"), text.route_to_key(F.col("route")), F.lit("/"), F.col("tier"))
+    production = F.struct(
+        F.concat(where, F.lit("/models")).alias("model_path"),
+        F.concat(where, F.lit("/preprocessing")).alias("preprocessing_path"),
+    )
+    # quantiles per tier are three, tiers per route are its carriers
+    tiers = manifest.groupBy("route", "tier").agg(
+        F.max("trained").alias("trained"), F.max("n_rows").alias("n_rows"), F.max("reason").alias("reason"),
+        F.map_from_entries(F.collect_list(F.struct(
+            F.col("quantile").cast("string"), F.struct(production.alias("production"), F.col("n_rows"))))).alias("quantiles"),
+    )
+    entry = F.struct("trained", "n_rows", "reason", "quantiles")
+    is_pooled = F.col("tier") == POOLED
+    carriers = F.map_from_entries(F.collect_list(F.when(~is_pooled, F.struct("tier", entry))))
+    return tiers.groupBy("route").agg(
+        F.max_by(F.when(is_pooled, entry), is_pooled.cast("int")).alias("all_carriers"),
+        F.struct(carriers.alias("carriers")).alias("by_carrier"),
+    )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,7 +52,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise in the shared folder, so a lost executor costs no recompute."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut_lineage(df: DataFrame, slot: str | None = None) -> DataFrame:
+    """Write to the shared folder and read back.
+
+    A lost executor then costs no recompute, and the plan that follows knows the
+    true size of the table, which decides its joins. A loop passes alternating
+    ``slot`` names, so that it keeps two copies and not one per step.
+    """
+    path = f"{checkpoint_dir(df.sparkSession)}/aeroquant/{slot or uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aeroquant.schemas import STAGE_STATS_SCHEMA
-from aeroquant.session import checkpoint_dir
+from aeroquant.session import cut_lineage
 
 
 def write_partitions(df: DataFrame, path: str, by: list[str], rows_per_file: int = 20_000_000) -> None:
@@ -31,17 +29,6 @@ def replace_table(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
-def stage(df: DataFrame) -> DataFrame:
-    """Write to the shared folder and read back.
-
-    Needed before overwriting a table the frame itself reads from.
-    """
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/stage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def stage_stats(df: DataFrame, name: str, order: list[str], extra: str | None = None) -> DataFrame:
     """One row describing a stage: size, columns, null rates, three sample rows.
 
@@ -98,7 +85,7 @@ def load_stage_stats(spark: SparkSession, path: str) -> DataFrame:
 def record_stage_stats(df: DataFrame, name: str, path: str, order: list[str], extra: str | None = None) -> None:
     """Upsert one stage into the log at ``path``."""
     spark = df.sparkSession
-    merged = stage(upsert_stage_stats(load_stage_stats(spark, path), stage_stats(df, name, order, extra)))
+    merged = cut_lineage(upsert_stage_stats(load_stage_stats(spark, path), stage_stats(df, name, order, extra)))
     merged.coalesce(1).write.mode("overwrite").json(path)
 
 
