@@ -14,7 +14,7 @@ from aeroquant.schemas import FLIGHT_SCHEMA, WEATHER, WEATHER_SCHEMA
 
 # a chunk file name ends in a date before its suffix (fixed pattern)
 NAME_DATE = r"(\d{4}-\d{2}-\d{2})\.parquet$"
-FIRST_DATE = r"_(\d{4}-\d{2}-\d{2})"
+FIRST_DATE = r"arrivals_[A-Z0-9]+_(\d{4}-\d{2}-\d{2})"
 
 # arrival records as they land: times are epoch seconds
 ARRIVAL_SCHEMA = T.StructType([
@@ -103,10 +103,9 @@ def inspect_chunks(inventory: DataFrame) -> DataFrame:
     )
 
 
-def with_file_date(df: DataFrame) -> DataFrame:
-    """Add ``flight_date``, the first date in the name of the source file."""
-    name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
-    found = F.nullif(F.regexp_extract(name, FIRST_DATE, 1), F.lit(""))
+def with_file_date(df: DataFrame, pattern: str = FIRST_DATE) -> DataFrame:
+    """Add ``flight_date``, the date in the path of the source file."""
+    found = F.nullif(F.regexp_extract(F.col("_metadata.file_path"), pattern, 1), F.lit(""))
     return df.withColumn("flight_date", found).where(F.col("flight_date").isNotNull())
 
 

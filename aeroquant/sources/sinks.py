@@ -39,7 +39,7 @@ def stage_stats(df: DataFrame, name: str, order: list[str], extra: str | None =
         F.count("*").alias("n_rows"),
         *[F.round(F.avg(F.col(c).isNull().cast("int")) * 100, 1).alias(c) for c in columns],
     )
-    rates = F.map_from_entries(F.array(*[F.struct(F.lit(c), F.col(c)) for c in columns]))
+    rates = F.map_from_entries(F.array(*[F.struct(F.lit(c).alias("k"), F.col(c).alias("v")) for c in columns]))
     as_text = F.to_json(F.struct(*[F.col(c).cast("string").alias(c) for c in columns]))
     row = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(order)], as_text.alias("row"))
     as_map = lambda r: F.from_json(r["row"], "map<string,string>")
