@@ -109,7 +109,10 @@ def encode(df: DataFrame, mapping: DataFrame, fallback: DataFrame, keys: Sequenc
     m = mapping.select(*keys, column, F.col(value).alias("_mapped"))
     f = fallback.select(*keys, F.col(value).alias("_fallback"))
     joined = df.join(m, [*keys, column], "left")
-    joined = joined.join(f, list(keys), "left") if keys else joined.join(F.broadcast(f), F.lit(True), "left")  # one row
+    if keys:
+        joined = joined.join(f, list(keys), "left")
+    else:
+        joined = joined.withColumn("_fallback", f.scalar())
     return joined.withColumn(name, F.coalesce("_mapped", "_fallback")).drop("_mapped", "_fallback")
 
 

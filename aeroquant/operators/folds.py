@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aeroquant.operators.quantiles import quantiles_of_counts, value_counts
+from aeroquant.session import settle
 
 
 def train_counts(segmented: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -32,7 +33,7 @@ def train_quantiles(segmented: DataFrame, keys: Sequence[str], value: str, qs: S
 
 def train_medians(segmented: DataFrame, keys: Sequence[str], value: str, name: str = "train_median") -> DataFrame:
     found = train_quantiles(segmented, keys, value, [0.5])
-    return found.select(*keys, "fold", F.col("n").alias("n_train"), F.col("q")[0].alias(name))
+    return settle(found.select(*keys, "fold", F.col("n").alias("n_train"), F.col("q")[0].alias(name)))
 
 
 def test_rows(segmented: DataFrame) -> DataFrame:

@@ -52,7 +52,7 @@ def metric_bundle(df: DataFrame, keys: Sequence[str], y: str = "y", p: str = "pr
         F.avg(pc - yc).alias("mean_error"),
     )
     middle = medians(df.withColumn("_abs", F.abs(pc - yc)), keys, "_abs", "medae").drop("n")
-    joined = base.join(middle, list(keys)) if keys else base.join(F.broadcast(middle), F.lit(True))  # one row each
+    joined = base.join(middle, list(keys)) if keys else base.withColumn("medae", middle.scalar())
     gap = F.abs(F.col("_cov") - F.col("_q"))
     return joined.select(
         *keys, "n_eval", "pinball_loss",

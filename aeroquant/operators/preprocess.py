@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from aeroquant.functions import numbers
 from aeroquant.operators.enrich import encode
 from aeroquant.operators.quantiles import column_medians, quantiles_of_counts, value_counts
+from aeroquant.session import settle
 
 
 @dataclass(frozen=True)
@@ -25,13 +26,13 @@ class Preprocessor:
 
     def impute(self, df: DataFrame) -> DataFrame:
         """Missing values take the training median, or 0 where there is none."""
-        stats = self.medians.select(*self.keys, *[F.col(c).alias(f"_m_{c}") for c in self.columns])
+        stats = self.medians.select(*self.keys, F.struct(*self.columns).alias("_m"))
         if self.keys:
             joined = df.join(stats, list(self.keys), "left")
         else:
-            joined = df.join(F.broadcast(stats), F.lit(True), "left")  # a single row
-        filled = {c: numbers.impute(F.col(c), F.col(f"_m_{c}")) for c in self.columns}
-        return joined.withColumns(filled).drop(*[f"_m_{c}" for c in self.columns])
+            joined = df.withColumn("_m", stats.scalar())
+        filled = {c: numbers.impute(F.col(c), F.col("_m")[c]) for c in self.columns}
+        return joined.withColumns(filled).drop("_m")
 
     def encode(self, df: DataFrame, name: str = "airline_encoded") -> DataFrame:
         """Carrier to its training quantile; needs the quantile column."""
@@ -46,7 +47,7 @@ def fit_medians(train: DataFrame, keys: Sequence[str], columns: Sequence[str]) -
     """One row per population, one column per feature."""
     tall = column_medians(train, keys, columns)
     wide = [F.max(F.when(F.col("column") == c, F.col("median"))).alias(c) for c in columns]
-    return tall.groupBy(*keys).agg(*wide) if keys else tall.agg(*wide)
+    return settle(tall.groupBy(*keys).agg(*wide) if keys else tall.agg(*wide))
 
 
 def _by_quantile(found: DataFrame, keys: Sequence[str], qs: Sequence[float]) -> DataFrame:
@@ -60,8 +61,8 @@ def fit_encoding(train: DataFrame, keys: Sequence[str], y: str, qs: Sequence[flo
     per_carrier = value_counts(train, [*keys, "airline"], y)
     overall = value_counts(train, keys, y)
     return (
-        _by_quantile(quantiles_of_counts(per_carrier, [*keys, "airline"], qs), [*keys, "airline"], qs),
-        _by_quantile(quantiles_of_counts(overall, keys, qs), keys, qs),
+        settle(_by_quantile(quantiles_of_counts(per_carrier, [*keys, "airline"], qs), [*keys, "airline"], qs)),
+        settle(_by_quantile(quantiles_of_counts(overall, keys, qs), keys, qs)),
     )
 
 

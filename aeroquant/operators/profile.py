@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from aeroquant.operators.quantiles import exact_quantiles, melt
+from aeroquant.session import settle
 
 
 def null_rates(df: DataFrame) -> DataFrame:
@@ -88,15 +89,18 @@ def histogram(df: DataFrame, keys: Sequence[str], value: str, bins: int) -> Data
     without rows are absent.
     """
     present = df.where(F.col(value).isNotNull() & ~F.isnan(value)).select(*keys, F.col(value).alias("v"))
-    # equal values are counted first, so both steps run on the shrunken table
-    counts = present.groupBy(*keys, "v").agg(F.count("*").alias("c"))
-    ends = counts.groupBy(*keys).agg(F.min("v").alias("low"), F.max("v").alias("high"))
-    bucket = F.least(F.width_bucket("v", F.col("low"), F.col("high"), F.lit(bins)), F.lit(bins))
-    joined = counts.join(ends, list(keys)) if keys else counts.join(F.broadcast(ends), F.lit(True))  # one row
+    span = F.struct(F.min("v").alias("low"), F.max("v").alias("high"))
+    if keys:
+        ends = settle(present.groupBy(*keys).agg(span.alias("e")))
+        joined = present.join(ends, list(keys))
+    else:
+        joined = present.withColumn("e", present.agg(span).scalar())
+    low, high = F.col("e")["low"], F.col("e")["high"]
+    bucket = F.least(F.width_bucket("v", low, high, F.lit(bins)), F.lit(bins))
     return (
-        joined.withColumn("bin", F.when(F.col("low") == F.col("high"), F.lit(1)).otherwise(bucket).cast("int"))
+        joined.withColumn("bin", F.when(low == high, F.lit(1)).otherwise(bucket).cast("int"))
         .groupBy(*keys, "bin")
-        .agg(F.sum("c").cast("bigint").alias("n"), F.max("low").alias("low"), F.max("high").alias("high"))
+        .agg(F.count("*").alias("n"), F.max(low).alias("low"), F.max(high).alias("high"))
     )
 
 

@@ -163,8 +163,8 @@ def qcut_edges(df: DataFrame, value: str, bins: int) -> DataFrame:
     """One row: the distinct edges of equal-count bins, and the distinct count."""
     counts = value_counts(df, [], value)
     qs = [i / bins for i in range(bins + 1)]
-    edges = quantiles_of_counts(counts, [], qs).select(F.array_distinct("q").alias("edges"))
-    return edges.join(counts.agg(F.count("*").alias("n_distinct")), F.lit(True), "left")
+    n_distinct = counts.agg(F.count("*")).scalar()
+    return quantiles_of_counts(counts, [], qs).select(F.array_distinct("q").alias("edges"), n_distinct.alias("n_distinct"))
 
 
 def qcut(df: DataFrame, value: str, bins: int = 6, max_raw: int = 10) -> DataFrame:
@@ -174,13 +174,13 @@ def qcut(df: DataFrame, value: str, bins: int = 6, max_raw: int = 10) -> DataFra
     ``bin`` is null and ``raw`` holds the value.
     """
     v = F.col(value).cast("double")
-    facts = F.broadcast(qcut_edges(df, value, bins))  # a single row
-    inner = F.slice("edges", 2, F.greatest(F.size("edges") - 2, F.lit(0)))
-    few = F.col("n_distinct") <= max_raw
+    facts = qcut_edges(df, value, bins).select(F.struct("edges", "n_distinct")).scalar()
+    edges, few = F.col("_facts")["edges"], F.col("_facts")["n_distinct"] <= max_raw
+    inner = F.slice(edges, 2, F.greatest(F.size(edges) - 2, F.lit(0)))
     bin_no = F.size(F.filter(inner, lambda edge: edge < v))
     return (
-        df.join(facts, F.lit(True), "left")
+        df.withColumn("_facts", facts)
         .withColumn("bin", F.when(~few & v.isNotNull(), bin_no))
         .withColumn("raw", F.when(few, v))
-        .drop("edges", "n_distinct")
+        .drop("_facts")
     )

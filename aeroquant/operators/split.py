@@ -8,11 +8,13 @@ segment by comparing its own key with the boundary keys; nothing else moves.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from aeroquant.session import settle
+
 # share of the newest rows held out, as an exact fraction (fixed value)
 TEST_PARTS, ALL_PARTS = 1, 5
 MIN_COMPLETE_YEARS = 2
@@ -26,31 +28,30 @@ def order_key(order: Sequence[str]) -> Column:
     return F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
 
 
+def hour_counts(df: DataFrame, keys: Sequence[str], time: str) -> DataFrame:
+    """Rows per population and hour, with the rows before; small and stored."""
+    w = Window.partitionBy(*keys).orderBy("h").rowsBetween(Window.unboundedPreceding, 0)
+    counts = df.groupBy(*keys, F.date_trunc("hour", F.col(time)).alias("h")).agg(F.count("*").alias("size"))
+    return settle(counts.withColumn("before", F.sum("size").over(w) - F.col("size")))
+
+
 def boundary_keys(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], ranks: DataFrame
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], hours: DataFrame, ranks: DataFrame
 ) -> DataFrame:
     """Order key at each wanted zero-based rank: keys, ``rank``, ``key``.
 
     ``ranks`` has the keys and an array column ``ranks``. ``order`` starts with
     the time column and must identify a row; copies across a boundary fail.
     """
-    hour = F.date_trunc("hour", F.col(order[0]))
-    keyed = df.select(*keys, hour.alias("h"), order_key(order).alias("key"))
-    w = Window.partitionBy(*keys).orderBy("h")
-    hours = (
-        keyed.groupBy(*keys, "h").agg(F.count("*").alias("size"))
-        .withColumn("before", F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
-    )
-    hit = (
-        hours.join(ranks, list(keys))
-        .withColumn(
-            "picks",
-            F.filter("ranks", lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col("size"))),
-        )
+    inside = lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col("size"))
+    hit = settle(
+        hours.join(ranks.select(*keys, "ranks"), list(keys))
+        .withColumn("picks", F.filter("ranks", inside))
         .where(F.size("picks") > 0)
         .select(*keys, "h", "before", "picks")
     )
     on = [*keys, "h"]
+    keyed = df.select(*keys, F.date_trunc("hour", F.col(order[0])).alias("h"), order_key(order).alias("key"))
     w = Window.partitionBy(*on).orderBy("key").rowsBetween(Window.unboundedPreceding, 0)
     # copies are counted first, so a hot group of them is one row here
     ordered = (
@@ -67,19 +68,23 @@ def boundary_keys(
 
 
 def assign_segments(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], ranks: DataFrame, name: str = "segment"
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], ranks_of: Callable[[DataFrame], DataFrame],
+    name: str = "segment",
 ) -> DataFrame:
     """Add how many boundary ranks lie at or before each row (0 to len(ranks)).
 
-    Rows of populations without ranks are dropped.
+    ``ranks_of`` turns the population sizes (keys, ``n``) into ``ranks``; further
+    columns it returns are added to the rows. Populations it leaves out are
+    dropped. The rows themselves are only joined with one small table.
     """
-    bounds = (
-        boundary_keys(df, keys, order, ranks)
-        .groupBy(*keys)
-        .agg(F.collect_list("key").alias("bounds"))
-    )
+    keys = list(keys)
+    hours = hour_counts(df, keys, order[0])
+    ranks = ranks_of(hours.groupBy(*keys).agg(F.sum("size").alias("n")))
+    extra = [c for c in ranks.columns if c not in (*keys, "ranks")]
+    bounds = boundary_keys(df, keys, order, hours, ranks).groupBy(*keys).agg(F.collect_list("key").alias("bounds"))
+    bounds = settle(bounds.join(ranks.select(*keys, *extra), keys))
     return (
-        df.join(bounds, list(keys))
+        df.join(bounds, keys)
         .withColumn(name, F.size(F.filter("bounds", lambda b: b <= order_key(order))))
         .drop("bounds")
     )
@@ -101,10 +106,8 @@ def chronological_split(df: DataFrame, keys: Sequence[str], order: Sequence[str]
     """
     cut = split_rank(F.col("n"))
     small = F.raise_error(F.lit("population too small for a chronological split")).cast("bigint")
-    ranks = population_sizes(df, keys).select(
-        *keys, F.array(F.when((cut > 0) & (cut < F.col("n")), cut).otherwise(small)).alias("ranks")
-    )
-    marked = assign_segments(df, keys, order, ranks, "_segment")
+    rank = F.when((cut > 0) & (cut < F.col("n")), cut).otherwise(small)
+    marked = assign_segments(df, keys, order, lambda sizes: sizes.select(*keys, F.array(rank).alias("ranks")), "_segment")
     return marked.withColumn("role", F.when(F.col("_segment") == 0, "train").otherwise("test")).drop("_segment")
 
 
@@ -147,18 +150,19 @@ def fold_ranks(sizes: DataFrame, keys: Sequence[str]) -> DataFrame:
     k, n = F.col("n_folds").cast("bigint"), F.col("n")
     size = F.floor(n / (k + 1)).cast("bigint")
     starts = F.transform(F.sequence(F.lit(0).cast("bigint"), k - 1), lambda i: n - (k - i) * size)
-    return sizes.where(size > 0).select(*keys, starts.alias("ranks"))
+    return sizes.where((F.col("n_folds") > 0) & (size > 0)).select(*keys, "n_folds", starts.alias("ranks"))
 
 
 def fold_segments(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], folds: DataFrame
 ) -> DataFrame:
-    """Add ``segment`` and ``n_folds``; fold i tests segment i + 1 and trains on
+    """Add ``segment`` and ``n_folds``; fold i tests segment i and trains on
     every earlier one. ``folds`` has the keys and ``n_folds``.
     """
-    sizes = population_sizes(df, keys).join(folds.select(*keys, "n_folds"), list(keys))
-    marked = assign_segments(df, keys, order, fold_ranks(sizes, keys))
-    return marked.join(folds.select(*keys, "n_folds"), list(keys))
+    counted = folds.select(*keys, "n_folds")
+    return assign_segments(
+        df, keys, order, lambda sizes: fold_ranks(sizes.join(counted, list(keys)), keys)
+    )
 
 
 def expand_folds(segmented: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from aeroquant.plans import features as plan
 from aeroquant.plans.basics import JOINED, joined, sane
 from aeroquant.plans.registry import FLIGHTS, HISTORY, WEATHER_V, day, query, r6, us
 from aeroquant.schemas import ARR_WEATHER, DEP_WEATHER
+from aeroquant.session import settle
 from aeroquant.sources import tables
 
 MIN_CARRIER_ROWS = 500  # fixed value
@@ -88,7 +89,7 @@ select event_id, round(coalesce(m.v, (select v from g)), 6) as encoded from sane
 def target_encode(spark, sf_dir):
     rows = sane(spark, sf_dir)
     train = rows.where(F.col("airline") != "CLI")
-    mapping = quantiles.named_quantiles(train, ["airline"], "flight_duration", {"v": 0.9})
+    mapping = settle(quantiles.named_quantiles(train, ["airline"], "flight_duration", {"v": 0.9}))
     fallback = quantiles.named_quantiles(train, [], "flight_duration", {"v": 0.9})
     return enrich.encode(rows, mapping, fallback, [], "airline", "v", "encoded").select("event_id", r6("encoded", "encoded"))
 
@@ -162,7 +163,7 @@ def airline_quantiles(spark, sf_dir):
     )
     a, b = per(["airline"])
     g, p = per([])
-    overall = g.join(F.broadcast(p), F.lit(True)).withColumn("airline", F.lit("fallback"))  # one row each
+    overall = g.withColumn("price95", p.scalar()).withColumn("airline", F.lit("fallback"))
     both = a.join(b, "airline").unionByName(overall)
     return both.select("airline", *[r6(c, c) for c in ("p50", "p90", "price95")])
 
@@ -291,11 +292,9 @@ from v join e using (g) group by 1, 2"""
 
 def transformed(spark, sf_dir):
     h = tables.history(spark, sf_dir)
-    middle = quantiles.medians(h, [], "flight_duration", "med").select("med")
-    anomaly = F.col("flight_duration") - F.col("med")
-    return h.join(F.broadcast(middle), F.lit(True)).withColumn(  # a single row
-        "v", numbers.signed_log(numbers.clip(anomaly, -60, 60))
-    )
+    middle = quantiles.medians(h, [], "flight_duration", "med").select("med").scalar()
+    anomaly = F.col("flight_duration") - middle
+    return h.withColumn("anomaly", anomaly).withColumn("v", numbers.signed_log(numbers.clip(F.col("anomaly"), -60, 60)))
 
 
 @query("histogram_by_month", _histogram_sql("month", 50))
@@ -402,7 +401,7 @@ def scored(spark, sf_dir):
     cut = F.lit("2024-01-20").cast("timestamp")
     fitted = quantiles.exact_quantiles(rows.where(F.col("firstSeen") < cut), ["airline"], "flight_duration", plan.QUANTILES)
     qs = F.array(*[F.lit(q) for q in plan.QUANTILES])
-    per_q = fitted.select("airline", F.inline(F.arrays_zip(qs.alias("quantile"), F.col("q").alias("prediction"))))
+    per_q = settle(fitted.select("airline", F.inline(F.arrays_zip(qs.alias("quantile"), F.col("q").alias("prediction")))))
     later = rows.where(F.col("firstSeen") >= cut).select("event_id", "airline", F.col("flight_duration").alias("y"))
     return later.join(per_q, "airline")
 

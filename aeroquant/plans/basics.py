@@ -9,6 +9,7 @@ from aeroquant.operators import clean, gates, profile, quantiles
 from aeroquant.plans import features as plan
 from aeroquant.plans.registry import FLIGHTS, HISTORY, WEATHER_V, day, query, r6, us
 from aeroquant.schemas import FLIGHT_KEY, model_features
+from aeroquant.session import settle
 from aeroquant.sources import landed, tables
 
 AIRPORT_LIST = "(['click','error','purchase','signup','view'])"
@@ -381,10 +382,9 @@ def impute_apply(spark, sf_dir):
     e = tables.table(spark, sf_dir, "events").select(
         "event_id", F.when(F.col("event_id") % 5 != 0, F.col("value")).alias("value"), F.lit(float("nan")).alias("never")
     )
-    fitted = quantiles.medians(e, [], "value", "med").select("med")
-    joined_ = e.join(F.broadcast(fitted), F.lit(True), "left")  # a single row
-    return joined_.select(
-        "event_id", r6(numbers.impute(F.col("value"), F.col("med")), "value"),
+    fitted = quantiles.medians(e, [], "value", "med").select("med").scalar()
+    return e.select(
+        "event_id", r6(numbers.impute(F.col("value"), fitted), "value"),
         numbers.impute(F.col("never"), F.lit(None).cast("double")).alias("never"),
     )
 
@@ -396,7 +396,7 @@ select event_id, cast(round_even(med + (flight_duration - med), 0) as bigint) as
 from sane join m using (route)""")
 def buffer_minutes(spark, sf_dir):
     s = sane(spark, sf_dir)
-    with_median = s.join(quantiles.medians(s, ["route"], "flight_duration", "med"), "route")
+    with_median = s.join(settle(quantiles.medians(s, ["route"], "flight_duration", "med")), "route")
     card = numbers.buffer_card(F.col("med"), F.col("flight_duration") - F.col("med"))
     return with_median.select("event_id", *[c.alias(n) for n, c in card.items()])
 

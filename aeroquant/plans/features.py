@@ -11,6 +11,7 @@ from aeroquant.schemas import (
     FEATURE_SCHEMA, FEATURES, FLIGHT_KEY, REQUIRED_FLIGHT, TRAINING_REQUIRED, WEATHER, conform, require_columns,
 )
 from aeroquant.operators.quantiles import named_quantiles, quantiles_of_counts, value_counts
+from aeroquant.session import settle
 from aeroquant.sources import sinks
 
 
@@ -88,7 +89,10 @@ def baseline_quantiles(trips: DataFrame, route: list[str], carrier: str = "airli
     all_rows = value_counts(trips, route, "flight_duration")
     medians = quantiles_of_counts(all_rows, route, [0.5]).select(*route, F.col("q")[0].alias("route_median"))
     per_carrier = quantiles_of_counts(fine, [*route, carrier], QUANTILES)
-    joined = per_carrier.join(medians, route) if route else per_carrier.join(F.broadcast(medians), F.lit(True))
+    if route:
+        joined = per_carrier.join(medians, route)
+    else:
+        joined = per_carrier.withColumn("route_median", medians.scalar())
     return joined.select(
         *route, carrier, "n", "route_median",
         *[(F.col("q")[i] - F.col("route_median")).alias(f"p{round(q * 100)}") for i, q in enumerate(QUANTILES)],
@@ -96,4 +100,4 @@ def baseline_quantiles(trips: DataFrame, route: list[str], carrier: str = "airli
 
 
 def route_medians(rows: DataFrame, keys: list[str]) -> DataFrame:
-    return named_quantiles(rows, keys, "flight_duration", {"route_median": 0.5}).drop("n")
+    return settle(named_quantiles(rows, keys, "flight_duration", {"route_median": 0.5}).drop("n"))

@@ -10,7 +10,7 @@ from aeroquant.plans import training
 from aeroquant.plans.analysis import METRICS_SQL
 from aeroquant.plans.basics import sane
 from aeroquant.plans.registry import FLIGHTS, HISTORY, HISTORY_ORDER_SQL, query, r6, us
-from aeroquant.session import cut_lineage
+from aeroquant.session import cut_lineage, settle
 from aeroquant.sources import tables
 
 K = 3  # folds of the fixed-fold queries
@@ -30,7 +30,7 @@ foldrows as (select seg.*, f.fold, case when segment = f.fold then 'test' else '
 
 def segmented(spark, sf_dir):
     h = tables.history(spark, sf_dir)
-    k = split.population_sizes(h, ["airline"]).select("airline", F.lit(K).alias("n_folds"))
+    k = settle(h.select("airline").distinct().withColumn("n_folds", F.lit(K)))
     # read by several branches below, so cut once
     return cut_lineage(split.fold_segments(h, ["airline"], tables.HISTORY_ORDER, k))
 
@@ -88,7 +88,7 @@ select cast(y.fold as int) as fold, airline, role, count(*) as n, round(sum(coal
 from y left join m using (fold, airline) join g on g.fold = y.fold group by y.fold, airline, role""")
 def fold_target_encode(spark, sf_dir):
     h = tables.history(spark, sf_dir)
-    k = split.population_sizes(h, ["route"]).select("route", F.lit(K).alias("n_folds"))
+    k = settle(h.select("route").distinct().withColumn("n_folds", F.lit(K)))
     s = cut_lineage(split.fold_segments(h, ["route"], tables.HISTORY_ORDER, k))
     medians = folds.train_medians(s, ["route"], "flight_duration")
     rows = enrich.with_anomaly(split.expand_folds(s), medians, ["route", "fold"], "train_median")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import asdict, dataclass, replace
+from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +15,7 @@ from aeroquant.operators.preprocess import Preprocessor, fit_preprocessor
 from aeroquant.operators.quantiles import named_quantiles
 from aeroquant.plans.features import QUANTILES
 from aeroquant.schemas import MODEL_NUMERIC
-from aeroquant.session import cut_lineage
+from aeroquant.session import cut_lineage, settle
 
 POOLED = "all_carriers"
 HOLDOUT = "holdout"
@@ -38,7 +38,7 @@ def walkforward_baseline(segmented: DataFrame, keys: Sequence[str], qs: Sequence
         F.inline(F.arrays_zip(names.alias("quantile"), shifted.alias("prediction"))),
     )
     tested = folds.test_rows(segmented).select(*keys, "fold", "flight_duration")
-    scored = tested.join(per_q, [*keys, "fold"]).withColumn("y", F.col("flight_duration") - F.col("train_median"))
+    scored = tested.join(settle(per_q), [*keys, "fold"]).withColumn("y", F.col("flight_duration") - F.col("train_median"))
     return metrics.metric_bundle(scored, [*keys, "fold", "quantile"])
 
 
@@ -56,7 +56,7 @@ def tier_report(rows: DataFrame, order: Sequence[str], min_rows: int = MIN_ROWS)
     keys = ["route", "tier"]
     all_rows = tiered(rows)
     sizes = split.population_sizes(all_rows, keys).withColumnRenamed("n", "n_rows")
-    enough = sizes.where(F.col("n_rows") >= min_rows).select(*keys)
+    enough = settle(sizes.where(F.col("n_rows") >= min_rows).select(*keys))
     # only tiers with enough rows are split, so small ones cannot fail the job
     kept = all_rows.select(*keys, *order).join(enough, keys, "left_semi")
     train = split.chronological_split(kept, keys, order).where(F.col("role") == "train")
@@ -173,12 +173,10 @@ def fit_instances(instances: DataFrame, order: Sequence[str], qs: Sequence[float
     keys = list(TrainedTiers.KEYS)
     train = F.col("role") == "train"
     found = named_quantiles(instances.where(train), keys, "flight_duration", {"route_median": 0.5})
-    medians = cut_lineage(found.withColumnRenamed("n", "n_train"))
+    medians = settle(found.withColumnRenamed("n", "n_train"))
     rows = enrich.with_anomaly(instances, medians.drop("n_train"), keys).withColumn("y", F.col("anomaly"))
     rows = cut_lineage(rows.drop("route_median", "anomaly", "flight_duration"))
     fitted = fit_preprocessor(rows.where(train), keys, MODEL_NUMERIC, "y", qs)
-    fitted = replace(fitted, medians=cut_lineage(fitted.medians), encoding=cut_lineage(fitted.encoding),
-                     fallback=cut_lineage(fitted.fallback))
     levels = F.array(*[F.lit(float(q)) for q in qs])
     rows = rows.withColumn("quantile", F.explode(levels))
     group = [*keys, "quantile"]
@@ -201,7 +199,7 @@ def train_tiers(rows: DataFrame, order: Sequence[str], qs: Sequence[float] = QUA
     ``rows`` are clean training rows with the model columns; ``order`` identifies
     a row within a route and starts with the time.
     """
-    report = cut_lineage(tier_report(rows, order, min_rows))
+    report = settle(tier_report(rows, order, min_rows))
     used = list(dict.fromkeys(["route", "airline", "flight_duration", *order, *MODEL_NUMERIC]))
     split_rows = cut_lineage(split_tiers(rows.select(*used), report, order))
     instances = expand_fits(split_rows, fits)
@@ -216,7 +214,7 @@ def tune_tiers(rows: DataFrame, order: Sequence[str], candidates: Sequence[Param
     holdout is never seen.
     """
     keys = ["route", "tier"]
-    report = cut_lineage(tier_report(rows, order, min_rows))
+    report = settle(tier_report(rows, order, min_rows))
     trained = report.where("trained").select(*keys, "n_folds")
     used = list(dict.fromkeys(["route", "airline", "flight_duration", *order, *MODEL_NUMERIC]))
     kept = tiered(rows.select(*used)).join(trained.select(*keys), keys, "left_semi")

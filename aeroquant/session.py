@@ -62,3 +62,13 @@ def cut_lineage(df: DataFrame, slot: str | None = None) -> DataFrame:
     path = f"{checkpoint_dir(df.sparkSession)}/aeroquant/{slot or uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def settle(small: DataFrame) -> DataFrame:
+    """Store a small derived table before joining a large one with it.
+
+    Spark cannot tell the size of an aggregate in advance, so it would shuffle the
+    large side too. Once stored, the size is known: below the broadcast threshold
+    of the session the table is broadcast, above it the join shuffles.
+    """
+    return cut_lineage(small)
