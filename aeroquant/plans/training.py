@@ -232,7 +232,7 @@ def tune_tiers(rows: DataFrame, order: Sequence[str], candidates: Sequence[Param
 def append_tuning_history(best: DataFrame, path: str, candidates: Sequence[Params]) -> None:
     """Append one tuning run with its parameters; earlier runs stay."""
     spark = best.sparkSession
-    table = spark.createDataFrame([(i, asdict(p)) for i, p in enumerate(candidates)], "candidate int, params map<string,double>")
+    table = spark.createDataFrame([(i, {k: float(v) for k, v in asdict(p).items()}) for i, p in enumerate(candidates)], "candidate int, params map<string,double>")
     rows = best.join(F.broadcast(table), "candidate", "left").withColumn("completed_at_utc", F.current_timestamp())  # one row per candidate
     rows.write.mode("append").parquet(path)
 

@@ -140,12 +140,8 @@ def inline_hourly(df: DataFrame, variables: Iterable[str], *keep: str) -> DataFr
     checked = F.when(
         F.coalesce(F.size(times), F.lit(0)) > 0, times
     ).otherwise(F.raise_error(F.lit("weather payload without hourly time")).cast("array<string>"))
-    arrays = F.arrays_zip(checked.alias("time"), *[F.col(f"hourly.{v}").alias(v) for v in variables])
+    # a variable the payload lacks becomes null in every hour
+    values = [F.coalesce(F.col(f"hourly.{v}"), F.array().cast("array<double>")).alias(v) for v in variables]
+    arrays = F.arrays_zip(checked.alias("time"), *values)
     rows = df.select(*keep, F.inline(arrays))
     return rows.withColumn("time", F.to_timestamp("time"))
-
-
-def conform_weather(df: DataFrame) -> DataFrame:
-    from aeroquant.schemas import conform
-
-    return conform(df, WEATHER_SCHEMA)

@@ -43,10 +43,7 @@ def stage_stats(df: DataFrame, name: str, order: list[str], extra: str | None =
     as_text = F.to_json(F.struct(*[F.col(c).cast("string").alias(c) for c in columns]))
     row = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(order)], as_text.alias("row"))
     as_map = lambda r: F.from_json(r["row"], "map<string,string>")
-    sample = df.orderBy(*order).limit(3).agg(
-        F.lit(name).alias("stage"),
-        F.transform(F.array_sort(F.collect_list(row)), as_map).alias("sample_rows"),
-    )
+    sample = df.orderBy(*order).limit(3).agg(F.transform(F.array_sort(F.collect_list(row)), as_map)).scalar()
     return nulls.select(
         F.lit(name).alias("stage"),
         F.current_timestamp().alias("timestamp_utc"),
@@ -54,8 +51,9 @@ def stage_stats(df: DataFrame, name: str, order: list[str], extra: str | None =
         F.lit(len(columns)).alias("n_cols"),
         F.array(*[F.lit(c) for c in columns]).alias("columns"),
         F.map_filter(rates, lambda _, pct: pct > 0).alias("null_rates_pct"),
+        sample.alias("sample_rows"),
         F.lit(extra).cast("string").alias("extra"),
-    ).join(sample, "stage").select(*[f.name for f in STAGE_STATS_SCHEMA.fields])
+    )
 
 
 def newest_by(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
