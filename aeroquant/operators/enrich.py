@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from aeroquant.functions import times
 from aeroquant.operators.clean import keep_first
 from aeroquant.schemas import WEATHER
+from aeroquant.session import settle
 
 
 def weather_lookup(weather: DataFrame, columns: Sequence[str] = WEATHER) -> DataFrame:
@@ -79,7 +80,7 @@ def nearest_in_time(
     before = Window.partitionBy(*by).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     # following rows are read by running the other way, so both frames stream
     back = Window.partitionBy(*by).orderBy(F.col("b").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    candidates = (
+    candidates = settle(
         buckets
         .withColumn("prev", F.last(F.element_at("own", -1), ignorenulls=True).over(before))
         .withColumn("next", F.last(F.element_at("own", 1), ignorenulls=True).over(back))

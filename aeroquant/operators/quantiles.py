@@ -23,8 +23,12 @@ _ALL = "_all"
 
 
 def _coarse(value: Column) -> Column:
-    """Monotone in the value and free of data-dependent bounds."""
-    return F.floor(F.signum(value) * F.log1p(F.abs(value)) * RESOLUTION)
+    """Monotone in the value and free of data-dependent bounds.
+
+    Never null, so that a join on it adds no filter below the counts and both of
+    its sides can share one exchange of them.
+    """
+    return F.coalesce(F.floor(F.signum(value) * F.log1p(F.abs(value)) * RESOLUTION), F.lit(0))
 
 
 def value_counts(df: DataFrame, keys: Sequence[str], value: str, weight: str | None = None) -> DataFrame:

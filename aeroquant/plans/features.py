@@ -75,6 +75,7 @@ def feasible_routes(rows: DataFrame, min_rows: int) -> DataFrame:
 
 
 QUANTILES = (0.5, 0.9, 0.95)  # fixed values
+NO_CARRIER = ""
 
 
 def baseline_quantiles(trips: DataFrame, route: list[str], carrier: str = "airline") -> DataFrame:
@@ -84,10 +85,11 @@ def baseline_quantiles(trips: DataFrame, route: list[str], carrier: str = "airli
     quantiles by the same amount, so one table of value counts serves both: its
     sum over carriers gives the route medians.
     """
-    carried = trips.where(F.col(carrier).isNotNull())
-    fine = value_counts(carried, [*route, carrier], "flight_duration")
-    all_rows = value_counts(trips, route, "flight_duration")
+    named = trips.withColumn(carrier, F.coalesce(F.col(carrier), F.lit(NO_CARRIER)))
+    counts = settle(value_counts(named, [*route, carrier], "flight_duration"))
+    all_rows = value_counts(counts.withColumnRenamed("v", "value"), route, "value", "c")
     medians = quantiles_of_counts(all_rows, route, [0.5]).select(*route, F.col("q")[0].alias("route_median"))
+    fine = counts.where(F.col(carrier) != NO_CARRIER)
     per_carrier = quantiles_of_counts(fine, [*route, carrier], QUANTILES)
     if route:
         joined = per_carrier.join(medians, route)

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from aeroquant.functions import times
 from aeroquant.operators import clean, incremental
-from aeroquant.plans.basics import sane
+from aeroquant.plans import scoring, update
+from aeroquant.plans.basics import routes_frame, sane
 from aeroquant.plans.registry import FLIGHTS, WEATHER_V, day, query, r6, us
 from aeroquant.schemas import add_missing
 from aeroquant.session import checkpoint_dir
@@ -287,3 +288,38 @@ def stream_enrich(spark, sf_dir):
 def add_missing_columns(spark, sf_dir):
     e = tables.table(spark, sf_dir, "events").select("event_id")
     return add_missing(clean.with_weather_columns(e, ["cape"]), ["cape", "visibility"]).select("event_id", "cape", "visibility")
+
+
+@query("request_features", f"""
+with {FLIGHTS}, {WEATHER_V}, s as (select * from weather_v where v_n > 5),
+d as (select event_id, v_avg, row_number() over (partition by event_id order by abs(epoch_us(s."time") - epoch_us(f.firstSeen)), s."time") rn
+      from flights_v f join s on s.airport = f.dep),
+a as (select event_id, v_avg, row_number() over (partition by event_id order by abs(epoch_us(s."time") - epoch_us(f.lastSeen)), s."time") rn
+      from flights_v f join s on s.airport = f.arr)
+select f.event_id, concat(dep, '->', arr) as route, round(d.v_avg, 6) as dep_v_avg, round(a.v_avg, 6) as arr_v_avg,
+  cast(hour(firstSeen) as int) as hour_of_day from flights_v f
+left join d on d.event_id = f.event_id and d.rn = 1 left join a on a.event_id = f.event_id and a.rn = 1""")
+def request_features(spark, sf_dir):
+    forecast = tables.weather_hours(spark, sf_dir).where(F.col("v_n") > 5)
+    requests = tables.flights(spark, sf_dir).select(
+        "event_id", F.col("estDepartureAirport").alias("origin"), F.col("estArrivalAirport").alias("destination"),
+        F.col("firstSeen").alias("departure"), F.col("lastSeen").alias("arrival"),
+    )
+    out = scoring.request_features(requests, forecast, ["v_avg"])
+    return out.select("event_id", "route", r6("dep_v_avg", "dep_v_avg"), r6("arr_v_avg", "arr_v_avg"), "hour_of_day")
+
+
+@query("incremental_update", f"""
+with {FLIGHTS} select icao24, epoch_us(firstSeen) as firstSeen, epoch_us(lastSeen) as lastSeen, callsign, route,
+  cast(cast(firstSeen as date) as varchar) as flight_date from sane where dep < arr""")
+def incremental_update(spark, sf_dir):
+    """Two overlapping batches merged into one table."""
+    path = f"{checkpoint_dir(spark)}/aeroquant/flights-{uuid.uuid4().hex}"
+    f = tables.flights(spark, sf_dir).drop("value", "event_id")
+    cut = F.lit("2024-01-16").cast("timestamp")
+    routes = routes_frame(spark, sf_dir)
+    first = f.where(F.col("firstSeen") < cut)
+    update.update_flights(spark, first, routes, path)
+    update.update_flights(spark, f.where(F.col("firstSeen") >= cut).unionByName(first.where(F.col("icao24") < "2")), routes, path)
+    stored = spark.read.schema("icao24 string, firstSeen timestamp, lastSeen timestamp, callsign string, route string, flight_date date").parquet(path)
+    return stored.select("icao24", us("firstSeen"), us("lastSeen"), "callsign", "route", day("flight_date"))
