@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -139,8 +140,11 @@ def append_new(stored: DataFrame, new: DataFrame, keys: Sequence[str], tiebreak:
     """Rows of ``new`` to add to a table that already has one row per key.
 
     Only the new rows are regrouped; the stored table is probed, not rewritten.
+    Null keys match each other, as in the full merge.
     """
-    return keep_first(new, keys, tiebreak).join(stored.select(*keys), list(keys), "left_anti")
+    have = stored.select(*[F.col(k).alias(f"_{k}") for k in keys])
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    return keep_first(new, keys, tiebreak).join(have, same, "left_anti")
 
 
 def merge_flights(stored: DataFrame, new: DataFrame, tiebreak: Sequence[str] = ("callsign",)) -> DataFrame:

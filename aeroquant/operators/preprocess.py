@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from aeroquant.functions import numbers
 from aeroquant.operators.enrich import encode
-from aeroquant.operators.quantiles import column_medians, quantiles_of_counts, value_counts
+from aeroquant.operators.quantiles import column_medians, quantiles_with_total
 from aeroquant.session import settle
 
 
@@ -58,12 +58,8 @@ def _by_quantile(found: DataFrame, keys: Sequence[str], qs: Sequence[float]) ->
 def fit_encoding(train: DataFrame, keys: Sequence[str], y: str, qs: Sequence[float]) -> tuple[DataFrame, DataFrame]:
     """Target quantiles per carrier and overall, for every quantile at once."""
     keys = list(keys)
-    per_carrier = value_counts(train, [*keys, "airline"], y)
-    overall = value_counts(train, keys, y)
-    return (
-        settle(_by_quantile(quantiles_of_counts(per_carrier, [*keys, "airline"], qs), [*keys, "airline"], qs)),
-        settle(_by_quantile(quantiles_of_counts(overall, keys, qs), keys, qs)),
-    )
+    per_carrier, overall = quantiles_with_total(train, keys, "airline", y, qs)
+    return settle(_by_quantile(per_carrier, [*keys, "airline"], qs)), settle(_by_quantile(overall, keys, qs))
 
 
 def fit_preprocessor(

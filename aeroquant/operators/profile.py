@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from itertools import combinations
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,24 +54,62 @@ def typical_row(features: DataFrame, columns: Sequence[str], hour: str = "hour_o
     return means.join(common, "route", "left")
 
 
-def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pearson correlation of every column pair, over rows holding both."""
-    pairs = list(combinations(columns, 2))
-    row = df.agg(*[F.corr(a, b).alias(f"{i}") for i, (a, b) in enumerate(pairs)])
-    cells = F.array(*[
-        F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"{i}").alias("r")) for i, (a, b) in enumerate(pairs)
-    ])
-    return row.select(F.inline(cells))
+def _cross_moments(columns: Sequence[str], shift: Sequence[float]):
+    """Task side of the correlations: sums over one partition, for every pair."""
+    k = len(columns)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((6, k, k))
+        for batch in batches:
+            x = np.column_stack([
+                batch.column(i).to_numpy(zero_copy_only=False).astype("float64") for i in range(k)
+            ]) - np.asarray(shift)
+            held = ~np.isnan(x)
+            x, m = np.where(held, x, 0.0), held.astype("float64")
+            # n, sum of a, sum of b, squares of a, squares of b, products: rows holding both
+            total += np.stack([m.T @ m, x.T @ m, m.T @ x, (x * x).T @ m, m.T @ (x * x), x.T @ x])
+        a, b = np.triu_indices(k)
+        cells = [pa.array(a.astype("int32")), pa.array(b.astype("int32")), *[pa.array(t[a, b]) for t in total]]
+        yield pa.RecordBatch.from_arrays(cells, names=["a", "b", "n", "sa", "sb", "saa", "sbb", "sab"])
+
+    return sums
+
+
+def correlations(df: DataFrame, columns: Sequence[str], diagonal: bool = False) -> DataFrame:
+    """Pearson correlation of every column pair, over rows holding both.
+
+    Each task reduces its rows to one small matrix of sums by matrix products, and
+    the pairs are then added up on all reducers. Values are shifted by the column
+    means first, which keeps the sums accurate.
+    """
+    columns = list(columns)
+    tall = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    means = tall.agg(*[F.avg(F.nanvl(c, F.lit(None).cast("double"))).alias(c) for c in columns]).first()  # one number per column
+    shift = [means[c] or 0.0 for c in columns]
+    parts = tall.mapInArrow(
+        _cross_moments(columns, shift),
+        "a int, b int, n double, sa double, sb double, saa double, sbb double, sab double",
+    )
+    total = parts.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("n", "sa", "sb", "saa", "sbb", "sab")])
+    n = F.col("n")
+    spread = lambda s, ss: F.col(ss) - F.col(s) * F.col(s) / n
+    # below this a spread is rounding noise of a constant column
+    noise = F.array(*[F.lit((1e-13 * abs(m)) ** 2) for m in shift])
+    varies = lambda at, s, ss: spread(s, ss) > n * F.element_at(noise, F.col(at) + 1)
+    bottom = F.sqrt(spread("sa", "saa") * spread("sb", "sbb"))
+    proper = (n > 1) & varies("a", "sa", "saa") & varies("b", "sb", "sbb")
+    r = F.when(proper, (F.col("sab") - F.col("sa") * F.col("sb") / n) / bottom)
+    names = F.array(*[F.lit(c) for c in columns])
+    pairs = total if diagonal else total.where(F.col("a") < F.col("b"))
+    return pairs.select(F.element_at(names, F.col("a") + 1).alias("a"), F.element_at(names, F.col("b") + 1).alias("b"),
+                        r.alias("r"))
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """All ordered pairs, with the diagonal."""
-    half = correlations(df, columns)
-    own = df.agg(*[F.corr(c, c).alias(c) for c in columns]).unpivot([], list(columns), "a", "r")
-    return (
-        half.unionByName(half.select(F.col("b").alias("a"), F.col("a").alias("b"), "r"))
-        .unionByName(own.select("a", F.col("a").alias("b"), "r"))
-    )
+    half = correlations(df, columns, diagonal=True)
+    mirrored = half.where(F.col("a") != F.col("b")).select(F.col("b").alias("a"), F.col("a").alias("b"), "r")
+    return half.unionByName(mirrored)
 
 
 def top_correlations(pairs: DataFrame, n: int = 10) -> DataFrame:

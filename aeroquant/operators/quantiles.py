@@ -14,6 +14,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from aeroquant.session import settle
+
 # buckets per factor e of the magnitude; about 0.1 % of a value wide
 RESOLUTION = 1024
 # equal-width parts of a bucket in the optional second level
@@ -31,16 +33,20 @@ def _coarse(value: Column) -> Column:
     return F.coalesce(F.floor(F.signum(value) * F.log1p(F.abs(value)) * RESOLUTION), F.lit(0))
 
 
-def value_counts(df: DataFrame, keys: Sequence[str], value: str, weight: str | None = None) -> DataFrame:
+def value_counts(
+    df: DataFrame, keys: Sequence[str], value: str, weight: str | None = None, optional: Sequence[str] = ()
+) -> DataFrame:
     """Distinct values with their counts; hot groups shrink before the shuffle.
 
-    Rows with a null key or a missing value are left out.
+    Rows with a missing value are left out, and rows with a null key unless that
+    key is ``optional``.
     """
     v = F.col(value).cast("double")
     count = F.sum(weight) if weight else F.count("*")
     present = v.isNotNull() & ~F.isnan(v)
     for key in keys:
-        present = present & F.col(key).isNotNull()
+        if key not in optional:
+            present = present & F.col(key).isNotNull()
     return (
         df.where(present)
         .select(*keys, v.alias("v"), *([weight] if weight else []))
@@ -128,6 +134,22 @@ def exact_quantiles(
     return quantiles_of_counts(value_counts(df, keys, value), keys, qs, refine)
 
 
+def quantiles_with_total(
+    df: DataFrame, keys: Sequence[str], column: str, value: str, qs: Sequence[float],
+    total_qs: Sequence[float] | None = None, refine: bool = False,
+) -> tuple[DataFrame, DataFrame]:
+    """Quantiles per ``column`` and over all of its values, from one pass.
+
+    The counts are stored once; their sum over ``column`` gives the total, which
+    includes rows where ``column`` is null.
+    """
+    keys = list(keys)
+    counts = settle(value_counts(df, [*keys, column], value, optional=[column]))
+    merged = counts.groupBy(*keys, "v").agg(F.sum("c").alias("c"))
+    per = quantiles_of_counts(counts.where(F.col(column).isNotNull()), [*keys, column], qs, refine)
+    return per, quantiles_of_counts(merged, keys, total_qs or qs, refine)
+
+
 def named_quantiles(
     df: DataFrame, keys: Sequence[str], value: str, names: Mapping[str, float], refine: bool = False
 ) -> DataFrame:

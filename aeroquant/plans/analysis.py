@@ -89,8 +89,9 @@ select event_id, round(coalesce(m.v, (select v from g)), 6) as encoded from sane
 def target_encode(spark, sf_dir):
     rows = sane(spark, sf_dir)
     train = rows.where(F.col("airline") != "CLI")
-    mapping = settle(quantiles.named_quantiles(train, ["airline"], "flight_duration", {"v": 0.9}))
-    fallback = quantiles.named_quantiles(train, [], "flight_duration", {"v": 0.9})
+    per, total = quantiles.quantiles_with_total(train, [], "airline", "flight_duration", [0.9])
+    mapping = settle(per.select("airline", F.col("q")[0].alias("v")))
+    fallback = total.select(F.col("q")[0].alias("v"))
     return enrich.encode(rows, mapping, fallback, [], "airline", "v", "encoded").select("event_id", r6("encoded", "encoded"))
 
 
@@ -157,15 +158,13 @@ union all select 'fallback', round(quantile_cont(flight_duration, 0.5), 6), roun
   round(quantile_cont(l_extendedprice, 0.95), 6) from history_v""")
 def airline_quantiles(spark, sf_dir):
     h = tables.history(spark, sf_dir)
-    per = lambda keys: (
-        quantiles.named_quantiles(h, keys, "flight_duration", {"p50": 0.5, "p90": 0.9}),
-        quantiles.named_quantiles(h, keys, "l_extendedprice", {"price95": 0.95}, refine=True).drop("n"),
+    days, all_days = quantiles.quantiles_with_total(h, [], "airline", "flight_duration", [0.5, 0.9])
+    prices, all_prices = quantiles.quantiles_with_total(h, [], "airline", "l_extendedprice", [0.95], refine=True)
+    per = days.select("airline", "q").join(prices.select("airline", F.col("q").alias("price")), "airline")
+    overall = all_days.select(F.lit("fallback").alias("airline"), "q", all_prices.select("q").scalar().alias("price"))
+    return per.unionByName(overall).select(
+        "airline", r6(F.col("q")[0], "p50"), r6(F.col("q")[1], "p90"), r6(F.col("price")[0], "price95")
     )
-    a, b = per(["airline"])
-    g, p = per([])
-    overall = g.withColumn("price95", p.scalar()).withColumn("airline", F.lit("fallback"))
-    both = a.join(b, "airline").unionByName(overall)
-    return both.select("airline", *[r6(c, c) for c in ("p50", "p90", "price95")])
 
 
 @query("flights_per_airline", """
@@ -303,6 +302,21 @@ def histogram_by_month(spark, sf_dir):
     return profile.histogram(rows, ["grp"], "v", 50).select("grp", "bin", "n", r6("low", "low"), r6("high", "high"))
 
 
+@query("histogram_by_hour", f"""
+with {FLIGHTS}, m as (select median(flight_duration) med from sane),
+v as (select printf('%02d:00', cast(hour(firstSeen) as int)) g, sign(x) * ln(1 + abs(x)) v
+      from (select firstSeen, greatest(-60.0, least(60.0, flight_duration - med)) x from sane, m)),
+e as (select g, min(v) lo, max(v) hi from v group by g)
+select v.g as hour, cast(case when lo = hi then 1 else least(floor(50 * (v.v - lo) / (hi - lo)) + 1, 50) end as int) as bin, count(*) as n
+from v join e using (g) group by 1, 2""")
+def histogram_by_hour(spark, sf_dir):
+    rows = sane(spark, sf_dir)
+    middle = quantiles.medians(rows, [], "flight_duration", "med").select("med").scalar()
+    anomaly = rows.select(times.hour_label(F.col("hour_of_day")).alias("hour"), (F.col("flight_duration") - middle).alias("a"))
+    values = anomaly.select("hour", numbers.signed_log(numbers.clip(F.col("a"), -60, 60)).alias("v"))
+    return profile.histogram(values, ["hour"], "v", 50).select("hour", "bin", "n")
+
+
 @query("histogram_all", """
 with e as (select min(value) lo, max(value) hi from events)
 select cast(least(floor((value - lo) / ((hi - lo) / 100.0)) + 1, 100) as int) as bin, count(*) as n,

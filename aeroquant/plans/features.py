@@ -10,7 +10,7 @@ from aeroquant.operators import clean, enrich, gates
 from aeroquant.schemas import (
     FEATURE_SCHEMA, FEATURES, FLIGHT_KEY, REQUIRED_FLIGHT, TRAINING_REQUIRED, WEATHER, conform, require_columns,
 )
-from aeroquant.operators.quantiles import named_quantiles, quantiles_of_counts, value_counts
+from aeroquant.operators.quantiles import named_quantiles, quantiles_with_total
 from aeroquant.session import settle
 from aeroquant.sources import sinks
 
@@ -75,22 +75,16 @@ def feasible_routes(rows: DataFrame, min_rows: int) -> DataFrame:
 
 
 QUANTILES = (0.5, 0.9, 0.95)  # fixed values
-NO_CARRIER = ""
 
 
 def baseline_quantiles(trips: DataFrame, route: list[str], carrier: str = "airline") -> DataFrame:
     """P50, P90 and P95 of the anomaly per route and carrier.
 
     The anomaly is the length minus the route's median. A constant shift moves
-    quantiles by the same amount, so one table of value counts serves both: its
-    sum over carriers gives the route medians.
+    quantiles by the same amount, so one table of value counts serves both.
     """
-    named = trips.withColumn(carrier, F.coalesce(F.col(carrier), F.lit(NO_CARRIER)))
-    counts = settle(value_counts(named, [*route, carrier], "flight_duration"))
-    all_rows = value_counts(counts.withColumnRenamed("v", "value"), route, "value", "c")
-    medians = quantiles_of_counts(all_rows, route, [0.5]).select(*route, F.col("q")[0].alias("route_median"))
-    fine = counts.where(F.col(carrier) != NO_CARRIER)
-    per_carrier = quantiles_of_counts(fine, [*route, carrier], QUANTILES)
+    per_carrier, total = quantiles_with_total(trips, route, carrier, "flight_duration", QUANTILES, [0.5])
+    medians = total.select(*route, F.col("q")[0].alias("route_median"))
     if route:
         joined = per_carrier.join(medians, route)
     else:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aeroquant.functions import text
@@ -85,6 +85,25 @@ class TrainedTiers:
 
     KEYS = ("route", "tier", "fit")
 
+    def save(self, path: str) -> None:
+        """Everything scoring needs; scored rows are not kept."""
+        self.model.save(f"{path}/model")
+        parts = {
+            "medians": self.medians, "report": self.report, "imputer": self.preprocessor.medians,
+            "encoding": self.preprocessor.encoding, "fallback": self.preprocessor.fallback,
+        }
+        if self.chosen is not None:
+            parts["chosen"] = self.chosen
+        for name, table in parts.items():
+            table.write.mode("overwrite").parquet(f"{path}/{name}")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, tuned: bool = False) -> TrainedTiers:
+        part = lambda name: spark.read.parquet(f"{path}/{name}")
+        fitted = Preprocessor(cls.KEYS, tuple(MODEL_NUMERIC), part("imputer"), part("encoding"), part("fallback"))
+        return cls(BoostedModel.load(spark, f"{path}/model"), fitted, part("medians"), part("report"),
+                   part("chosen") if tuned else None)
+
     def test_scores(self, fits: str) -> DataFrame:
         return self.model.scored.where(F.col("fit").rlike(fits) & (F.col("role") == "test"))
 

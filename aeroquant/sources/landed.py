@@ -25,9 +25,10 @@ ARRIVAL_SCHEMA = T.StructType([
 
 
 def read_landed(spark: SparkSession, paths, schema: T.StructType | str, pattern: str | None = None) -> DataFrame:
-    """Parquet scan with a fixed schema; NaN becomes null on the way in.
+    """Landed files below a folder; NaN becomes null on the way in.
 
-    ``pattern`` prunes files by name before any is opened.
+    ``pattern`` prunes files by name before any is opened. Folder names are not
+    read as partitions; see ``read_table`` for stored tables.
     """
     reader = spark.read.schema(schema).option("recursiveFileLookup", "true")
     if pattern:
@@ -35,6 +36,11 @@ def read_landed(spark: SparkSession, paths, schema: T.StructType | str, pattern:
     return numbers.clean_nan(reader.parquet(*([paths] if isinstance(paths, str) else paths)))
 
 
+def read_table(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """A stored table, whose partition columns come from its folders."""
+    return numbers.clean_nan(spark.read.schema(schema).parquet(path))
+
+
 def read_or_none(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame | None:
     """None where nothing is stored; damaged files are skipped."""
     try:

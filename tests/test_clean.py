@@ -55,6 +55,8 @@ def test_append_new_leaves_stored_alone(spark):
     new = flights(spark, [("a", 0, 600, "A", "n"), ("b", 0, 600, "A", "n"), ("b", 0, 600, "A", "m")])
     out = clean.append_new(stored, new, ["icao24", "firstSeen", "lastSeen"], ["callsign"])
     assert [(r.icao24, r.callsign) for r in out.collect()] == [("b", "m")]
+    unnamed = flights(spark, [(None, 0, 600, "A", "x")])
+    assert clean.append_new(unnamed, unnamed, ["icao24", "firstSeen", "lastSeen"], ["callsign"]).count() == 0
 
 
 def test_hot_group_of_copies(spark):

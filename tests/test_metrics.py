@@ -69,6 +69,12 @@ def test_correlations_like_pandas(spark):
         assert r == pytest.approx(want.loc[a, b])
 
 
+def test_constant_column_has_no_correlation(spark):
+    df = spark.range(100).select((F.col("id") * 0 + 0.1).alias("c"), F.col("id").cast("double").alias("x"))
+    got = {(r.a, r.b): r.r for r in profile.correlation_matrix(df.repartition(5), ["c", "x"]).collect()}
+    assert got["c", "x"] is None and got["c", "c"] is None and got["x", "x"] == pytest.approx(1)
+
+
 def test_histogram_like_numpy(spark):
     pdf = pd.DataFrame({"g": ["a"] * 100 + ["b"] * 3, "v": [*np.random.default_rng(7).random(100), 5, 5, 5]})
     got = profile.histogram(spark.createDataFrame(pdf), ["g"], "v", 10).toPandas()

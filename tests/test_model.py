@@ -133,7 +133,9 @@ def test_tiers_end_to_end(spark, history, tmp_path):
     manifest = run.manifest().toPandas()
     assert set(manifest.tier) == {"all_carriers", "AEE", "DLH"}
     assert manifest[manifest.tier == "all_carriers"].model_features.iloc[0][-1] == "airline"
-    scored = run.score(history.where("flight_duration > 0"), (0.5, 0.9)).toPandas()
+    run.save(str(tmp_path / "run"))
+    again = training.TrainedTiers.load(spark, str(tmp_path / "run"))
+    scored = again.score(history.where("flight_duration > 0"), (0.5, 0.9)).toPandas()
     assert len(scored) == 1400 and set(scored.tier) == {"AEE", "all_carriers"}
     assert scored[scored.airline == "DLH"].is_fallback.all()
     np.testing.assert_allclose(scored.total, scored.route_median + scored.anomaly)
