@@ -24,9 +24,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from aeroquant.operators.quantiles import bucket_quantiles, exact_quantiles, melt
 from aeroquant.session import cut_lineage
 
-SKETCH_ACCURACY = 10_000  # rank error of at most one in this many rows
 ROOT = 1
 NO_SPLIT_GAIN = 1e-6
 
@@ -78,12 +78,11 @@ def sample_candidates(n: int, seed: int = 42) -> list[Params]:
 
 
 def bin_edges(df: DataFrame, features: Sequence[str], bins: int) -> list[list[float]]:
-    """Distinct inner edges per feature from bounded sketches, in one pass."""
+    """Distinct inner edges per feature: exact quantiles, so always the same."""
     shares = [i / bins for i in range(1, bins)]
-    row = df.agg(*[
-        F.percentile_approx(F.col(c).cast("double"), shares, SKETCH_ACCURACY).alias(c) for c in features
-    ]).first()  # features x bins numbers
-    return [sorted(set(row[c] or [])) for c in features]
+    found = exact_quantiles(melt(df, [], features), ["column"], "value", shares).collect()  # features x bins numbers
+    edges = {r["column"]: sorted(set(r["q"])) for r in found}
+    return [edges.get(c, []) for c in features]
 
 
 def add_bins(df: DataFrame, features: Sequence[str], edges: list[list[float]], name: str = "bins") -> DataFrame:
@@ -180,7 +179,6 @@ class QuantileBoostedTrees:
 
     features: Sequence[str]
     keys: Sequence[str]
-    qs: Sequence[float]
     id_columns: Sequence[str]
     params: Params = Params()
     candidates: Sequence[Params] | None = None
@@ -198,13 +196,6 @@ class QuantileBoostedTrees:
     def _all(self, name: str) -> list:
         return [asdict(p)[name] for p in (self.candidates or [self.params])]
 
-    def _quantile_pick(self, value: Column) -> Column:
-        """Sketch quantile at the group's own level; one sketch, all levels."""
-        levels = [float(q) for q in self.qs]
-        found = F.percentile_approx(value, levels, SKETCH_ACCURACY)
-        which = F.array_position(F.array(*[F.lit(q) for q in levels]), F.max("quantile"))
-        return F.element_at(found, which.cast("int"))
-
     def fit(self, rows: DataFrame) -> BoostedModel:
         keys, features = list(self.keys), list(self.features)
         group = keys if "quantile" in keys else [*keys, "quantile"]
@@ -218,7 +209,7 @@ class QuantileBoostedTrees:
         row_id = F.xxhash64(*self.id_columns)
         run = uuid.uuid4().hex
         data = cut_lineage(add_bins(rows, features, edges).withColumn("_id", row_id).drop(*features))
-        base = cut_lineage(data.where(train).groupBy(*group).agg(self._quantile_pick(F.col("y")).alias("base")))
+        base = cut_lineage(bucket_quantiles(data.where(train), group, F.col("y"), "quantile", "base"))
         data = data.join(base, group).withColumnRenamed("base", "margin")
 
         grown, gains = None, None
@@ -299,11 +290,9 @@ class QuantileBoostedTrees:
             gains = gain if gains is None else gains.unionByName(gain)
 
         node = walk(F.col("splits"), F.col("bins"), depth)
+        placed = train.join(tree, group).withColumn("node", node)
         leaves = (
-            train.join(tree, group)
-            .withColumn("node", node)
-            .groupBy(*group, "node")
-            .agg(self._quantile_pick(F.col("y") - F.col("margin")).alias("v"))
+            bucket_quantiles(placed, [*group, "node"], F.col("y") - F.col("margin"), "quantile", "v")
             .withColumn("v", F.when(growing, F.col("v") * self._param("learning_rate")).otherwise(F.lit(0.0)))
             .groupBy(*group)
             .agg(F.map_from_entries(F.collect_list(F.struct("node", "v"))).cast(_LEAVES).alias("leaves"))

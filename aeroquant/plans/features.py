@@ -11,7 +11,7 @@ from aeroquant.schemas import (
     FEATURE_SCHEMA, FEATURES, FLIGHT_KEY, REQUIRED_FLIGHT, TRAINING_REQUIRED, WEATHER, conform, require_columns,
 )
 from aeroquant.operators.quantiles import named_quantiles, quantiles_with_total
-from aeroquant.session import settle
+from aeroquant.session import cut_lineage, settle
 from aeroquant.sources import sinks
 
 
@@ -45,12 +45,14 @@ def feature_matrix(flights: DataFrame, weather: DataFrame) -> DataFrame:
 def checked_feature_matrix(flights: DataFrame, weather: DataFrame) -> DataFrame:
     """The feature table, or an error naming the first gate that fails."""
     parsed = prepare_flights(flights)
-    gates.enforce_parsed(parsed, ["firstSeen", "lastSeen"])
-    gates.enforce_rows(parsed, {"time_order": gates.bad_time_order()}, ["icao24", "firstSeen", "lastSeen", "route"])
+    times_ok = {f"{c}_parsed": F.col(c).isNull() for c in ("firstSeen", "lastSeen")}
+    show = ["icao24", "firstSeen", "lastSeen", "route"]
+    gates.enforce_rows(parsed, {**times_ok, "time_order": gates.bad_time_order()}, show)
     gates.enforce_unique(parsed, FLIGHT_KEY, "duplicates")
     lookup = enrich.weather_lookup(clean.with_weather_columns(weather, WEATHER), [])
     gates.enforce_unique(lookup, ["airport", "hour"], "weather_key")
-    return gates.enforce_final(feature_matrix(flights, weather))
+    # joined once; the last gates read the stored table
+    return gates.enforce_final(cut_lineage(feature_matrix(flights, weather)))
 
 
 def write_features(features: DataFrame, path: str) -> None:

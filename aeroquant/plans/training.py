@@ -202,7 +202,7 @@ def fit_instances(instances: DataFrame, order: Sequence[str], qs: Sequence[float
     if candidates:
         rows = rows.join(chosen, ["route", "tier", "quantile"])
         group.append("candidate")
-    model = QuantileBoostedTrees([*MODEL_NUMERIC, CODED], group, qs, list(order), params, candidates,
+    model = QuantileBoostedTrees([*MODEL_NUMERIC, CODED], group, list(order), params, candidates,
                                  checkpoint_every=checkpoint_every)
     used = [*group, "role", "y", "airline", *order, *MODEL_NUMERIC, CODED]
     ready = model_inputs(rows, fitted).select(*dict.fromkeys(used))

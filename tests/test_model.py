@@ -34,7 +34,7 @@ def pinball(pdf):
 
 @pytest.fixture(scope="module")
 def model(spark):
-    return QuantileBoostedTrees(list("abc"), ["pop", "quantile"], [0.5, 0.9], ["id"], QUICK).fit(rows(spark))
+    return QuantileBoostedTrees(list("abc"), ["pop", "quantile"], ["id"], QUICK).fit(rows(spark))
 
 
 def test_beats_the_constant_quantile(model):
@@ -64,7 +64,7 @@ def test_importance_finds_the_used_features(model):
 def test_partitioning_and_test_rows_change_nothing(spark, model):
     """Other partitions, and other values in test rows, give the same trees."""
     moved = rows(spark, 3).withColumn("y", F.when(F.col("role") == "test", F.col("y") + 1e6).otherwise(F.col("y")))
-    other = QuantileBoostedTrees(list("abc"), ["pop", "quantile"], [0.5, 0.9], ["id"], QUICK).fit(moved)
+    other = QuantileBoostedTrees(list("abc"), ["pop", "quantile"], ["id"], QUICK).fit(moved)
     key = ["id", "quantile"]
     a = model.predict(rows(spark)).toPandas().set_index(key).prediction.sort_index()
     b = other.predict(rows(spark)).toPandas().set_index(key).prediction.sort_index()

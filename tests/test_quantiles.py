@@ -80,6 +80,16 @@ def test_few_values_group_themselves(spark):
     assert [(r["bin"], r["raw"]) for r in out] == [(None, 1.0), (None, 2.0), (None, 2.0)]
 
 
+def test_bucket_quantiles_are_close(spark):
+    rng = np.random.default_rng(8)
+    values = [("a", float(v)) for v in rng.normal(50, 20, 1000)] + [("b", float(v)) for v in rng.integers(0, 5, 200)]
+    df = frame(spark, values).withColumn("q", F.when(F.col("g") == "a", 0.9).otherwise(0.5))
+    got = {r.g: r.v for r in quantiles.bucket_quantiles(df, ["g", "q"], F.col("x"), "q", "v").collect()}
+    x = {g: [v for k, v in values if k == g] for g in "ab"}
+    assert got["a"] == pytest.approx(np.quantile(x["a"], 0.9), rel=2e-3)
+    assert got["b"] == np.quantile(x["b"], 0.5)
+
+
 def test_approximate_is_opt_in(spark):
     df = frame(spark, [("a", float(v)) for v in range(1000)])
     row = quantiles.approximate_quantiles(df, ["g"], "x", [0.5], 1000).first()
