@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -180,7 +178,3 @@ def run_summary(results: DataFrame) -> DataFrame:
 
 def as_of(day: str | None) -> Column:
     return F.lit(day).cast("date") if day else F.current_date()
-
-
-def keys_of(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return df.select(*keys).distinct()

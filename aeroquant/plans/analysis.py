@@ -6,7 +6,7 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
-from aeroquant.functions import numbers, text, times
+from aeroquant.functions import numbers, times
 from aeroquant.operators import clean, enrich, gates, metrics, profile, quantiles, split
 from aeroquant.plans import features as plan
 from aeroquant.plans.basics import JOINED, joined, sane

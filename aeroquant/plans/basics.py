@@ -8,7 +8,7 @@ from aeroquant.functions import numbers, text, times
 from aeroquant.operators import clean, gates, profile, quantiles
 from aeroquant.plans import features as plan
 from aeroquant.plans.registry import FLIGHTS, HISTORY, WEATHER_V, day, query, r6, us
-from aeroquant.schemas import FLIGHT_KEY, model_features
+from aeroquant.schemas import model_features
 from aeroquant.session import settle
 from aeroquant.sources import landed, tables
 

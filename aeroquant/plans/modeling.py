@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from aeroquant.operators import clean
 from aeroquant.operators.boost import Params, sample_candidates
 from aeroquant.plans import training
-from aeroquant.plans.registry import HISTORY, query, r6
+from aeroquant.plans.registry import HISTORY, query
 from aeroquant.schemas import ARR_WEATHER, DEP_WEATHER
 from aeroquant.sources import sinks, tables
 

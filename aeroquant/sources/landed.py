@@ -5,15 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from aeroquant.functions import numbers
-from aeroquant.schemas import FLIGHT_SCHEMA, WEATHER, WEATHER_SCHEMA
+from aeroquant.schemas import FLIGHT_SCHEMA, WEATHER
 
-# a chunk file name ends in a date before its suffix (fixed pattern)
-NAME_DATE = r"(\d{4}-\d{2}-\d{2})\.parquet$"
+# the first date in the name of an arrival chunk (fixed pattern)
 FIRST_DATE = r"arrivals_[A-Z0-9]+_(\d{4}-\d{2}-\d{2})"
 
 # arrival records as they land: times are epoch seconds
@@ -115,12 +114,6 @@ def with_file_date(df: DataFrame, pattern: str = FIRST_DATE) -> DataFrame:
     return df.withColumn("flight_date", found).where(F.col("flight_date").isNotNull())
 
 
-def name_date(path: Column) -> Column:
-    """Last date in a chunk's file name; null where there is none."""
-    found = F.regexp_extract(path, NAME_DATE, 1)
-    return F.try_to_date(F.nullif(found, F.lit("")), "yyyy-MM-dd")
-
-
 def flight_records(df: DataFrame, payload: str, *keep: str) -> DataFrame:
     """JSON list of flight records to rows; an empty list gives no row."""
     records = F.from_json(F.col(payload), T.ArrayType(ARRIVAL_SCHEMA))
