@@ -10,7 +10,7 @@ from aeroquant.functions import numbers, times
 from aeroquant.operators import clean, enrich, gates, metrics, profile, quantiles, split
 from aeroquant.plans import features as plan
 from aeroquant.plans.basics import JOINED, joined, sane
-from aeroquant.plans.registry import FLIGHTS, HISTORY, WEATHER_V, day, query, r6, us
+from aeroquant.plans.registry import FLIGHTS, HISTORY, WEATHER_V, day, query, r6, r96, us
 from aeroquant.schemas import ARR_WEATHER, DEP_WEATHER
 from aeroquant.session import settle
 from aeroquant.sources import tables
@@ -455,7 +455,7 @@ from {source} group by {keys}"""
 @query("metric_bundle", f"with {SCORED} {METRICS_SQL.format(keys='airline, quantile', source='scored')}")
 def metric_bundle(spark, sf_dir):
     out = metrics.metric_bundle(scored(spark, sf_dir), ["airline", "quantile"])
-    return out.select("airline", "quantile", "n_eval", *[r6(c, c) for c in metrics.BUNDLE])
+    return out.select("airline", "quantile", "n_eval", *[r96(c) for c in metrics.BUNDLE])
 
 
 @query("fold_score", f"""

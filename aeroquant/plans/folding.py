@@ -9,7 +9,7 @@ from aeroquant.plans import features as plan
 from aeroquant.plans import training
 from aeroquant.plans.analysis import METRICS_SQL
 from aeroquant.plans.basics import sane
-from aeroquant.plans.registry import FLIGHTS, HISTORY, HISTORY_ORDER_SQL, query, r6, us
+from aeroquant.plans.registry import FLIGHTS, HISTORY, HISTORY_ORDER_SQL, query, r6, r96, us
 from aeroquant.session import cut_lineage, settle
 from aeroquant.sources import tables
 
@@ -109,7 +109,7 @@ t as (select y.airline, cast(y.fold as int) fold, p.quantile, y.y, p.prediction
 {METRICS_SQL.format(keys='airline, fold, quantile', source='t')}""")
 def walkforward_baseline(spark, sf_dir):
     out = training.walkforward_baseline(segmented(spark, sf_dir), ["airline"], plan.QUANTILES)
-    return out.select("airline", "fold", "quantile", "n_eval", *[r6(c, c) for c in metrics.BUNDLE])
+    return out.select("airline", "fold", "quantile", "n_eval", *[r96(c) for c in metrics.BUNDLE])
 
 
 @query("preprocess_apply", f"""

@@ -26,8 +26,13 @@ def query(name: str, sql: str | None = None):
 
 
 def r6(c: Column | str, name: str) -> Column:
-    """Six digits; the inner rounding removes noise of summation order at ties."""
-    return F.round(F.round(F.col(c) if isinstance(c, str) else c, 9), 6).alias(name)
+    return F.round(F.col(c) if isinstance(c, str) else c, 6).alias(name)
+
+
+def r96(c: str) -> Column:
+    """Six digits of a mean; rounding to nine first, as the SQL does too, removes
+    the noise of summation order at ties."""
+    return F.round(F.round(F.col(c), 9), 6).alias(c)
 
 
 def us(c: str, name: str | None = None) -> Column:
