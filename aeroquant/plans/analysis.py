@@ -422,11 +422,14 @@ def scored(spark, sf_dir):
 
 @query("pinball", f"""
 with {SCORED}
-select airline, quantile, round(avg(greatest(quantile * (y - prediction), (quantile - 1) * (y - prediction))), 6) as pinball_loss
+select airline, quantile,
+  round(round(avg(greatest(quantile * (y - prediction), (quantile - 1) * (y - prediction))), 9), 6) as pinball_loss
 from scored group by airline, quantile""")
 def pinball(spark, sf_dir):
     loss = metrics.pinball_loss(F.col("y"), F.col("prediction"), F.col("quantile"))
-    return scored(spark, sf_dir).groupBy("airline", "quantile").agg(r6(loss, "pinball_loss"))
+    return scored(spark, sf_dir).groupBy("airline", "quantile").agg(loss.alias("pinball_loss")).select(
+        "airline", "quantile", r96("pinball_loss")
+    )
 
 
 @query("coverage", f"""
