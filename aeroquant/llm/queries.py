@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aeroquant.llm import lines, repetition, sharding, toxicity, urls
+from aeroquant.llm import jaccard, lines, mixing, neighbours, packing, repetition, sharding, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -77,3 +77,33 @@ def op4(spark, sf_dir):
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+@query("op7_source_mix")
+def op7(spark, sf_dir):
+    rows, _ = mixing.mix_documents(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return rows.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query("op8_packing")
+def op8(spark, sf_dir):
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@query("op5_ngram_jaccard")
+def op5(spark, sf_dir):
+    rows, _ = jaccard.jaccard_classes(table(spark, sf_dir, "documents").select("doc_id", "text"), words=4, percent=85)
+    return rows
+
+
+@query("op1_near_vectors", neighbours.ORACLE)
+def op1(spark, sf_dir):
+    return neighbours.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")).select(
+        "vec_id", "n_links", "component_id", "kept"
+    )

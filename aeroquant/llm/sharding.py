@@ -12,7 +12,7 @@ keys; no row is joined or gathered.
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -94,7 +94,7 @@ def cut_points(groups: DataFrame, total: int, largest: int, shards: int, runs: i
         if lower == upper and all(
             _whole(ends, atomic, c) for c in _walk(ends, atomic, upper, shards, total, False)[:-1]
         ):
-            return _walk(ends, atomic, upper, shards, total, False)
+            return _even(ends, upper, shards, total)
         # where the true cuts can lie: between the walk that knows too few cuts and the one that knows too many
         low, high, lo_at, hi_at = [], [], 0, 0
         for _ in range(shards):
@@ -110,7 +110,36 @@ def cut_points(groups: DataFrame, total: int, largest: int, shards: int, runs: i
             and any((ends[i - 1] if i else 0) < h and ends[i] > lo for lo, h in zip(low, high))
         ])
         if not windows:
-            return _walk(ends, atomic, upper, shards, total, False)
+            return _even(ends, upper, shards, total)
+
+
+def _even(ends: list[int], capacity: int, shards: int, total: int) -> list[int]:
+    """Cuts within the capacity that come as near to equal shares as the known ends allow.
+
+    The walk from the right tells how early a cut may lie, so that the rest still fits.
+    """
+    earliest, at = [total], total
+    for _ in range(shards - 1):
+        i = bisect_left(ends, at - capacity) if at > capacity else -1
+        at = ends[i] if i >= 0 else 0
+        earliest.append(at)
+    earliest.reverse()
+    cuts, at = [], 0
+    for k in range(shards):
+        if at >= total:
+            break
+        if k == shards - 1:
+            cuts.append(total)
+            break
+        goal = at + (total - at) // (shards - k)
+        last = bisect_right(ends, at + capacity) - 1
+        first = max(bisect_left(ends, earliest[k]), bisect_right(ends, at))
+        i = min(max(bisect_left(ends, goal), first), last)
+        if i - 1 >= first and goal - ends[i - 1] < ends[i] - goal:
+            i -= 1
+        at = ends[i]
+        cuts.append(at)
+    return cuts
 
 
 def _whole(ends: list[int], atomic: list[bool], cut: int) -> bool:
