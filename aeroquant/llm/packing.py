@@ -27,8 +27,8 @@ SEQUENCE = 1024
 MAX_SEGMENTS = 128
 END = 0  # the id that closes a text
 BLOCK_TOKENS = 2_000_000
-BLOCK_TEXTS = 4_096
-CACHED = 500_000
+BLOCK_TEXTS = 1_024
+CACHED = 1_200_000
 
 
 # --- tokens --------------------------------------------------------------------
