@@ -11,8 +11,9 @@ the prefix both use. A set meets larger ones in the next band's partition.
 
 Meetings are verified exactly on the texts. A subset held by thousands of sets does
 not become all pairs: its sets are first tested against one hub, then against
-another, and only sets still unconnected are paired. Subsets that are still crowded
-are paired up two and two, which a linked pair must share.
+another, and only sets still unconnected are paired. Where a crowd is left, the texts
+come to the subset in blocks and are compared there; a pair that meets in several
+places is compared in the first of them only, and only links come out.
 """
 
 from __future__ import annotations
@@ -31,7 +32,8 @@ from aeroquant.llm.common import NO_ID, Scratch, SpanHash, components, mix64, pi
 
 SPARE_UNITS = 2
 BAND_RATIO = 1.4
-CROWD = 64  # a subset held by more sets is paired by two
+CROWD = 24  # sets of a more crowded subset are compared where they meet
+CROWD_BLOCK = 512
 SMALL_COST = 20.0  # weight of meetings by nearly empty segments in the cost model
 
 FOLD = np.arange(256, dtype=np.uint8)
@@ -269,6 +271,68 @@ def _verify(words: int, percent: int):
     return run
 
 
+def _shared(lists: list[np.ndarray], other: list[np.ndarray]) -> np.ndarray:
+    """Which rows of two lists have an element in common."""
+    flat = np.concatenate(lists + other) if lists and other else np.zeros(0, np.int64)
+    if not len(flat):
+        return np.zeros((len(lists), len(other)), bool)
+    values, code = np.unique(flat, return_inverse=True)
+    sizes = [len(x) for x in lists + other]
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    table = np.zeros((len(sizes), len(values)), np.float32)
+    table[row, code] = 1
+    return table[: len(lists)] @ table[len(lists):].T > 0
+
+
+def _crowd(words: int, percent: int):
+    """Links of unconnected sets that meet in a crowded place; (i, j) names two of its blocks."""
+
+    def run(rows):
+        import pandas as pd
+
+        sig, i, j = (int(rows[c].iloc[0]) for c in ("sig", "i", "j"))
+        rows = rows.sort_values("node", ignore_index=True)
+        block, node, comp, size = (rows[c].to_numpy() for c in ("block", "node", "comp", "size"))
+        left = np.flatnonzero(block == i)
+        right = left if i == j else np.flatnonzero(block == j)
+        # places that come before this one: pairs that share one were compared there
+        before = [np.asarray(s, np.int64)[np.asarray(s, np.int64) < sig] for s in rows["sigs"]]
+        fit = (comp[left][:, None] != comp[right][None, :]) & (
+            100 * np.minimum(size[left][:, None], size[right][None, :])
+            >= percent * np.maximum(size[left][:, None], size[right][None, :])
+        )
+        if i == j:
+            fit &= node[left][:, None] < node[right][None, :]
+        fit &= ~_shared([before[k] for k in left], [before[k] for k in right])
+        a, b = np.nonzero(fit)
+        a, b = left[a], right[b]
+        needed = np.unique(np.concatenate([a, b]))
+        loose, hasher, links = zstandard.ZstdDecompressor(), SpanHash(), []
+        if len(needed):
+            texts = [loose.decompress(rows["packed"].iloc[k]) for k in needed]
+            at = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+            sets = dict(zip(needed.tolist(), shingle_sets(np.frombuffer(b"".join(texts), np.uint8), at, hasher, words)))
+            root = {int(c): int(c) for c in np.unique(comp)}
+
+            def find(x: int) -> int:
+                while root[x] != x:
+                    root[x] = root[root[x]]
+                    x = root[x]
+                return x
+
+            for x, y in zip(a.tolist(), b.tolist()):
+                p, q = find(int(comp[x])), find(int(comp[y]))
+                if p == q:
+                    continue  # connected by links found here
+                both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                if 100 * both >= percent * (len(sets[x]) + len(sets[y]) - both):
+                    root[max(p, q)] = min(p, q)
+                    links.append((node[x], node[y]))
+        return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
+
+    return run
+
+
 # --- the join ----------------------------------------------------------------------
 
 
@@ -367,12 +431,18 @@ def jaccard_classes(
             "a < b and comp <> comp_b"
         ).select("a", "b")
 
-    def crossed(groups: DataFrame) -> DataFrame:
-        """Meeting places two and two: a linked pair shares two at least."""
-        other = groups.select("node", F.col("sig").alias("sig_b"))
-        return groups.select("sig", "node").join(other, "node").where("sig < sig_b").select(
-            F.xxhash64("sig", "sig_b").alias("sig"), "node"
+    def in_place(groups: DataFrame) -> DataFrame:
+        """Links found by bringing the texts of a crowd to where it meets, block by block."""
+        own = groups.groupBy("node").agg(F.collect_list("sig").alias("sigs"))  # no more than a set has signatures
+        blocks = F.ceil(F.col("n") / CROWD_BLOCK).cast("long")
+        rows = groups.join(own, "node").join(sizes, "node").join(texts, "node").withColumn(
+            "block", F.pmod(F.xxhash64("node"), blocks)
+        ).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+        dealt = rows.select(
+            "sig", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "node", "comp",
+            "size", "sigs", "packed",
         )
+        return dealt.groupBy("sig", "i", "j").applyInPandas(_crowd(words, percent), "a long, b long")
 
     left = still_open(joined, members, "open-1")
     if left.limit(1).count():
@@ -382,12 +452,10 @@ def jaccard_classes(
         joined = components(scratch, links, "components-2")
         left = still_open(joined, left, "open-2")
         pairs = all_pairs(left.where(F.col("n") <= CROWD))
-        crowded = left.where(F.col("n") > CROWD)
-        if crowded.limit(1).count():
-            pairs = pairs.unionByName(all_pairs(still_open(joined, crossed(crowded), "open-3")))
         more = judge(scratch.stage(fresh(pairs, tested), "pairs-3"), "tested-3")
         tested = tested.unionByName(more)
-        links = tested.where("linked").select("a", "b")
+        crowds = scratch.stage(in_place(left.where(F.col("n") > CROWD)), "crowds")
+        links = tested.where("linked").select("a", "b").unionByName(crowds)
         joined = components(scratch, links, "components-3")
 
     placed = scratch.stage(
