@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aeroquant.llm import jaccard, lines, mixing, neighbours, packing, repetition, sharding, toxicity, urls
+from aeroquant.llm import jaccard, lines, mixing, neighbours, packing, passages, repetition, sharding, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -107,3 +107,9 @@ def op1(spark, sf_dir):
     return neighbours.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")).select(
         "vec_id", "n_links", "component_id", "kept"
     )
+
+
+@query("op6_repeated_passages")
+def op6(spark, sf_dir):
+    kept = passages.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2(F.col("text"), 256).alias("kept_sha256"))
