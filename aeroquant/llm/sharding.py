@@ -60,15 +60,17 @@ def cut_points(groups: DataFrame, total: int, largest: int, shards: int, runs: i
     """Ends (in weight) of the shards of the minimax contiguous partition.
 
     ``groups`` has ``_before`` and ``weight`` in order; groups stay whole. At most
-    ``shards`` ends come back; the last is ``total``.
+    ``shards`` ends come back; the last is ``total``. Where a hundred shards and more
+    keep the search from closing in, the capacity may exceed the least one by a run,
+    1/200 of a shard.
     """
     if total <= 0:
         return []
-    windows = [(0, total)]
+    windows, width = [(0, total)], total
+    runs = max(runs, 200 * shards)
     known: dict[int, bool] = {}  # run end: is that run a single group
     end = F.col("_before") + F.col("weight")
     while True:
-        width = sum(b - a for a, b in windows)
         step = max(1, width // runs)
         inside = F.lit(False)
         for a, b in windows:
@@ -77,11 +79,8 @@ def cut_points(groups: DataFrame, total: int, largest: int, shards: int, runs: i
             groups.where(inside).groupBy(F.floor(F.col("_before") / step).alias("k"))
             .agg(F.min("_before").alias("lo"), F.max(end).alias("hi"), F.count("*").alias("n")).collect()
         )  # one row per run
-        for r in found:
-            known[r["lo"]] = known.get(r["lo"], False)
-        for a, b in windows:  # the runs of this pass replace those they lie in
-            for e in [e for e in known if a < e <= b]:
-                del known[e]
+        # the runs of this pass replace those they lie in
+        known = {e: one for e, one in known.items() if not any(a < e <= b for a, b in windows)}
         for r in found:
             known[r["hi"]] = r["n"] == 1
             if r["lo"]:
@@ -104,13 +103,15 @@ def cut_points(groups: DataFrame, total: int, largest: int, shards: int, runs: i
             j = bisect_right(ends, hi_at)
             low.append(lo_at)
             high.append(ends[min(j, len(ends) - 1)])
-        windows = _merge([
-            (ends[i - 1] if i else 0, ends[i])
-            for i in range(len(ends)) if not atomic[i]
-            and any((ends[i - 1] if i else 0) < h and ends[i] > lo for lo, h in zip(low, high))
-        ])
-        if not windows:
+        def split(a: int, b: int) -> bool:
+            """Is there a run of several groups between a and b?"""
+            return not all(atomic[bisect_right(ends, a): bisect_right(ends, b)])
+
+        windows = _merge([(a, b) for a, b in zip(low, high) if a < b and split(a, b)])
+        left = sum(b - a for a, b in windows)
+        if not windows or left > width // 2:
             return _even(ends, upper, shards, total)
+        width = left
 
 
 def _even(ends: list[int], capacity: int, shards: int, total: int) -> list[int]:
