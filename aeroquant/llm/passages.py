@@ -14,7 +14,7 @@ which indexes all contexts it gets:
 
 Windows with a match of ``length`` bytes, and their partners, are repeated. Repetitive
 text has few runs, so there is little to compute. A name with more contexts than a
-task should hold is dealt out by what its windows have in common, half a run at a time.
+task should hold is dealt out by what its windows have in common, part by part.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -52,10 +52,11 @@ def _slide(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def window_runs(raw: np.ndarray, at: np.ndarray, hasher: SpanHash, length: int, gram: int):
-    """Runs of all texts: text, first window, number of windows, name, context hash."""
+    """Runs of all texts: text, first window, number of windows, bytes from the first window
+    to the place that names it, name, context hash."""
     none = np.zeros(0, np.int64)
     if len(raw) < length:
-        return none, none, none, none.view(np.uint64), none.view(np.uint64)
+        return none, none, none, none, none.view(np.uint64), none.view(np.uint64)
     sums = hasher.sums(raw)
     n = len(raw) - gram + 1
     grams = hasher.spans(sums, np.arange(n), np.arange(gram, len(raw) + 1))
@@ -74,7 +75,7 @@ def window_runs(raw: np.ndarray, at: np.ndarray, hasher: SpanHash, length: int,
     first = np.flatnonzero(head)
     size = stop[np.searchsorted(stop, first, "right")] - first
     context = hasher.spans(sums, first, first + size + length - 1)
-    return text[first], first - at[text[first]], size, grams[chosen[first]], context
+    return text[first], first - at[text[first]], size, chosen[first] - first, grams[chosen[first]], context
 
 
 def _runs(length: int, gram: int):
@@ -83,12 +84,12 @@ def _runs(length: int, gram: int):
         for batch in batches:
             for part in pieces(batch, "text", 2 << 20):
                 column = part.column(part.schema.get_field_index("text"))
-                text, first, size, name, context = window_runs(*text_bytes(column), hasher, length, gram)
+                text, first, size, away, name, context = window_runs(*text_bytes(column), hasher, length, gram)
                 doc, mark = part.column("doc").to_numpy(), part.column("mark").to_numpy()
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(doc[text]), pa.array(mark[text]), pa.array(first.astype(np.int64)),
-                     pa.array(size.astype(np.int32)), pa.array(name.view(np.int64)), pa.array(context.view(np.int64))],
-                    ["doc", "mark", "first", "size", "name", "context"],
+                     pa.array(size.astype(np.int32)), pa.array(away.astype(np.int32)), pa.array(name.view(np.int64)), pa.array(context.view(np.int64))],
+                    ["doc", "mark", "first", "size", "away", "name", "context"],
                 )
 
     return run
@@ -111,12 +112,12 @@ def _squeeze(text_col: str, names: list[str]):
     return run
 
 
-UNIT = "name long, context long, n long, doc long, mark long, first long, size int, body binary"
+UNIT = "name long, context long, n long, doc long, mark long, first long, size int, away int, body binary"
 UNIT_NAMES = [c.split(" ")[0] for c in UNIT.split(", ")]
 
 
 def _units(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64()] * 6 + [pa.int32(), pa.binary()]
+    kinds = [pa.int64()] * 6 + [pa.int32(), pa.int32(), pa.binary()]
     columns = list(zip(*rows)) if rows else [[]] * len(kinds)
     return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], UNIT_NAMES)
 
@@ -133,27 +134,33 @@ def _bodies(length: int):
                     raw = loose.decompress(packed)
                     for a in asked:
                         body = raw[a["first"]: a["first"] + a["size"] + length - 1]
-                        rows.append((a["name"], a["context"], a["n"], doc, mark, a["first"], a["size"], body))
+                        rows.append((a["name"], a["context"], a["n"], doc, mark, a["first"], a["size"], a["away"], body))
                 yield _units(rows)
 
     return run
 
 
-def _halves(length: int):
-    """Runs cut in two, named by what the windows of a half have in common."""
+def _parts(length: int, width: int):
+    """Runs cut where the distance to the naming place passes a multiple of ``width``.
+
+    So equal windows stay together wherever their runs begin. A part is named by the
+    bytes that all windows of its distances have in common.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for r in batch.to_pylist():
-                parts = max(2, -(-r["size"] // (length // 2)))  # so short that its windows overlap
-                step = -(-r["size"] // parts)
-                for a in range(0, r["size"], step):
-                    size = min(step, r["size"] - a)
+                a, away = 0, r["away"]
+                while a < r["size"]:
+                    near = (away - a) // width * width
+                    size = min(away - a - near + 1, r["size"] - a)
                     body = r["body"][a: a + size + length - 1]
-                    name = xxhash.xxh3_64_intdigest(body[size - 1: length], seed=size) - (1 << 63)
+                    shared = r["body"][away - near: away - near - width + 1 + length]
+                    name = xxhash.xxh3_64_intdigest(shared, seed=near * length + width) - (1 << 63)
                     context = xxhash.xxh3_64_intdigest(body) - (1 << 63)
-                    rows.append((name, context, r["n"], r["doc"], r["mark"], r["first"] + a, size, body))
+                    rows.append((name, context, r["n"], r["doc"], r["mark"], r["first"] + a, size, away - a, body))
+                    a += size
             yield _units(rows)
 
     return run
@@ -339,22 +346,22 @@ def repeated_spans(
     """(doc, mark, start, stop) of repeated bytes of ``documents`` (doc, mark, text); spans may overlap."""
     spark = documents.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    by_name, by_context = Window.partitionBy("name"), Window.partitionBy("name", "context")
     runs = documents.where(F.octet_length("text") >= length).mapInArrow(
-        _runs(length, gram), "doc long, mark long, first long, size int, name long, context long"
+        _runs(length, gram), "doc long, mark long, first long, size int, away int, name long, context long"
     )
-    again = scratch.stage(
-        runs.repartition(parts, "name").withColumn("n", F.count("*").over(by_context))
-        .withColumns({"all": F.count("*").over(by_name), "least": F.min("n").over(by_name)})
-        .where("all > 1").select("doc", "mark", "first", "size", "name", "context", "n", "least"), "again",
+    # contexts are counted on the map side first, so a passage in many texts is a row per task
+    kinds = scratch.stage(
+        runs.groupBy("name", "context").agg(
+            F.count("*").alias("n"), F.min(F.struct("doc", "mark", "first", "size", "away")).alias("at")
+        ), "kinds",
     )
+    names = kinds.groupBy("name").agg(F.sum("n").alias("all"), F.min("n").alias("least"), F.count("*").alias("kinds"))
     stop = F.col("first") + F.col("size") + (length - 1)
-    spans = again.where("n > 1").select("doc", "mark", F.col("first").alias("start"), stop.cast("long").alias("stop"))
-
-    kinds = again.where("least = 1").groupBy("name", "context").agg(
-        F.max("n").alias("n"), F.min(F.struct("doc", "mark", "first", "size")).alias("at")
-    )
-    asked = kinds.select("at.doc", "at.mark", F.struct("name", "context", "n", "at.first", "at.size").alias("a")).groupBy(
+    known = runs.join(kinds.where("n > 1").select("name", "context"), ["name", "context"])
+    spans = known.select("doc", "mark", F.col("first").alias("start"), stop.cast("long").alias("stop"))
+    # a name with several contexts, one of them met but once, has to be looked into
+    kinds = kinds.join(names.where("kinds > 1 and least = 1").select("name"), "name").select("name", "context", "n", "at")
+    asked = kinds.select("at.doc", "at.mark", F.struct("name", "context", "n", "at.first", "at.size", "at.away").alias("a")).groupBy(
         "doc", "mark"
     ).agg(F.collect_list("a").alias("asked"))
     packed = documents.mapInArrow(_squeeze("text", ["doc", "mark", "text"]), "doc long, mark long, text binary")
@@ -362,16 +369,16 @@ def repeated_spans(
         packed.withColumnRenamed("text", "packed").join(asked, ["doc", "mark"])
         .select("doc", "mark", "packed", "asked").mapInArrow(_bodies(length), UNIT), "units-0",
     )
-    step = 0
+    step, width = 0, length - gram + 1
     while True:  # deal out names with more contexts than a task should hold
         heavy = units.groupBy("name").agg(F.sum(F.length("body")).alias("bytes")).where(F.col("bytes") > name_bytes)
         heavy = scratch.stage(heavy.select("name"), f"heavy-{step}")
         if not heavy.limit(1).count():
             break
-        step += 1
-        halves = scratch.stage(units.join(heavy, "name").select(*UNIT_NAMES).mapInArrow(_halves(length), UNIT), f"halves-{step}")
+        step, width = step + 1, -(-width // 2)
+        halves = scratch.stage(units.join(heavy, "name").select(*UNIT_NAMES).mapInArrow(_parts(length, width), UNIT), f"halves-{step}")
         total = halves.groupBy("name", "context").agg(
-            F.sum("n").alias("sum"), F.min(F.struct("doc", "mark", "first", "size")).alias("at"), F.first("body").alias("body")
+            F.sum("n").alias("sum"), F.min(F.struct("doc", "mark", "first", "size", "away")).alias("at"), F.first("body").alias("body")
         )
         known = halves.where("n = 1").join(total.where("sum > 1").select("name", "context"), ["name", "context"])
         spans = spans.unionByName(
@@ -381,7 +388,7 @@ def repeated_spans(
             "kinds > 1 and least = 1"
         )
         rest = total.join(open_names.select("name"), "name").select(
-            "name", "context", F.col("sum").alias("n"), "at.doc", "at.mark", "at.first", "at.size", "body"
+            "name", "context", F.col("sum").alias("n"), "at.doc", "at.mark", "at.first", "at.size", "at.away", "body"
         )
         units = scratch.stage(units.join(heavy, "name", "left_anti").unionByName(rest), f"units-{step}")
     found = units.repartition(parts, "name").sortWithinPartitions("name").mapInArrow(_index(length), SPAN)
