@@ -185,7 +185,7 @@ def signatures(tokens: np.ndarray, plan: Plan) -> np.ndarray:
 
 
 def _sets_of(batch: pa.RecordBatch, hasher: SpanHash, words: int):
-    for part in pieces(batch, "text", 4 << 20):
+    for part in pieces(batch, "text", 1 << 20):
         column = part.column(part.schema.get_field_index("text"))
         yield part, shingle_sets(*text_bytes(column), hasher, words)
 

@@ -28,7 +28,7 @@ MAX_SEGMENTS = 128
 END = 0  # the id that closes a text
 BLOCK_TOKENS = 2_000_000
 BLOCK_TEXTS = 1_024
-CACHED = 1_200_000
+CACHED = 300_000
 
 
 # --- tokens --------------------------------------------------------------------

@@ -82,7 +82,7 @@ def _runs(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = SpanHash()
         for batch in batches:
-            for part in pieces(batch, "text", 2 << 20):
+            for part in pieces(batch, "text", 1 << 20):
                 column = part.column(part.schema.get_field_index("text"))
                 text, first, size, away, name, context = window_runs(*text_bytes(column), hasher, length, gram)
                 doc, mark = part.column("doc").to_numpy(), part.column("mark").to_numpy()

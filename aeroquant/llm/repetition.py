@@ -164,7 +164,7 @@ def quality_rules(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = SpanHash()
         for batch in batches:
-            for part in pieces(batch, text_col, 4 << 20):
+            for part in pieces(batch, text_col, 2 << 20):
                 m = measure(*text_bytes(part.column(part.schema.get_field_index(text_col))), hasher, lengths)
                 base = (m["n_words"] < min_words) | (100 * m["n_repeat_words"] > repeat_percent * m["n_words"])
                 bad = 100 * m["dup_line_chars"] > line_percent * m["word_chars"]
