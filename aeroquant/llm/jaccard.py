@@ -417,9 +417,9 @@ def jaccard_classes(
         return near(ordered.distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti"))
 
     def hubs(groups: DataFrame) -> DataFrame:
-        """Each set with the hub of its meeting place, another one in every place."""
+        """Each set with a hub of its meeting place, by another order than the first."""
         w = Window.partitionBy("sig")
-        hub = F.min(F.struct(F.xxhash64("sig", "node").alias("h"), "node", "comp")).over(w)
+        hub = F.min(F.struct(F.xxhash64(F.lit(2), "node").alias("h"), "node", "comp")).over(w)
         return groups.withColumn("hub", hub).where("comp <> hub.comp").select(
             F.col("node").alias("a"), F.col("hub.node").alias("b")
         )
