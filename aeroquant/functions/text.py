@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 # --- fixed values -------------------------------------------------------------
 
 # characters trimmed from both ends of a callsign
-BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0"
+BLANKS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 
 CARRIER_PATTERN = "^([A-Z]{2,4})"
 

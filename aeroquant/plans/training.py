@@ -138,17 +138,31 @@ class TrainedTiers:
         )
 
     def score(self, requests: DataFrame, qs: Sequence[float] = QUANTILES) -> DataFrame:
-        """Anomaly and total per request and quantile, falling back to the pool."""
+        """Anomaly and total per request and quantile, falling back to the pool.
+
+        Every request comes back. Without a model for it, the anomaly and the total
+        are null and ``reason`` says why; else ``reason`` is null.
+        """
         trained = self.report.where("trained").select("route", "tier")
-        chosen = enrich.select_tier(requests, trained).where(F.col("tier").isNotNull())
+        chosen = enrich.select_tier(requests, trained)
         levels = F.array(*[F.lit(float(q)) for q in qs])
         asked = chosen.withColumn("fit", F.lit(PRODUCTION)).withColumn("quantile", F.explode(levels))
+        known = F.col("tier").isNotNull()
+        reason = F.when(~known, "no trained model for the route")
         if self.chosen is not None:
-            asked = asked.join(self.chosen, ["route", "tier", "quantile"])
-        ready = model_inputs(asked, self.preprocessor)
+            asked = asked.join(self.chosen.withColumn("_chosen", F.lit(True)), ["route", "tier", "quantile"], "left")
+            reason = F.coalesce(reason, F.when(F.col("_chosen").isNull(), "no parameters chosen for the quantile"))
+            known = known & F.col("_chosen").isNotNull()
+        ready = model_inputs(asked.where(known).drop("_chosen"), self.preprocessor)
         scored = self.model.predict(ready, "anomaly").join(self.medians.drop("n_train"), list(self.KEYS), "left")
         total = F.coalesce("route_median", F.lit(0.0)) + F.col("anomaly")
-        return scored.select(*requests.columns, "tier", "is_fallback", "quantile", "anomaly", "route_median", total.alias("total"))
+        named = [*requests.columns, "tier", "is_fallback", "quantile"]
+        without = asked.where(~known).select(
+            *named, *[F.lit(None).cast("double").alias(c) for c in ("anomaly", "route_median", "total")], reason.alias("reason")
+        )
+        return scored.select(
+            *named, "anomaly", "route_median", total.alias("total"), F.lit(None).cast("string").alias("reason")
+        ).unionByName(without)
 
 
 def model_inputs(rows: DataFrame, fitted: Preprocessor) -> DataFrame:

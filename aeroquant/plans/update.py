@@ -50,8 +50,10 @@ def new_flights(arrivals: DataFrame, routes: DataFrame) -> DataFrame:
 
 
 def update_flights(spark: SparkSession, arrivals: DataFrame, routes: DataFrame, path: str) -> DataFrame | None:
-    rest = [c for c in arrivals.columns if c not in MERGE_KEY]
-    return merge_into(spark, path, new_flights(arrivals, routes), MERGE_KEY, rest, "flight_date")
+    """One table for all routes; a flight listed for two of them stays in both."""
+    keys = [*MERGE_KEY, "route"]
+    rest = [c for c in arrivals.columns if c not in keys]
+    return merge_into(spark, path, new_flights(arrivals, routes), keys, rest, "flight_date")
 
 
 def update_weather(spark: SparkSession, hours: DataFrame, path: str) -> DataFrame | None:

@@ -41,10 +41,10 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | str) -> Da
 
 
 def read_or_none(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame | None:
-    """None where nothing is stored; damaged files are skipped."""
+    """None where nothing is stored. A damaged file is an error: the caller rewrites
+    what it reads, so a skipped file would be lost for good."""
     try:
-        reader = spark.read.schema(schema).option("ignoreCorruptFiles", "true")
-        return numbers.clean_nan(reader.parquet(path))
+        return numbers.clean_nan(spark.read.schema(schema).option("ignoreCorruptFiles", "false").parquet(path))
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
             return None
@@ -80,11 +80,15 @@ def chunk_inventory(
         .groupBy("path")
         .agg(F.count("*").alias("n_rows"), F.bool_or("complete").alias("has_schema"))
     )
+    # both sides name a file by its encoded address, so blanks and signs in names match
+    listed = (
+        spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
+        .load(path).select(F.col("path").alias("plain"), F.col("_metadata.file_path").alias("path"))
+    )
     return (
-        file_list(spark, path, pattern)
-        .join(counted, "path", "left")
+        listed.join(counted, "path", "left")
         .select(
-            "path",
+            F.col("plain").alias("path"),
             F.coalesce("n_rows", F.lit(0)).alias("n_rows"),
             F.coalesce("has_schema", F.lit(False)).alias("has_schema"),
         )

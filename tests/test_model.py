@@ -139,6 +139,9 @@ def test_tiers_end_to_end(spark, history, tmp_path):
     assert len(scored) == 1400 and set(scored.tier) == {"AEE", "all_carriers"}
     assert scored[scored.airline == "DLH"].is_fallback.all()
     np.testing.assert_allclose(scored.total, scored.route_median + scored.anomaly)
+    strange = history.limit(5).withColumn("route", F.lit("elsewhere"))
+    kept = again.score(strange, (0.5, 0.9)).collect()
+    assert len(kept) == 10 and all(r.tier is None and r.anomaly is None and r.reason for r in kept)
     mid = scored[scored["quantile"] == 0.5].merge(history.select("icao24", F.col("flight_duration").alias("d")).toPandas(), on="icao24")
     assert 0.35 < (mid.d <= mid.total).mean() < 0.65
 

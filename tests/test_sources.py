@@ -16,11 +16,19 @@ def test_read_or_none(spark, tmp_path):
     assert df.count() == 3 and df.where("x is null").count() == 3
 
 
-def test_damaged_file_is_skipped(spark, tmp_path):
+def test_damaged_file_is_an_error(spark, tmp_path):
     path = tmp_path / "t"
     spark.range(3).coalesce(1).write.parquet(str(path))
     (path / "part-bad.parquet").write_bytes(b"not parquet at all")
-    assert landed.read_or_none(spark, str(path), "id bigint").count() == 3
+    with pytest.raises(Exception):
+        landed.read_or_none(spark, str(path), "id bigint").count()
+    assert landed.read_or_none(spark, str(tmp_path / "none"), "id bigint") is None
+
+
+def test_chunk_names_with_blanks_and_signs(spark, tmp_path):
+    spark.range(5).coalesce(1).write.parquet(str(tmp_path / "a b%.parquet"))
+    found = landed.chunk_inventory(spark, str(tmp_path), "id bigint", "*.parquet", ["id"]).collect()
+    assert [(r.n_rows, r.has_schema, "a b%" in r.path) for r in found] == [(5, True, True)]
 
 
 def test_chunk_inventory(spark, tmp_path):

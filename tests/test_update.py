@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from aeroquant.plans import scoring, training, update
@@ -27,6 +28,25 @@ def test_flight_table_grows_and_keeps_stored_rows(spark, tmp_path):
     assert set(column(out, "route")) == {"EDDF->LGTS"}
 
 
+def test_a_flight_on_two_routes_stays_in_both(spark, tmp_path):
+    path = str(tmp_path / "flights")
+    routes = spark.createDataFrame([("EDDF", "LGTS"), ("EDDM", "LGTS")], "origin string, destination string")
+    update.update_flights(spark, arrivals(spark, [("a", 0, 6000, "EDDF", "x"), ("a", 0, 6000, "EDDM", "x")]), routes, path)
+    assert sorted(column(spark.read.parquet(path), "route")) == ["EDDF->LGTS", "EDDM->LGTS"]
+
+
+def test_a_damaged_stored_file_stops_the_update(spark, tmp_path):
+    path = tmp_path / "flights"
+    routes = spark.createDataFrame([("EDDF", "LGTS")], "origin string, destination string")
+    update.update_flights(spark, arrivals(spark, [("a", 0, 6000, "EDDF", "x"), ("b", 60, 6000, "EDDF", "y")]), routes, str(path))
+    for part in path.rglob("*.parquet"):
+        part.write_bytes(b"damaged")
+        part.with_name(f".{part.name}.crc").unlink(missing_ok=True)
+    with pytest.raises(Exception):
+        update.update_flights(spark, arrivals(spark, [("c", 90, 6000, "EDDF", "z")]), routes, str(path))
+    assert [p.read_bytes() for p in path.rglob("*.parquet")] == [b"damaged"] * len(list(path.rglob("*.parquet")))
+
+
 def test_weather_table_merges_by_hour(spark, tmp_path):
     path = str(tmp_path / "weather")
     hours = lambda pairs: spark.createDataFrame([("A", seconds(3600 * h), v) for h, v in pairs], "airport string, time timestamp, cape double")
