@@ -115,7 +115,8 @@ def measure(raw: np.ndarray, at: np.ndarray, hasher: SpanHash, lengths: list[int
     for want in [BASE_WORDS, *lengths]:
         while n < want:
             shifted = np.zeros(total, np.uint64)
-            shifted[: total - n] = word[n:] if n else word
+            if n < total:
+                shifted[: total - n] = word[n:]
             value = value * STEP + shifted
             n += 1
         alive = alive[room[alive] >= want]
