@@ -208,13 +208,13 @@ def _describe(words: int):
 
 
 def _meet(words: int, percent: int):
-    """(sig, node) of every different set a task sees; copies in a task count once."""
+    """(sig, node, size) of every different set a task sees; copies in a task count once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, plan, seen = SpanHash(), Plan(percent), set()
         for batch in batches:
             for _, sets in _sets_of(batch, hasher, words):
-                sigs, nodes = [], []
+                sigs, nodes, sizes = [], [], []
                 for tokens in sets:
                     if len(tokens) < plan.least:
                         continue
@@ -227,9 +227,11 @@ def _meet(words: int, percent: int):
                     own = signatures(tokens, plan)
                     sigs.append(own)
                     nodes.append(np.full(len(own), node, np.int64))
+                    sizes.append(np.full(len(own), len(tokens), np.int64))
                 if sigs:
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(nodes))], ["sig", "node"]
+                        [pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(nodes)),
+                         pa.array(np.concatenate(sizes))], ["sig", "node", "size"],
                     )
 
     return run
@@ -359,15 +361,14 @@ def jaccard_classes(
     slim = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = scratch.stage(slim.mapInArrow(_describe(words), "doc_id long, size long, node long, check long"), "rows")
     keyed = F.coalesce("doc_id", F.lit(NO_ID))
-    classes = scratch.stage(
-        rows.where("size > 0").groupBy("node").agg(F.min(keyed).alias("doc"), F.max("size").alias("size")), "classes"
-    )
+    classes = scratch.stage(rows.where("size > 0").groupBy("node").agg(F.min(keyed).alias("doc")), "classes")
 
     by_sig = Window.partitionBy("sig")
-    met = slim.mapInArrow(_meet(words, percent), "sig long, node long")
+    met = slim.mapInArrow(_meet(words, percent), "sig long, node long, size long")
+    # sizes travel with the sets, so pairs they rule out are never made
     members = scratch.stage(
-        met.withColumns({"lo": F.min("node").over(by_sig), "hi": F.max("node").over(by_sig)})
-        .where("lo < hi").select("sig", "node", "lo"), "members",
+        met.withColumns({"lo": F.min(F.struct("node", "size")).over(by_sig), "hi": F.max("node").over(by_sig)})
+        .where("lo.node < hi").select("sig", "node", "size", "lo"), "members",
     )
 
     wanted = members.select("node").distinct().join(classes, "node").select(F.col("doc").alias("doc_id"), "node")
@@ -377,16 +378,10 @@ def jaccard_classes(
         packed.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID))).join(wanted, "doc_id")
         .select("node", "packed"), "texts",
     ) if _ids_are_unique(rows) else _texts_by_set(scratch, slim, words, members)
-    sizes = classes.select("node", "size")
-
-    def near(pairs: DataFrame) -> DataFrame:
-        """Different pairs whose sizes allow a link."""
-        a = sizes.select(F.col("node").alias("a"), F.col("size").alias("na"))
-        b = sizes.select(F.col("node").alias("b"), F.col("size").alias("nb"))
-        return (
-            pairs.distinct().join(a, "a").join(b, "b")
-            .where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b")
-        )
+
+    def near(a: str, b: str):
+        """Sizes allow a link."""
+        return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
     def judge(pairs: DataFrame, name: str) -> DataFrame:
         joined = (
@@ -396,46 +391,48 @@ def jaccard_classes(
         )
         return scratch.stage(joined.mapInArrow(_verify(words, percent), "a long, b long, linked boolean"), name)
 
-    first = near(members.where("node <> lo").select(F.col("lo").alias("a"), F.col("node").alias("b")))
+    first = members.where((F.col("node") != F.col("lo.node")) & near("lo.size", "size")).select(
+        F.col("lo.node").alias("a"), F.col("node").alias("b")
+    ).distinct()
     tested = judge(scratch.stage(first, "pairs-1"), "tested-1")
     links = tested.where("linked").select("a", "b")
     joined = components(scratch, links, "components-1")
 
     def still_open(joined: DataFrame, groups: DataFrame, name: str) -> DataFrame:
-        """Meeting places where unconnected sets are left: (sig, node, comp, n)."""
+        """Meeting places where unconnected sets are left: (sig, node, size, comp, n)."""
         w = Window.partitionBy("sig")
-        marked = groups.select("sig", "node").distinct().join(joined, "node", "left").select(
-            "sig", "node", F.coalesce("component", "node").alias("comp")
+        marked = groups.select("sig", "node", "size").distinct().join(joined, "node", "left").select(
+            "sig", "node", "size", F.coalesce("component", "node").alias("comp")
         )
         return scratch.stage(
             marked.withColumns({"lo": F.min("comp").over(w), "hi": F.max("comp").over(w), "n": F.count("*").over(w)})
-            .where("lo < hi").select("sig", "node", "comp", "n"), name,
+            .where("lo < hi").select("sig", "node", "size", "comp", "n"), name,
         )
 
     def fresh(pairs: DataFrame, tested: DataFrame) -> DataFrame:
         ordered = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        return near(ordered.distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti"))
+        return ordered.distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
 
     def hubs(groups: DataFrame) -> DataFrame:
         """Each set with a hub of its meeting place, by another order than the first."""
         w = Window.partitionBy("sig")
-        hub = F.min(F.struct(F.xxhash64(F.lit(2), "node").alias("h"), "node", "comp")).over(w)
-        return groups.withColumn("hub", hub).where("comp <> hub.comp").select(
+        hub = F.min(F.struct(F.xxhash64(F.lit(2), "node").alias("h"), "node", "size", "comp")).over(w)
+        return groups.withColumn("hub", hub).where((F.col("comp") != F.col("hub.comp")) & near("hub.size", "size")).select(
             F.col("node").alias("a"), F.col("hub.node").alias("b")
         )
 
     def all_pairs(groups: DataFrame) -> DataFrame:
         """Pairs of unconnected sets of a meeting place."""
-        other = groups.select("sig", F.col("node").alias("b"), F.col("comp").alias("comp_b"))
-        return groups.select("sig", F.col("node").alias("a"), "comp").join(other, "sig").where(
-            "a < b and comp <> comp_b"
+        other = groups.select("sig", F.col("node").alias("b"), F.col("comp").alias("comp_b"), F.col("size").alias("size_b"))
+        return groups.select("sig", F.col("node").alias("a"), "comp", "size").join(other, "sig").where(
+            F.expr("a < b and comp <> comp_b") & near("size", "size_b")
         ).select("a", "b")
 
     def in_place(groups: DataFrame) -> DataFrame:
         """Links found by bringing the texts of a crowd to where it meets, block by block."""
         own = groups.groupBy("node").agg(F.collect_list("sig").alias("sigs"))  # no more than a set has signatures
         blocks = F.ceil(F.col("n") / CROWD_BLOCK).cast("long")
-        rows = groups.join(own, "node").join(sizes, "node").join(texts, "node").withColumn(
+        rows = groups.join(own, "node").join(texts, "node").withColumn(
             "block", F.pmod(F.xxhash64("node"), blocks)
         ).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
         dealt = rows.select(
