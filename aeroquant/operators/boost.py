@@ -6,8 +6,9 @@ grouped aggregation of gradients into histograms, so the number of Spark jobs
 depends on rounds and depth, never on the number of models. A huge population
 spreads over all tasks, since histograms are summed on the map side.
 
-What grows with the model (one row of trees per population) stays in a table.
-Only the bin edges, of fixed size, pass through the driver.
+What grows with the model (one row of bin edges and trees per population) stays in
+a table. A population's edges come from its own training rows alone, so no row of
+another split or fold can move them.
 """
 
 from __future__ import annotations
@@ -18,16 +19,14 @@ import uuid
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from aeroquant.operators.quantiles import bucket_quantiles, exact_quantiles, melt
-from aeroquant.session import cut_lineage
+from aeroquant.session import cut_lineage, settle
 
 ROOT = 1
+MOST_BINS = 64
 NO_SPLIT_GAIN = 1e-6
 
 _SPLITS = "map<int,struct<f:int,b:int>>"
@@ -77,25 +76,34 @@ def sample_candidates(n: int, seed: int = 42) -> list[Params]:
     return [Params(**{name: draw(*spec) for name, spec in SEARCH.items()}) for _ in range(n)]
 
 
-def bin_edges(df: DataFrame, features: Sequence[str], bins: int) -> list[list[float]]:
-    """Distinct inner edges per feature: exact quantiles, so always the same."""
+def bin_edges(df: DataFrame, keys: Sequence[str], features: Sequence[str], bins: int) -> DataFrame:
+    """Distinct inner edges per population: keys and ``edges``, one array per feature.
+
+    Exact quantiles, so always the same. A feature without values has no edges.
+    """
     shares = [i / bins for i in range(1, bins)]
-    found = exact_quantiles(melt(df, [], features), ["column"], "value", shares).collect()  # features x bins numbers
-    edges = {r["column"]: sorted(set(r["q"])) for r in found}
-    return [edges.get(c, []) for c in features]
+    found = exact_quantiles(melt(df, keys, features), [*keys, "column"], "value", shares)
+    entry = F.struct("column", F.array_sort(F.array_distinct("q")).alias("cuts"))
+    per_column = found.groupBy(*keys).agg(F.map_from_entries(F.collect_list(entry)).alias("m"))  # one entry per feature
+    none = F.array().cast("array<double>")
+    cuts = [F.coalesce(F.try_element_at("m", F.lit(c)), none) for c in features]
+    return per_column.select(*keys, F.array(*cuts).alias("edges"))
 
 
-def add_bins(df: DataFrame, features: Sequence[str], edges: list[list[float]], name: str = "bins") -> DataFrame:
-    """Array of bin numbers: how many edges lie below each value."""
-    cuts = [np.asarray(e, dtype="float64") for e in edges]
+def add_bins(df: DataFrame, features: Sequence[str], bins: int = MOST_BINS, name: str = "bins") -> DataFrame:
+    """Array of bin numbers: how many of the row's ``edges`` lie below each value.
+
+    A missing value lies above all edges.
+    """
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range((bins - 1).bit_length()))])
 
-    @F.pandas_udf(T.ArrayType(T.ShortType()))
-    def to_bins(values: pd.Series) -> pd.Series:
-        matrix = np.stack(values.to_numpy()) if len(values) else np.empty((0, len(cuts)))
-        found = [np.searchsorted(cut, matrix[:, i], side="left") for i, cut in enumerate(cuts)]
-        return pd.Series(list(np.stack(found, axis=1).astype("int16"))) if len(values) else pd.Series([], dtype=object)
+    def below(value, cuts):  # binary search
+        hop = lambda at, step: F.when(F.try_element_at(cuts, at + step) < value, at + step).otherwise(at)
+        return F.aggregate(steps, F.lit(0), hop).cast("short")
 
-    return df.withColumn(name, to_bins(F.array(*[F.col(c).cast("double") for c in features])))
+    values = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))) for c in features])
+    no_edges = F.array().cast("array<array<double>>")
+    return df.withColumn(name, F.zip_with(values, F.coalesce("edges", no_edges), below))
 
 
 def walk(tree_splits: Column, bins: Column, depth: int) -> Column:
@@ -127,12 +135,12 @@ def _soft(total: Column, alpha: Column) -> Column:
 class BoostedModel:
     """Fitted trees per population.
 
-    ``models`` has the keys, ``base`` and ``trees``; importance sums gains.
+    ``models`` has the keys, ``base``, ``edges`` and ``trees``; importance sums gains.
     """
 
     keys: list[str]
     features: list[str]
-    edges: list[list[float]]
+    bins: int
     depth: int
     models: DataFrame
     gains: DataFrame | None = None
@@ -140,10 +148,10 @@ class BoostedModel:
 
     def predict(self, df: DataFrame, name: str = "prediction") -> DataFrame:
         """Score rows whose features are complete; unknown populations get null."""
-        binned = add_bins(df, self.features, self.edges, "_bins")
-        joined = binned.join(self.models.select(*self.keys, "base", "trees"), self.keys, "left")
+        joined = df.join(self.models.select(*self.keys, "base", "edges", "trees"), self.keys, "left")
+        binned = add_bins(joined, self.features, self.bins, "_bins")
         value = F.col("base") + ensemble_value(F.col("trees"), F.col("_bins"), self.depth)
-        return joined.withColumn(name, value).drop("base", "trees", "_bins")
+        return binned.withColumn(name, value).drop("base", "edges", "trees", "_bins")
 
     def feature_importance(self) -> DataFrame:
         """Average gain per split and feature, as shares of one per population."""
@@ -156,8 +164,8 @@ class BoostedModel:
     def save(self, path: str) -> None:
         self.models.write.mode("overwrite").parquet(f"{path}/models")
         spark = self.models.sparkSession
-        meta = [(self.keys, self.features, self.edges, self.depth)]
-        spark.createDataFrame(meta, "keys array<string>, features array<string>, edges array<array<double>>, depth int").coalesce(1) \
+        meta = [(self.keys, self.features, self.bins, self.depth)]
+        spark.createDataFrame(meta, "keys array<string>, features array<string>, bins int, depth int").coalesce(1) \
             .write.mode("overwrite").parquet(f"{path}/meta")
         if self.gains is not None:
             self.gains.write.mode("overwrite").parquet(f"{path}/gains")
@@ -165,7 +173,7 @@ class BoostedModel:
     @staticmethod
     def load(spark: SparkSession, path: str) -> BoostedModel:
         m = spark.read.parquet(f"{path}/meta").first()
-        return BoostedModel(list(m["keys"]), list(m["features"]), [list(e) for e in m["edges"]], m["depth"],
+        return BoostedModel(list(m["keys"]), list(m["features"]), m["bins"], m["depth"],
                             spark.read.parquet(f"{path}/models"), spark.read.parquet(f"{path}/gains"))
 
 
@@ -182,7 +190,7 @@ class QuantileBoostedTrees:
     id_columns: Sequence[str]
     params: Params = Params()
     candidates: Sequence[Params] | None = None
-    bins: int = 64
+    bins: int = MOST_BINS
     seed: int = 42
     checkpoint_every: int = 10
 
@@ -205,10 +213,13 @@ class QuantileBoostedTrees:
         rounds = max(self._all("n_estimators"))
         train = F.col("role") == "train"
 
-        edges = bin_edges(rows.where(train), features, self.bins)
+        # candidates share the rows, hence the edges
+        shared = [k for k in group if k != "candidate"]
+        edges = settle(bin_edges(rows.where(train), shared, features, self.bins))
         row_id = F.xxhash64(*self.id_columns)
         run = uuid.uuid4().hex
-        data = cut_lineage(add_bins(rows, features, edges).withColumn("_id", row_id).drop(*features))
+        binned = add_bins(rows.join(edges, shared, "left"), features, self.bins)
+        data = cut_lineage(binned.withColumn("_id", row_id).drop("edges", *features))
         base = cut_lineage(bucket_quantiles(data.where(train), group, F.col("y"), "quantile", "base"))
         data = data.join(base, group).withColumnRenamed("base", "margin")
 
@@ -227,11 +238,11 @@ class QuantileBoostedTrees:
                 slot = f"{run}-{t // self.checkpoint_every % 2}"
                 data = cut_lineage(self._advance(data, recent, group, depth), slot)
                 grown, gains, recent = cut_lineage(grown), cut_lineage(gains), None
-        models = base.join(grown, group, "left").select(
-            *group, "base", F.coalesce("trees", F.array().cast(grown.schema["trees"].dataType)).alias("trees")
+        models = base.join(edges, shared, "left").join(grown, group, "left").select(
+            *group, "base", "edges", F.coalesce("trees", F.array().cast(grown.schema["trees"].dataType)).alias("trees")
         )
         scored = data.drop("bins", "_id").withColumnRenamed("margin", "prediction")
-        return BoostedModel(group, features, edges, depth, models, gains, scored)
+        return BoostedModel(group, features, self.bins, depth, models, gains, scored)
 
     @staticmethod
     def _append(trees: DataFrame | None, tree: DataFrame, group: list[str]) -> DataFrame:

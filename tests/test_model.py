@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from aeroquant.operators.boost import SEARCH, BoostedModel, Params, QuantileBoostedTrees, add_bins, sample_candidates
+from aeroquant.operators.boost import SEARCH, BoostedModel, Params, QuantileBoostedTrees, add_bins, bin_edges, sample_candidates
 from aeroquant.operators.preprocess import fit_preprocessor
 from aeroquant.plans import training
 from aeroquant.schemas import MODEL_NUMERIC
@@ -72,9 +72,26 @@ def test_partitioning_and_test_rows_change_nothing(spark, model):
 
 
 def test_bins(spark):
-    df = spark.createDataFrame([(0.0, 5.0), (1.0, 6.0), (1.5, 99.0)], "a double, b double")
-    out = add_bins(df, ["a", "b"], [[0.5, 1.0], [5.5]]).collect()
-    assert [r.bins for r in out] == [[0, 0], [1, 1], [2, 1]]
+    df = spark.createDataFrame([(0.0, 5.0), (1.0, 6.0), (1.5, 99.0), (None, 5.5)], "a double, b double")
+    edges = F.array(F.array(F.lit(0.5), F.lit(1.0)), F.array(F.lit(5.5)))
+    out = add_bins(df.withColumn("edges", edges), ["a", "b"]).collect()
+    assert [r.bins for r in out] == [[0, 0], [1, 1], [2, 1], [2, 0]]
+
+
+@pytest.mark.parametrize("bins", [2, 5, 64, 100])
+def test_bins_equal_a_plain_search(spark, bins):
+    rng = np.random.default_rng(bins)
+    cuts = np.unique(rng.integers(0, 300, bins - 1)).astype(float)
+    values = np.concatenate([rng.integers(-5, 305, 200).astype(float), cuts])
+    df = spark.createDataFrame(pd.DataFrame({"a": values})).withColumn("edges", F.array(F.array(*map(F.lit, cuts.tolist()))))
+    got = add_bins(df, ["a"], bins).toPandas()
+    assert [b[0] for b in got.bins] == np.searchsorted(cuts, got.a, side="left").tolist()
+
+
+def test_edges_are_those_of_the_population(spark):
+    df = spark.createDataFrame([("p", float(i), None) for i in range(5)] + [("q", 100.0, None)], "pop string, a double, b double")
+    got = {r["pop"]: r.edges for r in bin_edges(df, ["pop"], ["a", "b"], 4).collect()}
+    assert got == {"p": [[1.0, 2.0, 3.0], []], "q": [[100.0], []]}
 
 
 def test_candidates_lie_in_the_search_space():
@@ -146,6 +163,22 @@ def test_tiers_end_to_end(spark, history, tmp_path):
     assert 0.35 < (mid.d <= mid.total).mean() < 0.65
 
 
+def test_newest_rows_and_other_fits_do_not_move_the_holdout_model(spark, history):
+    """Neither features of the newest fifth nor a production fit change the holdout's trees."""
+    order = ["firstSeen", "icao24"]
+    newest = F.col("id") >= 560  # the newest fifth of all rows
+    numbered = history.withColumn("id", F.col("icao24").cast("long"))
+    moved = numbered.withColumns({c: F.when(newest, F.col(c) * 50 + 1000).otherwise(F.col(c)) for c in MODEL_NUMERIC})
+
+    def trees(rows, fits):
+        run = training.train_tiers(rows, order, (0.9,), QUICK, fits, min_rows=200)
+        found = run.model.models.where("fit = 'holdout' and tier = 'all_carriers'")
+        return found.select("base", F.to_json("edges"), F.to_json("trees")).collect()
+
+    alone = trees(history, ["holdout"])
+    assert len(alone) == 1 and alone == trees(moved, ["holdout", "production"])
+
+
 def test_tuning_scores_every_candidate(spark, history, tmp_path):
     candidates = [QUICK, Params(n_estimators=1, learning_rate=0.005)]
     best = training.tune_tiers(history, ["firstSeen", "icao24"], candidates, (0.5,), 200)
