@@ -80,10 +80,8 @@ with {FLIGHTS}
 select event_id, arr as destination_airport, route, concat(dep, '_', arr) as dep_arr from trips where dep < arr""")
 def route_filter(spark, sf_dir):
     f = clean.on_routes(tables.flights(spark, sf_dir), routes_frame(spark, sf_dir))
-    fallback = clean.ensure_route(f.drop("route")).withColumnRenamed("route", "dep_arr")
-    return fallback.join(f.select("event_id", "route"), "event_id") .select(
-        "event_id", "destination_airport", "route", "dep_arr"
-    )
+    fallback = clean.ensure_route(f.withColumnRenamed("route", "listed"))
+    return fallback.select("event_id", "destination_airport", F.col("listed").alias("route"), F.col("route").alias("dep_arr"))
 
 
 @query("sanity_filter", f"with {FLIGHTS} select event_id, round(flight_duration, 6) as minutes from sane")
