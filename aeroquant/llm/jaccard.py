@@ -409,6 +409,11 @@ def jaccard_classes(
             .where("lo < hi").select("sig", "node", "size", "comp", "n"), name,
         )
 
+    def grown(joined: DataFrame, new: DataFrame, name: str) -> DataFrame:
+        """Components after new links; those known enter as stars, which settle in few rounds."""
+        stars = joined.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        return components(scratch, stars.unionByName(new.select("a", "b")), name)
+
     def fresh(pairs: DataFrame, tested: DataFrame) -> DataFrame:
         ordered = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         return ordered.distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
@@ -445,15 +450,14 @@ def jaccard_classes(
     if left.limit(1).count():
         more = judge(scratch.stage(fresh(hubs(left), tested), "pairs-2"), "tested-2")
         tested = tested.unionByName(more)
-        links = tested.where("linked").select("a", "b")
-        joined = components(scratch, links, "components-2")
+        joined = grown(joined, more.where("linked"), "components-2")
         left = still_open(joined, left, "open-2")
         pairs = all_pairs(left.where(F.col("n") <= CROWD))
         more = judge(scratch.stage(fresh(pairs, tested), "pairs-3"), "tested-3")
         tested = tested.unionByName(more)
         crowds = scratch.stage(in_place(left.where(F.col("n") > CROWD)), "crowds")
         links = tested.where("linked").select("a", "b").unionByName(crowds)
-        joined = components(scratch, links, "components-3")
+        joined = grown(joined, more.where("linked").select("a", "b").unionByName(crowds), "components-3")
 
     placed = scratch.stage(
         classes.join(joined, "node", "left").select("node", "doc", F.coalesce("component", "node").alias("comp")), "placed"
