@@ -28,6 +28,15 @@ def order_key(order: Sequence[str]) -> Column:
     return F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
 
 
+def join_populations(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join by population; a null key is a population of its own."""
+    named = {k: f"_right_{k}" for k in keys}
+    same = F.lit(True)
+    for k, other in named.items():
+        same = same & F.col(k).eqNullSafe(F.col(other))
+    return left.join(right.withColumnsRenamed(named), same, how).drop(*named.values())
+
+
 def hour_counts(df: DataFrame, keys: Sequence[str], time: str) -> DataFrame:
     """Rows per population and hour, with the rows before; small and stored."""
     w = Window.partitionBy(*keys).orderBy("h").rowsBetween(Window.unboundedPreceding, 0)
@@ -45,7 +54,7 @@ def boundary_keys(
     """
     inside = lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col("size"))
     hit = settle(
-        hours.join(ranks.select(*keys, "ranks"), list(keys))
+        join_populations(hours, ranks.select(*keys, "ranks"), keys)
         .withColumn("picks", F.filter("ranks", inside))
         .where(F.size("picks") > 0)
         .select(*keys, "h", "before", "picks")
@@ -54,10 +63,9 @@ def boundary_keys(
     keyed = df.select(*keys, F.date_trunc("hour", F.col(order[0])).alias("h"), order_key(order).alias("key"))
     w = Window.partitionBy(*on).orderBy("key").rowsBetween(Window.unboundedPreceding, 0)
     # copies are counted first, so a hot group of them is one row here
+    counted = join_populations(keyed, hit.select(*on), on, "left_semi").groupBy(*on, "key").agg(F.count("*").alias("c"))
     ordered = (
-        keyed.join(hit.select(*on), on, "left_semi")
-        .groupBy(*on, "key").agg(F.count("*").alias("c"))
-        .join(hit, on)
+        join_populations(counted, hit, on)
         .withColumn("first", F.col("before") + F.sum("c").over(w) - F.col("c"))
     )
     chosen = F.filter("picks", lambda r: (r >= F.col("first")) & (r < F.col("first") + F.col("c")))
@@ -75,18 +83,18 @@ def assign_segments(
 
     ``ranks_of`` turns the population sizes (keys, ``n``) into ``ranks``; further
     columns it returns are added to the rows. Populations it leaves out are
-    dropped. The rows themselves are only joined with one small table.
+    dropped; rows with null keys are a population like any other. The rows themselves are only joined with one small table.
     """
     keys = list(keys)
     hours = hour_counts(df, keys, order[0])
     ranks = ranks_of(hours.groupBy(*keys).agg(F.sum("size").alias("n")))
     extra = [c for c in ranks.columns if c not in (*keys, "ranks")]
     bounds = boundary_keys(df, keys, order, hours, ranks).groupBy(*keys).agg(F.collect_list("key").alias("bounds"))
-    bounds = settle(bounds.join(ranks.select(*keys, *extra), keys))
+    bounds = settle(join_populations(bounds, ranks.select(*keys, *extra), keys))
     time = F.col(order[0])
     # times differ for nearly all rows, so whole keys are seldom compared
     reached = lambda b: (b["o0"] < time) | ((b["o0"] == time) & (b <= order_key(order)))
-    return df.join(bounds, keys).withColumn(name, F.size(F.filter("bounds", reached))).drop("bounds")
+    return join_populations(df, bounds, keys).withColumn(name, F.size(F.filter("bounds", reached))).drop("bounds")
 
 
 def population_sizes(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -125,7 +133,7 @@ def fold_counts(df: DataFrame, keys: Sequence[str], time: str = "firstSeen") ->
     years = complete_years(df, keys, time).groupBy(*keys).agg(
         F.count("*").alias("n_folds"), F.array_sort(F.collect_list("year")).alias("complete_years")
     )
-    return population_sizes(df, keys).select(*keys).join(years, list(keys), "left").select(
+    return join_populations(population_sizes(df, keys).select(*keys), years, keys, "left").select(
         *keys,
         F.coalesce("n_folds", F.lit(0)).alias("n_folds"),
         F.coalesce("complete_years", F.array().cast("array<int>")).alias("complete_years"),
@@ -160,7 +168,7 @@ def fold_segments(
     """
     counted = folds.select(*keys, "n_folds")
     return assign_segments(
-        df, keys, order, lambda sizes: fold_ranks(sizes.join(counted, list(keys)), keys)
+        df, keys, order, lambda sizes: fold_ranks(join_populations(sizes, counted, keys), keys)
     )
 
 

@@ -70,12 +70,11 @@ def string_key_join(spark, sf_dir):
 with {FLIGHTS}, {WEATHER_V},
 c as (select event_id, w."time" t, v_avg, row_number() over (partition by event_id
         order by abs(epoch_us(w."time") - epoch_us(f.firstSeen)), w."time") rn
-      from flights_v f join weather_v w on w.airport = f.arr and w.v_n > 4)
+      from flights_v f join weather_v w on w.airport = f.arr)
 select f.event_id, epoch_us(c.t) as near_time, round(c.v_avg, 6) as near_v_avg
 from flights_v f left join c on c.event_id = f.event_id and c.rn = 1""")
 def nearest_weather(spark, sf_dir):
-    # only well-covered hours, so that many probes lie far from the series
-    series = hourly(spark, sf_dir).where(F.col("v_n") > 4)
+    series = hourly(spark, sf_dir)
     probes = tables.flights(spark, sf_dir).select("event_id", F.col("estArrivalAirport").alias("airport"), "firstSeen")
     out = enrich.nearest_in_time(probes, series, ["airport"], "firstSeen", "time", ["v_avg"])
     return out.select("event_id", us("near_time"), r6("near_v_avg", "near_v_avg"))

@@ -27,13 +27,13 @@ def training_rows(spark, sf_dir):
     return clean.drop_outliers(rows)
 
 
-def train(spark, sf_dir, fits, qs=(0.5, 0.9), params=SHORT):
+def train(spark, sf_dir, fits, qs=training.QUANTILES, params=SHORT):
     return training.train_tiers(training_rows(spark, sf_dir), tables.HISTORY_ORDER, qs, params, fits, min_rows=500)
 
 
 @query("quantile_model")
 def quantile_model(spark, sf_dir):
-    run = train(spark, sf_dir, ["production"], (0.5, 0.9, 0.95))
+    run = train(spark, sf_dir, ["production"])
     return run.model.feature_importance().drop("fit")
 
 
@@ -49,7 +49,7 @@ def walkforward_eval(spark, sf_dir):
 
 @query("score_batch")
 def score_batch(spark, sf_dir):
-    run = train(spark, sf_dir, ["production"], (0.5, 0.9, 0.95))
+    run = train(spark, sf_dir, ["production"])
     requests = training_rows(spark, sf_dir).select("l_orderkey", "l_linenumber", "l_partkey", "route", "airline",
                                                    *DEP_WEATHER, *ARR_WEATHER, "hour_of_day", "month")
     return run.score(requests).select("l_orderkey", "l_linenumber", "l_partkey", "tier", "quantile", "anomaly", "total")
@@ -60,7 +60,7 @@ def tune_candidates(spark, sf_dir):
     from dataclasses import replace
 
     few = [replace(p, n_estimators=2, max_depth=2) for p in sample_candidates(2)]
-    return training.tune_tiers(training_rows(spark, sf_dir), tables.HISTORY_ORDER, few, (0.9,), min_rows=500)
+    return training.tune_tiers(training_rows(spark, sf_dir), tables.HISTORY_ORDER, few, min_rows=500)
 
 
 @query("manifest_flatten", f"""

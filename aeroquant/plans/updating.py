@@ -133,9 +133,9 @@ def path_inventory_max_date(spark, sf_dir):
 @query("needs_update", f"""
 with {REMOTE} select d as as_of, bool_or(last_flight_date is null or last_weather_date is null or last_flight_date < cast(d as date) - 1
   or last_weather_date < cast(d as date) - 1) as needs_update
-from remote, (values ('2024-01-30'), ('2024-02-05')) t(d) where route_key <> 'VIEW_VIEW' group by d""")
+from remote, (values ('2024-01-30'), ('2024-02-05')) t(d) group by d""")
 def needs_update(spark, sf_dir):
-    dates = incremental.remote_dates(route_list(spark, sf_dir), chunk_paths(spark, sf_dir)).where(F.col("route_key") != "VIEW_VIEW")
+    dates = incremental.remote_dates(route_list(spark, sf_dir), chunk_paths(spark, sf_dir))
     at = lambda d: incremental.needs_update(dates, incremental.as_of(d)).select(F.lit(d).alias("as_of"), "needs_update")
     return at("2024-01-30").unionByName(at("2024-02-05"))
 
@@ -205,12 +205,13 @@ def missing_chunks(spark, sf_dir):
 # --- control state ---------------------------------------------------------------
 
 @query("backoff_filter", """
-select o_orderkey, o_orderstatus = 'F' and o_orderdate > timestamp '1998-06-13' as in_backoff,
-  case when o_orderstatus = 'F' and o_orderdate > timestamp '1998-06-13' then epoch_us(o_orderdate + interval 2 day) end as retry_at
-from orders where o_orderdate <= timestamp '1998-06-15'""")
+with t as (select max(o_orderdate) now from orders)
+select o_orderkey, o_orderstatus = 'F' and o_orderdate > now - interval 2 day as in_backoff,
+  case when o_orderstatus = 'F' and o_orderdate > now - interval 2 day then epoch_us(o_orderdate + interval 2 day) end as retry_at
+from orders, t""")
 def backoff_filter(spark, sf_dir):
-    now = F.lit("1998-06-15").cast("timestamp")
-    o = tables.table(spark, sf_dir, "orders").where(F.col("o_orderdate") <= now)
+    o = tables.table(spark, sf_dir, "orders")
+    now = o.agg(F.max("o_orderdate")).scalar()  # as of the newest order
     control = o.select("o_orderkey", F.when(F.col("o_orderstatus") == "F", F.col("o_orderdate")).alias("last_failure_utc"))
     return incremental.runnable(control, now).select("o_orderkey", "in_backoff", us("retry_at"))
 
@@ -291,7 +292,7 @@ def add_missing_columns(spark, sf_dir):
 
 
 @query("request_features", f"""
-with {FLIGHTS}, {WEATHER_V}, s as (select * from weather_v where v_n > 5),
+with {FLIGHTS}, {WEATHER_V}, s as (select * from weather_v),
 d as (select event_id, v_avg, row_number() over (partition by event_id order by abs(epoch_us(s."time") - epoch_us(f.firstSeen)), s."time") rn
       from flights_v f join s on s.airport = f.dep),
 a as (select event_id, v_avg, row_number() over (partition by event_id order by abs(epoch_us(s."time") - epoch_us(f.lastSeen)), s."time") rn
@@ -300,7 +301,7 @@ select f.event_id, concat(dep, '->', arr) as route, round(d.v_avg, 6) as dep_v_a
   cast(hour(firstSeen) as int) as hour_of_day from flights_v f
 left join d on d.event_id = f.event_id and d.rn = 1 left join a on a.event_id = f.event_id and a.rn = 1""")
 def request_features(spark, sf_dir):
-    forecast = tables.weather_hours(spark, sf_dir).where(F.col("v_n") > 5)
+    forecast = tables.weather_hours(spark, sf_dir)
     requests = tables.flights(spark, sf_dir).select(
         "event_id", F.col("estDepartureAirport").alias("origin"), F.col("estArrivalAirport").alias("destination"),
         F.col("firstSeen").alias("departure"), F.col("lastSeen").alias("arrival"),

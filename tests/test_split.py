@@ -95,3 +95,12 @@ def test_many_populations_in_one_job(spark):
     out = split.chronological_split(both, ["route"], ["firstSeen", "icao24"])
     counts = {(r.route, r.role): r["count"] for r in out.groupBy("route", "role").count().collect()}
     assert counts == {("AAA->BBB", "train"): 16, ("AAA->BBB", "test"): 4, ("X->Y", "train"): 44, ("X->Y", "test"): 11}
+
+
+def test_null_population_keeps_its_rows(spark):
+    both = trips(spark, 20).unionByName(trips(spark, 10, shift=100).withColumn("route", F.lit(None).cast("string")))
+    out = split.chronological_split(both, ["route"], ["firstSeen", "icao24"])
+    counts = {(r.route, r.role): r["count"] for r in out.groupBy("route", "role").count().collect()}
+    assert counts == {("AAA->BBB", "train"): 16, ("AAA->BBB", "test"): 4, (None, "train"): 8, (None, "test"): 2}
+    plan = both.select("route").distinct().withColumn("n_folds", F.lit(2))
+    assert split.fold_segments(both, ["route"], ["firstSeen", "icao24"], plan).count() == 30
