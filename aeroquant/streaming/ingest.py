@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from aeroquant.functions import text, times
 from aeroquant.operators.enrich import join_weather, weather_lookup
 from aeroquant.schemas import MERGE_KEY
-from aeroquant.session import checkpoint_dir
+from aeroquant.session import checkpoint_dir, settle
 
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -38,8 +38,11 @@ def dedup(flights: DataFrame, delay: str = "2 days", time: str = "firstSeen", ke
 
 
 def enrich(flights: DataFrame, weather: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Departure and arrival weather from a static table; every flight stays."""
-    lookup = weather_lookup(weather, columns)
+    """Departure and arrival weather from a static table; every flight stays.
+
+    The lookup is stored once, not computed again in every micro-batch.
+    """
+    lookup = settle(weather_lookup(weather, columns))
     prepared = flights.withColumns({
         "dep_merge_key": times.round_hour(F.col("firstSeen")),
         "arr_merge_key": times.round_hour(F.col("lastSeen")),
@@ -56,7 +59,7 @@ def run_available(stream: DataFrame, name: str, path: str | None = None, by: Seq
     later runs continue where this one stopped.
     """
     spark = stream.sparkSession
-    spark.conf.set(STATE_STORE, ROCKS)
+    before = spark.conf.get(STATE_STORE, None)
     home = path or f"{checkpoint_dir(spark)}/aeroquant/stream-{name}-{uuid.uuid4().hex}"
     writer = (
         stream.writeStream.format("parquet").outputMode("append")
@@ -65,5 +68,12 @@ def run_available(stream: DataFrame, name: str, path: str | None = None, by: Seq
     )
     if by:
         writer = writer.partitionBy(*by)
-    writer.start(f"{home}/data").awaitTermination()
+    spark.conf.set(STATE_STORE, ROCKS)
+    try:
+        writer.start(f"{home}/data").awaitTermination()
+    finally:  # the caller's other streams keep their own store
+        if before is None:
+            spark.conf.unset(STATE_STORE)
+        else:
+            spark.conf.set(STATE_STORE, before)
     return spark.read.schema(stream.schema).parquet(f"{home}/data")
