@@ -190,19 +190,21 @@ def _sets_of(batch: pa.RecordBatch, hasher: SpanHash, words: int):
         yield part, shingle_sets(*text_bytes(column), hasher, words)
 
 
-def _describe(words: int):
-    """(doc_id, size, node, check): the set of every document by its keys."""
+def _describe(words: int, row_col: str | None = None):
+    """(doc_id, size, node, check): the set of every document by its keys; ``row_col`` comes along."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = SpanHash()
         for batch in batches:
             for part, sets in _sets_of(batch, hasher, words):
                 keys = [set_key(s) for s in sets]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
-                     pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64())],
-                    ["doc_id", "size", "node", "check"],
-                )
+                made = {
+                    "doc_id": part.column("doc_id"), "size": pa.array([len(s) for s in sets], pa.int64()),
+                    "node": pa.array([k[0] for k in keys], pa.int64()), "check": pa.array([k[1] for k in keys], pa.int64()),
+                }
+                if row_col:
+                    made[row_col] = part.column(row_col)
+                yield pa.RecordBatch.from_arrays(list(made.values()), list(made))
 
     return run
 
@@ -339,7 +341,8 @@ def _crowd(words: int, percent: int):
 
 
 def jaccard_classes(
-    documents: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text"
+    documents: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text",
+    row_col: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n_shingles, component_id) of every row, and links between different sets.
 
@@ -352,14 +355,20 @@ def jaccard_classes(
     - Null or empty texts, or texts of white space, have no set and link with
       nothing, not even with each other.
     - Null ids count after all others; a component of null ids alone has a null id.
-    - Rows that share an id are judged by their own texts.
+    - Rows that share an id are judged by their own texts. Ids name no component
+      then; with ``row_col``, a column of longs, the first table also has that column
+      of each row and ``component``, the component's least node (null without a set).
     - An empty table gives empty ones; only the id and the text are read.
     - Copies collapse to one node before anything is paired, on the map side first.
     """
     spark = documents.sparkSession
     scratch = Scratch(spark, "jaccard")
     slim = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = scratch.stage(slim.mapInArrow(_describe(words), "doc_id long, size long, node long, check long"), "rows")
+    carried = slim if not row_col else documents.select(
+        F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(row_col).cast("long").alias(row_col)
+    )
+    described = "doc_id long, size long, node long, check long" + (f", {row_col} long" if row_col else "")
+    rows = scratch.stage(carried.mapInArrow(_describe(words, row_col), described), "rows")
     keyed = F.coalesce("doc_id", F.lit(NO_ID))
     classes = scratch.stage(rows.where("size > 0").groupBy("node").agg(F.min(keyed).alias("doc")), "classes")
 
@@ -463,12 +472,13 @@ def jaccard_classes(
         classes.join(joined, "node", "left").select("node", "doc", F.coalesce("component", "node").alias("comp")), "placed"
     )
     least = placed.groupBy("comp").agg(F.min("doc").alias("component_id"))
-    answer = scratch.stage(placed.join(least, "comp").select("node", "component_id"), "answer")
+    answer = scratch.stage(placed.join(least, "comp").select("node", "comp", "component_id"), "answer")
+    more = [row_col, F.when(F.col("size") > 0, F.col("comp")).alias("component")] if row_col else []
     out = rows.join(answer, "node", "left").select(
         "doc_id", F.col("size").alias("n_shingles"),
         F.when(F.col("size") == 0, F.col("doc_id")).otherwise(
             F.when(F.col("component_id") != NO_ID, F.col("component_id"))
-        ).alias("component_id"),
+        ).alias("component_id"), *more,
     )
     return out, links
 

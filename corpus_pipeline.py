@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aeroquant.llm import jaccard, lines, mixing, packing, toxicity
-from aeroquant.llm.common import Scratch
+from aeroquant.llm.common import NO_ID, Scratch
 from aeroquant.llm.queries import tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -30,18 +30,26 @@ def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least id, of each group linked by five-word shingles at 0.8.
+    """One row of each group linked by five-word shingles at 0.8: the least by id, then by a hash of the row.
 
-    Documents without words are in no group and stay. Of rows that share an id and
-    are their group's least, one stays; a group of null ids alone keeps one row.
+    Groups are of rows, not of ids: rows that share an id, or have none, stay together
+    only where their own texts are linked. Null ids count after all others. Of equal
+    rows one stays. Documents without words are in no group and stay.
     """
-    classes, _ = jaccard.jaccard_classes(docs.select("doc_id", "text"), words=5, percent=80)
-    stays = classes.where((F.col("n_shingles") > 0) & F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
-        F.col("doc_id").alias("__id")
-    ).distinct()
+    docs = docs.select(*COLUMNS)
+    # nulls leave a hash as it is, so it also takes where they are
+    marked = docs.withColumn("__row", F.xxhash64(*COLUMNS, *[F.col(c).isNull() for c in COLUMNS]))
+    classes, _ = jaccard.jaccard_classes(marked.select("doc_id", "text", "__row"), words=5, percent=80, row_col="__row")
+    order = F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("__id"), "__row")
+    stays = (
+        classes.where("n_shingles > 0").groupBy("component").agg(F.min(order).alias("__least"))
+        .select("__least.__id", "__least.__row")
+    )
     worded = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    chosen = docs.where(worded).join(stays, F.col("doc_id").eqNullSafe(F.col("__id"))).select(*COLUMNS)
-    return chosen.dropDuplicates(["doc_id"]).unionByName(docs.where(~worded).select(*COLUMNS))
+    # equal rows collapse before they are joined, on the map side first
+    different = marked.where(worded).withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
+    chosen = different.dropDuplicates(["__id", "__row"]).join(stays, ["__id", "__row"], "left_semi").select(*COLUMNS)
+    return chosen.unionByName(docs.where(~worded))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

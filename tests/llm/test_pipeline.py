@@ -58,6 +58,33 @@ def test_near_copies_leave_one_of_each_group(spark):
     assert len(got) < len(sets)
 
 
+def _rows(spark, rows):
+    full = [(i, t, "en", "web", len(t)) for i, t in rows]
+    return spark.createDataFrame(full, "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def _text(name):
+    return " ".join(f"{name}{i}" for i in range(60))
+
+
+def test_near_copies_of_null_ids(spark):
+    """Unrelated texts without an id all stay; a copy among them goes, as does one of a row with an id."""
+    a, b, c, d = map(_text, "abcd")
+    docs = _rows(spark, [(None, a), (None, b), (None, c), (None, c + " tail"), (None, c), (9, d), (None, d + " tail"), (None, "")])
+    got = [(r["doc_id"], r["text"]) for r in pipeline.drop_near_copies(spark, docs, SF).collect()]
+    assert len(got) == 5 and {(None, a), (None, b), (9, d), (None, "")} <= set(got)
+    assert sum(t.startswith(c) for _, t in got) == 1
+
+
+def test_near_copies_of_shared_ids(spark):
+    """Rows of one id are groups by their own texts, and the copy of another document goes, not the clean row."""
+    a, b, c = map(_text, "abc")
+    rows = [(5, a), (5, b), (3, c), (5, c + " tail"), (7, a + " tail"), (5, a)]
+    for order in (rows, rows[::-1]):
+        got = pipeline.drop_near_copies(spark, _rows(spark, order).repartition(4), SF).collect()
+        assert sorted((r["doc_id"], r["text"]) for r in got) == sorted([(3, c), (5, a), (5, b)])
+
+
 def test_mix_repeats_no_document_more_than_three_times(stages):
     _, before, after = stages[3]
     assert after.groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 3
