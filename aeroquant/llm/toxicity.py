@@ -145,11 +145,14 @@ def _dictionary(size: int, samples: list[bytes], **how) -> bytes:
 
 
 def fit(rows: list[tuple[str, int]]) -> Model:
-    """Dictionaries, thresholds' weights and curve from labelled (text, toxic) rows."""
+    """Dictionaries, thresholds' weights and curve from labelled (text, toxic) rows.
+
+    The ordinary dictionary is trained on every window of every ordinary text.
+    """
     texts = [((t or ""), (t or "").encode("utf-8", "surrogatepass").lower(), int(y)) for t, y in rows]
     texts = [t for t in texts if t[1]]
     toxic, ordinary = [b for _, b, y in texts if y], [b for _, b, y in texts if not y]
-    base = _dictionary(ORDINARY_BYTES, [w for t in ordinary for w in windows(t)][:60_000], k=50, d=8)
+    base = _dictionary(ORDINARY_BYTES, [w for t in ordinary for w in windows(t)], k=50, d=8)
     strings = contrast_strings(toxic, ordinary)
     samples = [s for s, n in strings.items() for _ in range(min(n, 50))]
     own = _dictionary(TOXIC_BYTES, samples, k=16, d=6) if samples else b""

@@ -436,6 +436,25 @@ def test_toxicity_awkward(spark):
         assert toxicity.score_toxicity(awkward(spark), toxicity.fit(rows)).count() == len(awkward_rows())
 
 
+def test_toxicity_learns_from_every_window(monkeypatch):
+    """The ordinary dictionary is trained on all windows of all ordinary texts, also after very long ones."""
+    asked = []
+    real = toxicity.zstandard.train_dictionary
+
+    def spy(size, samples, **how):
+        asked.append((size, list(samples)))
+        return real(size, samples, **how)
+
+    monkeypatch.setattr(toxicity.zstandard, "train_dictionary", spy)
+    rng = random.Random(3)
+    long = " ".join(f"w{rng.randrange(5000)}" for _ in range(1_300_000))
+    late = "the late text speaks of quiet gardens and slow rivers " * 20
+    toxicity.fit([(long, 0), (late, 0), ("you worthless idiot and loser " * 5, 1)])
+    samples = next(s for size, s in asked if size == toxicity.ORDINARY_BYTES)
+    assert len(samples) > 60_000
+    assert samples == toxicity.windows(long.encode()) + toxicity.windows(late.encode())
+
+
 def test_windows_hold_the_whole_text():
     text = ("word " * 500 + "x" * 3000).encode()
     assert b"".join(toxicity.windows(text)) == text
