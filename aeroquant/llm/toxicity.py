@@ -184,7 +184,8 @@ def training_rows(
 ) -> list[tuple[str, int]]:
     """At most ``toxic`` and ``ordinary`` labelled texts, those with the least hash of their id.
 
-    Ids whose crc32 is a multiple of 5 stay out. The counts bound what the driver gets.
+    Ids whose crc32 is a multiple of 5 stay out. Of rows that share an id the text of the
+    least hash counts. The counts bound the rows the driver gets.
     """
     held = F.crc32(F.col(id_col).cast("string").cast("binary")) % 5
     marked = (
@@ -196,8 +197,10 @@ def training_rows(
     ]
     chosen = picked[0].unionByName(picked[1])
     texts = documents.select(F.col(id_col), F.col(text_col).alias("__text"))
-    rows = texts.join(F.broadcast(chosen), id_col).select("__at", "__text", "__y").collect()
-    return [(r["__text"], r["__y"]) for r in sorted(rows, key=lambda r: (r["__at"], r["__text"] or ""))][: toxic + ordinary]
+    # one text per id before anything is collected, on the map side first
+    one = F.min(F.struct(F.xxhash64("__text"), "__text"))["__text"].alias("__text")
+    rows = texts.join(F.broadcast(chosen), id_col).groupBy(id_col, "__at", "__y").agg(one).collect()
+    return [(r["__text"], r["__y"]) for r in sorted(rows, key=lambda r: (r["__at"], r["__text"] or ""))]
 
 
 def score_toxicity(documents: DataFrame, model: Model, text_col: str = "text") -> DataFrame:

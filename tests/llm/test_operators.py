@@ -436,6 +436,18 @@ def test_toxicity_awkward(spark):
         assert toxicity.score_toxicity(awkward(spark), toxicity.fit(rows)).count() == len(awkward_rows())
 
 
+def test_toxicity_sample_takes_one_text_per_id(spark):
+    """Many rows of one labelled id leave the other chosen texts in the sample."""
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 5]
+    rows = [(i, f"text of {i}") for i in ids] + [(ids[0], f"again {k}") for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame([(i, int(k % 2)) for k, i in enumerate(ids)], "doc_id long, toxic int")
+    got = toxicity.training_rows(docs, marks, toxic=len(ids), ordinary=len(ids))
+    assert len(got) == len(ids)
+    assert {f"text of {i}" for i in ids[1:]} <= {t for t, _ in got}
+    assert got == toxicity.training_rows(docs.repartition(5), marks, toxic=len(ids), ordinary=len(ids))
+
+
 def test_toxicity_learns_from_every_window(monkeypatch):
     """The ordinary dictionary is trained on all windows of all ordinary texts, also after very long ones."""
     asked = []
