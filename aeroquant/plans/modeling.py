@@ -11,9 +11,6 @@ from aeroquant.plans.registry import HISTORY, query
 from aeroquant.schemas import ARR_WEATHER, DEP_WEATHER
 from aeroquant.sources import sinks, tables
 
-# few rounds keep a check short; a real run uses the defaults
-SHORT = Params(n_estimators=3, learning_rate=0.3, subsample=0.8, reg_alpha=0.1, reg_lambda=1.0)
-
 
 def training_rows(spark, sf_dir):
     """Trips of several years with stand-in weather columns from the line items."""
@@ -27,7 +24,7 @@ def training_rows(spark, sf_dir):
     return clean.drop_outliers(rows)
 
 
-def train(spark, sf_dir, fits, qs=training.QUANTILES, params=SHORT):
+def train(spark, sf_dir, fits, qs=training.QUANTILES, params=Params()):
     return training.train_tiers(training_rows(spark, sf_dir), tables.HISTORY_ORDER, qs, params, fits, min_rows=500)
 
 
@@ -57,10 +54,7 @@ def score_batch(spark, sf_dir):
 
 @query("tune_candidates")
 def tune_candidates(spark, sf_dir):
-    from dataclasses import replace
-
-    few = [replace(p, n_estimators=2, max_depth=2) for p in sample_candidates(2)]
-    return training.tune_tiers(training_rows(spark, sf_dir), tables.HISTORY_ORDER, few, min_rows=500)
+    return training.tune_tiers(training_rows(spark, sf_dir), tables.HISTORY_ORDER, sample_candidates(2), min_rows=500)
 
 
 @query("manifest_flatten", f"""

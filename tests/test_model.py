@@ -188,3 +188,26 @@ def test_tuning_scores_every_candidate(spark, history, tmp_path):
         training.append_tuning_history(best, str(tmp_path / "log"), candidates)
     log = spark.read.parquet(str(tmp_path / "log"))
     assert log.count() == 4 and log.first().params["learning_rate"] == 0.5
+
+
+@pytest.mark.parametrize("name", ["quantile_model", "holdout_eval", "walkforward_eval", "score_batch", "tune_candidates"])
+def test_model_queries_ask_for_the_whole_training(spark, monkeypatch, name):
+    """Default parameters, all three quantiles, and the candidates as they were drawn."""
+    from aeroquant.plans import modeling
+
+    class Asked(Exception):
+        pass
+
+    def train_tiers(rows, order, qs=training.QUANTILES, params=Params(), *_, **__):
+        raise Asked(list(qs), [params])
+
+    def tune_tiers(rows, order, candidates, qs=training.QUANTILES, *_, **__):
+        raise Asked(list(qs), list(candidates))
+
+    monkeypatch.setattr(training, "train_tiers", train_tiers)
+    monkeypatch.setattr(training, "tune_tiers", tune_tiers)
+    with pytest.raises(Asked) as asked:
+        getattr(modeling, name)(spark, "/root/testdata/sf0.001")
+    qs, params = asked.value.args
+    assert qs == [0.5, 0.9, 0.95]
+    assert params == (sample_candidates(len(params)) if name == "tune_candidates" else [Params()])
