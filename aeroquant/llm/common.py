@@ -42,6 +42,14 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+HINT_ROWS = 1_000_000  # rows of a few numbers that may be sent to every executor
+
+
+def hinted(df: DataFrame, rows: int) -> DataFrame:
+    """A table of few short columns, broadcast if its counted rows are within the bound."""
+    return F.broadcast(df) if rows <= HINT_ROWS else df
+
+
 def text_table(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Just the id and the whole text, a null text as an empty one."""
     return df.select(

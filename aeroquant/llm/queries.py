@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aeroquant.llm import jaccard, lines, mixing, neighbours, packing, passages, repetition, sharding, toxicity, urls
+from aeroquant.llm import (
+    codes, collocations, decontaminate, jaccard, lines, mixing, neighbours, packing, passages, repetition, sharding,
+    toxicity, urls,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -113,3 +116,25 @@ def op1(spark, sf_dir):
 def op6(spark, sf_dir):
     kept = passages.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2(F.col("text"), 256).alias("kept_sha256"))
+
+
+@query("op11_decontamination", decontaminate.ORACLE)
+def op11(spark, sf_dir):
+    judged = decontaminate.find_contamination(
+        table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")
+    )
+    return judged.select(
+        "doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated"
+    )
+
+
+@query("op12_vector_codes", codes.ORACLE)
+def op12(spark, sf_dir):
+    rows, _ = codes.compress_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+    return rows.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+@query("op13_collocations", collocations.ORACLE)
+def op13(spark, sf_dir):
+    ranked = collocations.mine_collocations(table(spark, sf_dir, "documents").select("text", "lang"))
+    return ranked.drop("words")
