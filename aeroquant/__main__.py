@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import argparse
+from datetime import datetime, timezone
 
 from pyspark.sql import functions as F
 
 from aeroquant.operators.boost import Params, sample_candidates
 from aeroquant.plans import features, scoring, training, update
 from aeroquant.schemas import FEATURE_SCHEMA, FLIGHT_KEY, FLIGHT_SCHEMA, WEATHER_SCHEMA
-from aeroquant.session import build_session
+from aeroquant.session import build_session, cut_lineage, run_scope
 from aeroquant.sources import landed, sinks
 
 TRIALS = 40  # fixed value
@@ -43,24 +44,25 @@ def run_train(spark, a):
         chosen = chosen.select("route", "tier", "quantile", "candidate")
     run = training.train_tiers(rows, order, params=Params(), candidates=candidates, chosen=chosen)
     run.save(a.out)
-    sinks.replace_table(run.manifest(), f"{a.out}/manifest")
-    sinks.replace_table(run.backtest(), f"{a.out}/backtest")
+    manifest = cut_lineage(run.manifest())
+    sinks.replace_table(manifest, f"{a.out}/manifest")
+    sinks.replace_table(run.fold_report(), f"{a.out}/backtest")
+    # one document per route, as the dashboard reads it
+    training.nested_manifest(manifest, a.out).write.mode("overwrite").json(f"{a.out}/manifest_json")
 
 
 def run_score(spark, a):
-    run = training.TrainedTiers.load(spark, a.models, a.tuned)
+    run = training.TrainedTiers.load(spark, a.models)
     requests = spark.read.parquet(a.requests)
     forecast = landed.read_table(spark, a.weather, WEATHER_SCHEMA)
     sinks.replace_table(scoring.score_requests(run, requests, forecast), a.out)
 
 
 def run_update(spark, a):
-    if a.arrivals:
-        routes = spark.read.schema("origin string, destination string").parquet(a.routes)
-        update.update_flights(spark, landed.read_landed(spark, a.arrivals, landed.ARRIVAL_SCHEMA), routes, f"{a.out}/flights")
-    if a.weather:
-        hours = landed.read_landed(spark, a.weather, WEATHER_SCHEMA).where(F.col("airport").isNotNull())
-        update.update_weather(spark, hours, f"{a.out}/weather")
+    routes = spark.read.schema("origin string, destination string").parquet(a.routes)
+    now = datetime.fromisoformat(a.now).replace(tzinfo=timezone.utc) if a.now else None
+    run = update.update_all(spark, routes, a.out, a.arrivals, a.weather, now, a.force)
+    print("update: " + ", ".join(f"{v} {k}" for k, v in run.summary().first().asDict().items()))
 
 
 JOBS = {
@@ -68,7 +70,7 @@ JOBS = {
     "baseline": (run_baseline, ["features", "out"], []),
     "train": (run_train, ["features", "out"], []),
     "score": (run_score, ["models", "requests", "weather", "out"], []),
-    "update": (run_update, ["out"], ["arrivals", "routes", "weather"]),
+    "update": (run_update, ["routes", "out"], ["arrivals", "weather", "now"]),
 }
 
 
@@ -84,10 +86,12 @@ def main(argv: list[str] | None = None) -> None:
         if name == "train":
             job.add_argument("--tune", action="store_true")
             job.add_argument("--trials", type=int, default=TRIALS)
-        if name == "score":
-            job.add_argument("--tuned", action="store_true")
+        if name == "update":
+            job.add_argument("--force", action="store_true")
     args = parser.parse_args(argv)
-    JOBS[args.job][0](build_session(f"aeroquant-{args.job}"), args)
+    spark = build_session(f"aeroquant-{args.job}")
+    with run_scope(spark):
+        JOBS[args.job][0](spark, args)
 
 
 if __name__ == "__main__":

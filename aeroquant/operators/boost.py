@@ -1,13 +1,18 @@
 """Quantile regression by boosted trees, for many populations at once.
 
-A population is one value of the key columns, such as route, tier, quantile and
-fold. Every pass over the data serves all of them: a level of all trees is one
-grouped aggregation of gradients into histograms, so the number of Spark jobs
-depends on rounds and depth, never on the number of models. A huge population
-spreads over all tasks, since histograms are summed on the map side.
-
-What grows with the model (one row of bin edges and trees per population) stays in
-a table. A population's edges come from its own training rows alone, so no row of
+A population is one value of the key columns, such as route and tier; each of its
+rows may take part in several fits (folds, holdout, production), and each fit is
+trained for several quantiles and candidates. The stored rows are one copy per
+population: fits, quantiles and candidates are memberships, not copies.
+
+Populations of at most ``LOCAL_ROWS`` rows, counted first, are trained where they are
+grouped, all of them in one Spark job. A larger population spreads over all tasks: each
+task adds its rows into histograms, Spark sums them, and only the chosen splits come
+back. That takes one job per level and one for the leaves, whatever the number of
+populations in the wave, fits, quantiles and candidates. Both ways use the same array
+kernels, and since histograms are counts, they grow the same trees.
+
+Edges, medians and codes come from a fit's own training rows alone, so no row of
 another split or fold can move them.
 """
 
@@ -16,21 +21,38 @@ from __future__ import annotations
 import math
 import random
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import asdict, dataclass, field
+from itertools import islice
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from aeroquant.operators import trees
 from aeroquant.operators.quantiles import bucket_quantiles, exact_quantiles, melt
+from aeroquant.operators.split import join_populations
+from aeroquant.operators.trees import ROOT
 from aeroquant.session import cut_lineage, settle
 
-ROOT = 1
 MOST_BINS = 64
-NO_SPLIT_GAIN = 1e-6
+LOCAL_ROWS = 100_000  # rows of a population that one task may hold
+WAVE_CELLS = 1 << 22  # histogram cells a task may hold for a wave of large populations
+SENT_TREES = 200_000  # trees, of all models together, that may be sent to every task
+CUT_EVERY = 10  # rounds after which the margins of large populations are stored
 
-_SPLITS = "map<int,struct<f:int,b:int>>"
-_LEAVES = "map<int,double>"
+_TREES = "array<struct<splits:map<int,struct<f:int,b:int>>,leaves:map<int,double>>>"
+# what a fit yields: a row with its trees, or a row's predictions per candidate
+OUTCOME = (
+    "candidate int, shift double, n_train long, fills array<double>, codes map<string,double>, fallback double, "
+    f"base double, edges array<array<double>>, trees {_TREES}, gains array<struct<f:int,gain:double>>, "
+    "row long, role string, y double, prediction array<double>"
+)
 
 
 @dataclass(frozen=True)
@@ -127,8 +149,39 @@ def ensemble_value(trees: Column, bins: Column, depth: int) -> Column:
     return F.aggregate(trees, F.lit(0.0), add)
 
 
-def _soft(total: Column, alpha: Column) -> Column:
-    return F.signum(total) * F.greatest(F.abs(total) - alpha, F.lit(0.0))
+def _scorer(model) -> tuple:
+    edges = [np.array(e, float) for e in model["edges"] or []]
+    grown = [({at: (v["f"], v["b"]) for at, v in t["splits"].items()}, dict(t["leaves"])) for t in model["trees"]]
+    return model["base"], edges, grown
+
+
+def _predict(sent, keys: list[str], features: list[str], name: str, names: list[str]):
+    """Add each row's prediction by the model of its population."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            of = list(zip(*[table.column(k).to_pylist() for k in keys])) if keys else [()] * table.num_rows
+            x = np.column_stack([
+                table.column(f).cast(pa.float64()).to_numpy(zero_copy_only=False).astype(float) for f in features
+            ]) if features else np.zeros((table.num_rows, 0))
+            number = {k: i for i, k in enumerate(dict.fromkeys(of))}
+            which = np.array([number[k] for k in of], np.int64)
+            value, known = np.zeros(len(of)), np.zeros(len(of), bool)
+            for key, i in number.items():
+                if key in sent.value:
+                    base, edges, grown = sent.value[key]
+                    rows = np.flatnonzero(which == i)
+                    bins = np.column_stack([np.searchsorted(e, x[rows, f], "left") for f, e in enumerate(edges)])
+                    total = np.full(len(rows), float(base))
+                    for splits, leaves in grown:
+                        total += trees.lookup(leaves, trees.walk(splits, bins))
+                    value[rows], known[rows] = total, True
+            made = pa.array(value, mask=~known)
+            yield pa.RecordBatch.from_arrays(
+                [made if n == name else table.column(n).combine_chunks() for n in names], names)
+
+    return run
 
 
 @dataclass
@@ -146,9 +199,27 @@ class BoostedModel:
     gains: DataFrame | None = None
     scored: DataFrame | None = field(default=None, repr=False)
 
+    @staticmethod
+    def of(done: DataFrame, keys: list[str], features: list[str], bins: int, depth: int) -> BoostedModel:
+        """The models among the outcomes of a ``Trainer``."""
+        made = done.where(F.col("trees").isNotNull())
+        gains = made.select(*keys, F.inline("gains"))
+        return BoostedModel(keys, features, bins, depth, made.select(*keys, "base", "edges", "trees"), gains)
+
     def predict(self, df: DataFrame, name: str = "prediction") -> DataFrame:
-        """Score rows whose features are complete; unknown populations get null."""
-        joined = df.join(self.models.select(*self.keys, "base", "edges", "trees"), self.keys, "left")
+        """Score rows whose features are complete; unknown populations get null.
+
+        Models of a counted, bounded size travel to the tasks and score whole batches;
+        more of them are joined to the rows and walked tree by tree in expressions.
+        """
+        models = self.models.select(*self.keys, "base", "edges", "trees")
+        size = models.agg(F.sum(F.size("trees"))).first()[0] or 0
+        if size <= SENT_TREES:
+            held = {tuple(r[k] for k in self.keys): _scorer(r) for r in models.collect()}
+            sent = df.sparkSession.sparkContext.broadcast(held)
+            schema = T.StructType([f for f in df.schema.fields if f.name != name] + [T.StructField(name, T.DoubleType())])
+            return df.mapInArrow(_predict(sent, list(self.keys), list(self.features), name, schema.names), schema)
+        joined = df.join(models, self.keys, "left")
         binned = add_bins(joined, self.features, self.bins, "_bins")
         value = F.col("base") + ensemble_value(F.col("trees"), F.col("_bins"), self.depth)
         return binned.withColumn(name, value).drop("base", "edges", "trees", "_bins")
@@ -177,12 +248,407 @@ class BoostedModel:
                             spark.read.parquet(f"{path}/models"), spark.read.parquet(f"{path}/gains"))
 
 
+# --- populations that one task may hold ---------------------------------------------
+
+
+def _outcome(table: pa.Table, schema: pa.Schema, keys: Sequence[str], rows: list[dict]) -> pa.Table:
+    first = {k: table.column(k)[0].as_py() for k in keys}
+    return pa.Table.from_pylist([first | r for r in rows], schema=schema)
+
+
+def _model_row(found: trees.Inputs, n_train: int, candidate: int | None, grown, gains) -> dict:
+    return {
+        "candidate": candidate, "shift": found.shift, "n_train": n_train, "fills": found.fills.tolist(),
+        "codes": None if found.codes is None else list(found.codes.items()), "fallback": found.fallback,
+        "base": found.base, "edges": [e.tolist() for e in found.edges],
+        "trees": [
+            {"splits": [(at, {"f": f, "b": b}) for at, (f, b) in splits.items()], "leaves": list(leaves.items())}
+            for splits, leaves in grown
+        ],
+        "gains": [{"f": f, "gain": g} for f, g in gains],
+    }
+
+
+def _columns(table: pa.Table) -> tuple[np.ndarray, ...]:
+    """Features by row, y, category and the row's hash."""
+    x = table.column("x").combine_chunks()
+    wide = x.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(x), -1)
+    category = np.array(table.column("category").to_pylist(), object)
+    return wide, table.column("y").to_numpy().astype(float), category, table.column("rid").to_numpy()
+
+
+def _local(keys: list[str], schema: pa.Schema, candidates: list[Params], tuned: bool, bins: int, seed: int,
+           center: bool, impute: bool, roles: tuple[str, ...]):
+    """Train one fit and quantile of one population, all of whose rows are here."""
+
+    def run(table: pa.Table) -> pa.Table:
+        # the order of rows must not matter
+        table = table.sort_by([("rid", "ascending"), ("y", "ascending"), ("role", "ascending")])
+        x, y, category, rid = _columns(table)
+        role = np.array(table.column("role").to_pylist(), object)
+        train = role == "train"
+        if not train.any():
+            return _outcome(table, schema, keys, [])
+        q, encode = table.column("quantile")[0].as_py(), table.column("encode")[0].as_py()
+        chosen = table.column("chosen")[0].as_py()
+        found = trees.fit_inputs(x[train], y[train], category[train], q, bins, center, impute, encode)
+        binned, target = found.bins(x, category), y - found.shift
+        out, margins = [], []
+        for number in range(len(candidates)) if chosen is None else [chosen]:
+            grown, gains, margin = trees.grow(binned, target, train, rid, found.base, q, candidates[number], seed, bins + 1)
+            out.append(_model_row(found, int(train.sum()), number if tuned else None, grown, gains))
+            margins.append(margin)
+        margins = np.column_stack(margins)
+        told = np.flatnonzero(np.isin(role, roles))
+        models = _outcome(table, schema, keys, out)
+        wanted = {"row": table.column("row").take(told), "role": pa.array(role[told], pa.string()),
+                  "y": pa.array(target[told]), "prediction": pa.array(list(margins[told]), pa.list_(pa.float64()))}
+        wanted |= {k: table.column(k).take(told) for k in keys}
+        predicted = pa.Table.from_arrays(
+            [wanted[f.name].cast(f.type) if f.name in wanted else pa.nulls(len(told), f.type) for f in schema], schema=schema
+        )
+        return pa.concat_tables([models, predicted])
+
+    return run
+
+
+# --- populations that spread over the tasks ------------------------------------------
+
+
+@dataclass
+class Member:
+    """One fit, quantile and candidate of a large population."""
+
+    fit: str | None
+    inputs: trees.Inputs
+    n_train: int
+    candidate: int
+    grown: list = field(default_factory=list)
+    gains: list = field(default_factory=list)
+    splits: dict = field(default_factory=dict)
+
+
+class _Part:
+    """The rows of one population in one batch."""
+
+    def __init__(self, table: pa.Table):
+        self.x, self.y, self.category, self.rid = _columns(table)
+        self.stored = np.array(table.column("margins").to_pylist(), float)
+        fits = table.column("fits").to_pylist()
+        self.role = [{f["fit"]: f["role"] for f in r} for r in fits]
+        self.train, self.bins = {}, {}
+
+    def trains(self, fit: str | None) -> np.ndarray:
+        if fit not in self.train:
+            self.train[fit] = np.array([r.get(fit) == "train" for r in self.role])
+        return self.train[fit]
+
+    def binned(self, member: Member) -> np.ndarray:
+        key = (member.fit, member.inputs.quantile)
+        if key not in self.bins:
+            self.bins[key] = member.inputs.bins(self.x, self.category)
+        return self.bins[key]
+
+    def margin(self, c: int, member: Member, since: int) -> np.ndarray:
+        """The stored margin and the trees grown since."""
+        out, bins = self.stored[:, c], self.binned(member)
+        for splits, leaves in member.grown[since:]:
+            out = out + trees.lookup(leaves, trees.walk(splits, bins))
+        return out
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        for pop in table.column("_pop").unique().to_pylist():
+            yield pop, table.filter(pc.equal(table.column("_pop"), pop))
+
+
+_CELLS = "_pop int, member int, node int, f int, b int, below long, n long"
+_TOTALS = "_pop int, member int, node int, bucket long, size long, low double, high double"
+
+
+def _add_histograms(wave: dict[int, list[Member]], candidates: list[Params], t: int, since: int, level: int, order: list[int], bins: int, seed: int):
+    """Per task the counts of all its rows: one row per cell that is not empty."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[int, int], list[np.ndarray]] = {}
+        for pop, table in _parts(batches):
+            part = _Part(table)
+            for c, member in enumerate(wave[pop]):
+                p = candidates[member.candidate]
+                if t >= p.n_estimators or level >= p.max_depth or (level and not member.splits):
+                    continue
+                rows = np.flatnonzero(part.trains(member.fit) & trees.drawn(part.rid, seed, t, p.subsample))
+                own = part.binned(member)[rows]
+                target = part.y[rows] - member.inputs.shift
+                below = target < part.margin(c, member, since)[rows]
+                found = trees.histogram(own, below, trees.walk(member.splits, own), level, trees.shown(order, p.colsample_bytree), bins + 1)
+                old = sums.get((pop, c))
+                sums[pop, c] = list(found) if old is None else [old[0] + found[0], old[1] + found[1]]
+        for (pop, c), (below, n) in sums.items():
+            node, f, b = np.nonzero(n)
+            names = trees.shown(order, candidates[wave[pop][c].candidate].colsample_bytree)
+            one = np.ones(len(node), np.int32)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(one * pop), pa.array(one * c), pa.array((node + (1 << level)).astype(np.int32)),
+                pa.array(names[f].astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(below[node, f, b]), pa.array(n[node, f, b]),
+            ], ["_pop", "member", "node", "f", "b", "below", "n"])
+
+    return run
+
+
+def _choose_splits(wave: dict[int, list[Member]], candidates: list[Params], level: int, order: list[int], bins: int):
+    def run(cells: pd.DataFrame) -> pd.DataFrame:
+        pop, c, node = (int(cells[k].iloc[0]) for k in ("_pop", "member", "node"))
+        p = candidates[wave[pop][c].candidate]
+        features = trees.shown(order, p.colsample_bytree)
+        below, n = np.zeros((2, 1, len(features), bins + 1), np.int64)
+        at = np.searchsorted(features, cells["f"])
+        below[0, at, cells["b"]], n[0, at, cells["b"]] = cells["below"], cells["n"]
+        best = trees.best_splits(below, n, 0, features, wave[pop][c].inputs.quantile, p)
+        return pd.DataFrame([(pop, c, node, *best[ROOT])] if best else [], columns=["_pop", "member", "node", "f", "b", "gain"])
+
+    return run
+
+
+def _add_leaves(wave: dict[int, list[Member]], candidates: list[Params], t: int, since: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for pop, table in _parts(batches):
+            part = _Part(table)
+            for c, member in enumerate(wave[pop]):
+                rows = np.flatnonzero(part.trains(member.fit))
+                if t >= candidates[member.candidate].n_estimators or not len(rows):
+                    continue
+                rest = part.y[rows] - member.inputs.shift - part.margin(c, member, since)[rows]
+                node, bucket, size, low, high = trees.leaf_totals(rest, trees.walk(member.splits, part.binned(member)[rows]))
+                one = np.ones(len(node), np.int32)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(one * pop), pa.array(one * c), pa.array(node.astype(np.int32)), pa.array(bucket),
+                    pa.array(size.astype(np.int64)), pa.array(low), pa.array(high),
+                ], ["_pop", "member", "node", "bucket", "size", "low", "high"])
+
+    return run
+
+
+def _choose_leaves(wave: dict[int, list[Member]]):
+    def run(totals: pd.DataFrame) -> pd.DataFrame:
+        totals = totals.sort_values("bucket")
+        pop, c, node = (int(totals[k].iloc[0]) for k in ("_pop", "member", "node"))
+        value = trees.leaf_values(*(totals[k].to_numpy() for k in ("node", "bucket", "size", "low", "high")), wave[pop][c].inputs.quantile)
+        return pd.DataFrame([(pop, c, node, value[node])], columns=["_pop", "member", "node", "value"])
+
+    return run
+
+
+def _advance(wave: dict[int, list[Member]], since: int, names: list[str]):
+    """The stored margins, brought up to the last tree."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for pop, table in _parts(batches):
+            part = _Part(table)
+            margins = np.column_stack([part.margin(c, m, since) for c, m in enumerate(wave[pop])])
+            at = table.schema.get_field_index("margins")
+            table = table.set_column(at, table.schema.field(at), pa.array(list(margins), pa.list_(pa.float64())))
+            yield from table.select(names).to_batches()
+
+    return run
+
+
+def _large_inputs(data: DataFrame, levels: Sequence[float] | None, bins: int, center: bool, impute: bool) -> DataFrame:
+    """One row per population, fit and quantile with what ``trees.fit_inputs`` yields, by grouped jobs."""
+    fit = ["_pop", "fit"]
+    unit = [*fit, "quantile"]
+    shares = [i / bins for i in range(1, bins)]
+    rows = data.select("*", F.inline("fits")).where("role = 'train'").withColumn("fit", F.coalesce("fit", F.lit("")))
+    quantiles = F.array(*[F.lit(float(q)) for q in levels]) if levels else F.array("quantile")
+    shift = exact_quantiles(rows, fit, "y", [0.5]).select(
+        *fit, F.col("n").alias("n_train"), (F.col("q")[0] if center else F.lit(0.0)).alias("shift"))
+    rows = cut_lineage(rows.join(settle(shift), fit).withColumn("_y", F.col("y") - F.col("shift")))
+    tall = rows.select(*fit, F.posexplode("x").alias("f", "v"))
+    fills = settle(exact_quantiles(tall, [*fit, "f"], "v", [0.5]).select(*fit, "f", F.col("q")[0].alias("fill")))
+    if impute:
+        tall = tall.join(fills, [*fit, "f"], "left").withColumn("v", F.coalesce(F.nanvl("v", F.lit(None)), "fill", F.lit(0.0)))
+    by_feature = exact_quantiles(tall, [*fit, "f"], "v", shares).groupBy(*fit).agg(
+        F.map_from_entries(F.collect_list(F.struct("f", F.array_sort(F.array_distinct("q")).alias("q")))).alias("cuts"))
+    filled = fills.groupBy(*fit).agg(F.map_from_entries(F.collect_list(F.struct("f", "fill"))).alias("fills"))
+    each = rows.drop("quantile").join(
+        rows.select("_pop", F.explode(quantiles).alias("quantile")).distinct(), "_pop") if levels is None else rows.withColumn(
+        "quantile", F.explode(quantiles))
+    coded = each.where("encode = 'codes'")
+    level = lambda at, named: at.select(*unit, *named)
+    per = lambda keys: exact_quantiles(coded, keys, "_y", sorted(levels or [0.5]))
+    place = F.array_position(F.array(*[F.lit(float(q)) for q in sorted(levels or [0.5])]), F.col("quantile")).cast("int")
+    own = per([*unit, "category"]).select(*unit, "category", F.element_at("q", place).alias("code"))
+    codes = settle(own)
+    overall = settle(level(per(unit), [F.element_at("q", place).alias("fallback")]))
+    value = coded.join(overall, unit).join(codes, [*unit, "category"], "left").withColumn("v", F.coalesce("code", "fallback"))
+    code_cuts = exact_quantiles(value, unit, "v", shares).select(*unit, F.array_sort(F.array_distinct("q")).alias("code_cuts"))
+    named = codes.groupBy(*unit).agg(F.map_from_entries(F.collect_list(F.struct("category", "code"))).alias("codes"))
+    base = bucket_quantiles(each, unit, F.col("_y"), "quantile", "base")
+    kind = rows.groupBy("_pop").agg(F.first("encode").alias("encode"))
+    return (
+        base.join(shift, fit).join(by_feature, fit, "left").join(filled, fit, "left").join(kind, "_pop")
+        .join(overall, unit, "left").join(named, unit, "left").join(code_cuts, unit, "left")
+    )
+
+
+def _wave_members(found: DataFrame, width: int, candidates: list[Params], chosen: dict, impute: bool) -> dict[int, list[Member]]:
+    """The members of a bounded number of populations."""
+    wave: dict[int, list[Member]] = {}
+    for r in sorted(found.collect(), key=lambda r: (r["_pop"], r["fit"], r["quantile"])):  # fits times quantiles a population
+        fills = np.array([(r["fills"] or {}).get(f, 0.0) if impute else np.nan for f in range(width)])
+        codes = {"codes": r["codes"] or {}, "zero": {}}.get(r["encode"])
+        edges = [np.array((r["cuts"] or {}).get(f, []), float) for f in range(width)]
+        if codes is not None:
+            edges.append(np.array(r["code_cuts"] if r["encode"] == "codes" else [0.0], float))
+        made = trees.Inputs(r["quantile"], r["shift"], fills, codes, r["fallback"] or 0.0, edges, r["base"])
+        own = chosen.get((r["_pop"], r["quantile"]), range(len(candidates)))
+        wave.setdefault(r["_pop"], []).extend(Member(r["fit"] or None, made, r["n_train"], c) for c in own)
+    return wave
+
+
+def _train_wave(data: DataFrame, wave: dict[int, list[Member]], candidates: list[Params], bins: int, seed: int) -> DataFrame:
+    """Grow all trees of the wave; returns the rows with their final margins."""
+    names = data.columns
+    width = max(len(m.inputs.edges) for ms in wave.values() for m in ms)
+    orders = trees.column_orders(width, max(p.n_estimators for p in candidates), seed)
+    at = F.create_map(*[x for pop, ms in wave.items() for x in (F.lit(pop), F.array(*[F.lit(float(m.inputs.base)) for m in ms]))])
+    run = uuid.uuid4().hex
+    data, since = cut_lineage(data.withColumn("margins", at[F.col("_pop")]), f"{run}-1"), 0
+    names = [*names, "margins"]
+    for t, order in enumerate(orders):
+        for level in range(max(p.max_depth for p in candidates if t < p.n_estimators)):
+            cells = data.mapInArrow(_add_histograms(wave, candidates, t, since, level, order, bins, seed), _CELLS)
+            summed = cells.groupBy("_pop", "member", "node", "f", "b").agg(F.sum("below").alias("below"), F.sum("n").alias("n"))
+            best = summed.groupBy("_pop", "member", "node").applyInPandas(
+                _choose_splits(wave, candidates, level, order, bins), "_pop int, member int, node int, f int, b int, gain double")
+            new = best.collect()  # one row per node and member of the wave
+            for ms in wave.values():
+                for m in ms:
+                    m.splits = m.splits if level else {}
+            for r in sorted(new, key=lambda r: r["node"]):
+                wave[r["_pop"]][r["member"]].splits[r["node"]] = (r["f"], r["b"])
+                wave[r["_pop"]][r["member"]].gains.append((r["f"], r["gain"]))
+            if not new:
+                break
+        totals = data.mapInArrow(_add_leaves(wave, candidates, t, since), _TOTALS)
+        whole = totals.groupBy("_pop", "member", "node", "bucket").agg(
+            F.sum("size").alias("size"), F.min("low").alias("low"), F.max("high").alias("high"))
+        leaves = whole.groupBy("_pop", "member", "node").applyInPandas(
+            _choose_leaves(wave), "_pop int, member int, node int, value double").collect()  # one row per leaf
+        for ms in wave.values():
+            for m in ms:
+                if t < candidates[m.candidate].n_estimators:
+                    m.grown.append((m.splits, {}))
+                m.splits = {}
+        for r in leaves:
+            m = wave[r["_pop"]][r["member"]]
+            m.grown[-1][1][r["node"]] = r["value"] * candidates[m.candidate].learning_rate
+        if (t + 1) % CUT_EVERY == 0 or t + 1 == len(orders):
+            slot = f"{run}-{t // CUT_EVERY % 2}"
+            data, since = cut_lineage(data.mapInArrow(_advance(wave, since, names), data.schema), slot), t + 1
+    return data
+
+
+# --- the estimator -------------------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class Trainer:
+    """Trains all fits of all populations.
+
+    ``data`` has the population's key columns, ``row`` (unique), ``rid`` (a hash of what
+    identifies the row), ``y``, ``x`` (features, missing as NaN), ``category``, ``encode``
+    (``codes``, ``zero`` or empty) and ``fits`` (name and role of every fit the row is
+    in). Without ``levels`` the population's ``quantile`` is one of its columns.
+    ``chosen`` (keys, ``quantile``, ``candidate``) picks one candidate each.
+    """
+
+    keys: list[str]
+    candidates: list[Params]
+    levels: Sequence[float] | None = None
+    tuned: bool = False
+    center: bool = False
+    impute: bool = False
+    roles: tuple[str, ...] = ("train", "test")
+    bins: int = MOST_BINS
+    seed: int = 42
+
+    def train(self, data: DataFrame, chosen: DataFrame | None = None) -> DataFrame:
+        pop = [*self.keys] if self.levels else [*self.keys, "quantile"]
+        large = settle(data.groupBy(*pop).agg(F.count("*").alias("n")).where(F.col("n") > LOCAL_ROWS))
+        some = bool(large.take(1))
+        small = join_populations(data, large.drop("n"), pop, "left_anti") if some else data
+        group = [*self.keys, "fit", "quantile"]
+        units = small.select("*", F.inline("fits"))
+        if self.levels:
+            units = units.withColumn("quantile", F.explode(F.array(*[F.lit(float(q)) for q in self.levels])))
+        if chosen is not None:
+            picked = settle(chosen.select(*self.keys, "quantile", F.col("candidate").alias("chosen")))
+            units = units.join(picked, [*self.keys, "quantile"])
+        else:
+            units = units.withColumn("chosen", F.lit(None).cast("int"))
+        units = units.select(*group, "row", "rid", "role", "y", "x", "category", "encode", "chosen")
+        outcome = T.StructType([units.schema[k] for k in group] + T._parse_datatype_string(OUTCOME).fields)
+        run = _local(group, to_arrow_schema(outcome), self.candidates, self.tuned, self.bins, self.seed,
+                     self.center, self.impute, self.roles)
+        done = cut_lineage(units.groupBy(*group).applyInArrow(run, outcome))
+        for wave in self._waves(large, pop) if some else []:
+            done = done.unionByName(self._train_large(data, wave, pop, chosen, outcome))
+        return done
+
+    def _waves(self, large: DataFrame, pop: list[str]) -> Iterator[list]:
+        """The large populations, a bounded number at a time."""
+        depth = max(p.max_depth for p in self.candidates)
+        cells = len(self.candidates) * len(self.levels or [0]) * 8 * (1 << depth) * 16 * (self.bins + 1)
+        rows = large.select(*pop).toLocalIterator()
+        while wave := list(islice(rows, max(1, WAVE_CELLS // cells))):
+            yield wave
+
+    def _train_large(self, data: DataFrame, wave: list, pop: list[str], chosen: DataFrame | None, outcome: T.StructType) -> DataFrame:
+        spark = data.sparkSession
+        numbered = spark.createDataFrame(
+            [(i, *r) for i, r in enumerate(wave)], T.StructType([T.StructField("_pop", T.IntegerType())] + [data.schema[k] for k in pop]))
+        own = cut_lineage(join_populations(data, F.broadcast(numbered), pop))  # a bounded number of populations
+        picks: dict = {}
+        if chosen is not None:
+            found = chosen.join(F.broadcast(numbered), self.keys).select("_pop", "quantile", "candidate").collect()
+            picks = {(r["_pop"], r["quantile"]): [r["candidate"]] for r in found}
+        width = len(own.select("x").first()["x"])
+        members = _wave_members(_large_inputs(own, self.levels, self.bins, self.center, self.impute), width,
+                                self.candidates, picks, self.impute)
+        slim = own.select("_pop", "row", "rid", "y", "x", "category", "fits")
+        final = _train_wave(slim, members, self.candidates, self.bins, self.seed)
+        keys_of = {i: dict(zip(pop, r)) for i, r in enumerate(wave)}
+        models, shapes = [], []
+        for number, ms in members.items():
+            at: dict = {}
+            for c, m in enumerate(ms):
+                at.setdefault((m.fit, m.inputs.quantile), []).append(c)
+                row = _model_row(m.inputs, m.n_train, m.candidate if self.tuned else None, m.grown, m.gains)
+                row |= keys_of[number] | {"fit": m.fit, "quantile": m.inputs.quantile, "codes": m.inputs.codes}
+                for tree in row["trees"]:
+                    tree["splits"], tree["leaves"] = dict(tree["splits"]), dict(tree["leaves"])
+                models.append(row)
+            shapes += [(number, fit, q, ms[cs[0]].inputs.shift, [c + 1 for c in cs]) for (fit, q), cs in at.items()]
+        made = spark.createDataFrame(models, outcome)
+        shape = spark.createDataFrame(shapes, "_pop int, fit string, quantile double, shift double, at array<int>")
+        told = final.select("_pop", "row", "y", "margins", F.inline("fits")).where(F.col("role").isin(*self.roles))
+        rows = join_populations(told, F.broadcast(shape), ["_pop", "fit"]).join(F.broadcast(numbered.drop("quantile")), "_pop")
+        predicted = rows.select(
+            *self.keys, "fit", "quantile", "row", "role", (F.col("y") - F.col("shift")).alias("y"),
+            F.transform("at", lambda c: F.element_at("margins", c)).alias("prediction"),
+        )
+        return cut_lineage(made.unionByName(predicted, allowMissingColumns=True).select(*outcome.names))
+
+
 @dataclass(frozen=True)
 class QuantileBoostedTrees:
     """Estimator. Rows carry keys, ``quantile``, ``y``, ``role`` and features.
 
-    Rows whose role is ``train`` are fitted; all others are only scored. With
-    ``candidates`` the key column ``candidate`` selects the parameters.
+    Rows whose role is ``train`` are fitted; all others are only scored. ``candidates``
+    are all trained; the model's key then includes ``candidate``.
     """
 
     features: Sequence[str]
@@ -192,143 +658,21 @@ class QuantileBoostedTrees:
     candidates: Sequence[Params] | None = None
     bins: int = MOST_BINS
     seed: int = 42
-    checkpoint_every: int = 10
-
-    def _param(self, name: str) -> Column:
-        """A parameter of the row's population; candidates are few."""
-        if not self.candidates:
-            return F.lit(asdict(self.params)[name])
-        values = F.array(*[F.lit(asdict(p)[name]) for p in self.candidates])
-        return F.element_at(values, F.col("candidate") + 1)
-
-    def _all(self, name: str) -> list:
-        return [asdict(p)[name] for p in (self.candidates or [self.params])]
 
     def fit(self, rows: DataFrame) -> BoostedModel:
-        keys, features = list(self.keys), list(self.features)
-        group = keys if "quantile" in keys else [*keys, "quantile"]
-        if self.candidates and "candidate" not in keys:
-            raise ValueError("candidates need a candidate key")
-        depth = max(self._all("max_depth"))
-        rounds = max(self._all("n_estimators"))
-        train = F.col("role") == "train"
-
-        # candidates share the rows, hence the edges
-        shared = [k for k in group if k != "candidate"]
-        edges = settle(bin_edges(rows.where(train), shared, features, self.bins))
-        row_id = F.xxhash64(*self.id_columns)
-        run = uuid.uuid4().hex
-        binned = add_bins(rows.join(edges, shared, "left"), features, self.bins)
-        data = cut_lineage(binned.withColumn("_id", row_id).drop("edges", *features))
-        base = cut_lineage(bucket_quantiles(data.where(train), group, F.col("y"), "quantile", "base"))
-        data = data.join(base, group).withColumnRenamed("base", "margin")
-
-        grown, gains = None, None
-        recent: DataFrame | None = None
-        rng = random.Random(self.seed)
-        for t in range(rounds):
-            order = list(range(len(features)))
-            rng.shuffle(order)
-            current = data if recent is None else self._advance(data, recent, group, depth)
-            tree, gain = self._grow(current, base, group, depth, order, t)
-            gains = gain if gains is None else gains.unionByName(gain)
-            grown = self._append(grown, tree, group)
-            recent = self._append(recent, tree, group)
-            if (t + 1) % self.checkpoint_every == 0 or t + 1 == rounds:
-                slot = f"{run}-{t // self.checkpoint_every % 2}"
-                data = cut_lineage(self._advance(data, recent, group, depth), slot)
-                grown, gains, recent = cut_lineage(grown), cut_lineage(gains), None
-        models = base.join(edges, shared, "left").join(grown, group, "left").select(
-            *group, "base", "edges", F.coalesce("trees", F.array().cast(grown.schema["trees"].dataType)).alias("trees")
-        )
-        scored = data.drop("bins", "_id").withColumnRenamed("margin", "prediction")
-        return BoostedModel(group, features, self.bins, depth, models, gains, scored)
-
-    @staticmethod
-    def _append(trees: DataFrame | None, tree: DataFrame, group: list[str]) -> DataFrame:
-        one = tree.select(*group, F.array(F.struct("splits", "leaves")).alias("trees"))
-        if trees is None:
-            return one
-        # every population grows one tree per round, so both sides have the same keys
-        more = one.withColumnRenamed("trees", "_more")
-        return trees.join(more, group).withColumn("trees", F.concat("trees", "_more")).drop("_more")
-
-    @staticmethod
-    def _advance(data: DataFrame, recent: DataFrame, group: list[str], depth: int) -> DataFrame:
-        """Add the trees grown since the last cut to the stored margin."""
-        joined = data.join(recent, group)
-        step = ensemble_value(F.col("trees"), F.col("bins"), depth)
-        return joined.withColumn("margin", F.col("margin") + step).drop("trees")
-
-    def _grow(self, data: DataFrame, base: DataFrame, group: list[str], depth: int, order: list[int], t: int):
-        """One tree per population: splits level by level, then leaf values."""
-        train = data.where(F.col("role") == "train")
-        draw = F.pmod(F.xxhash64("_id", F.lit(self.seed), F.lit(t)), F.lit(1_000_000)) / F.lit(1e6)
-        below = (F.col("y") < F.col("margin")).cast("double")
-        sampled = train.where(draw < self._param("subsample")).withColumn("g", below - F.col("quantile"))
-        chosen = [max(1, math.ceil(share * len(order))) for share in self._all("colsample_bytree")]
-        shown = order[: max(chosen)]
-        rank = F.array_position(F.array(*[F.lit(f) for f in shown]), F.col("f"))
-        allowed = rank <= F.greatest(F.lit(1), F.ceil(self._param("colsample_bytree") * len(order)))
-        growing = F.lit(t) < self._param("n_estimators")
-
-        roots = base.select(*group)
-        tree = roots.withColumn("splits", F.create_map().cast(_SPLITS))
-        gains = None
-        for level in range(depth):
-            node = walk(F.col("splits"), F.col("bins"), level) if level else F.lit(ROOT)
-            at = sampled.join(tree, group) if level else sampled
-            cells = F.explode(F.array(*[
-                F.struct(F.lit(f).alias("f"), F.element_at("bins", f + 1).cast("int").alias("b")) for f in shown
-            ]))
-            counts = (
-                at.withColumn("node", node).where(F.col("node") >= 2**level)
-                .select(*group, "node", "g", cells.alias("c"))
-                .groupBy(*group, "node", F.col("c.f").alias("f"), F.col("c.b").alias("b"))
-                .agg(F.sum("g").alias("g"), F.count("*").alias("h"))
-            )
-            best = self._best_splits(counts.where(allowed & growing), group).where(
-                F.lit(level) < self._param("max_depth")
-            )
-            best = cut_lineage(best)
-            found = best.groupBy(*group).agg(
-                F.map_from_entries(F.collect_list(F.struct("node", F.struct("f", "b")))).alias("_new")
-            )
-            tree = tree.join(found, group, "left").withColumn(
-                "splits", F.when(F.col("_new").isNull(), F.col("splits")).otherwise(F.map_concat("splits", "_new"))
-            ).drop("_new")
-            gain = best.select(*group, "f", "gain")
-            gains = gain if gains is None else gains.unionByName(gain)
-
-        node = walk(F.col("splits"), F.col("bins"), depth)
-        placed = train.join(tree, group).withColumn("node", node)
-        leaves = (
-            bucket_quantiles(placed, [*group, "node"], F.col("y") - F.col("margin"), "quantile", "v")
-            .withColumn("v", F.when(growing, F.col("v") * self._param("learning_rate")).otherwise(F.lit(0.0)))
-            .groupBy(*group)
-            .agg(F.map_from_entries(F.collect_list(F.struct("node", "v"))).cast(_LEAVES).alias("leaves"))
-        )
-        return cut_lineage(tree.join(leaves, group)), gains
-
-    def _best_splits(self, counts: DataFrame, group: list[str]) -> DataFrame:
-        """Split with the greatest regularised gain per node, if any pays."""
-        cell = [*group, "node", "f"]
-        upto = Window.partitionBy(*cell).orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        whole = Window.partitionBy(*cell)
-        alpha, lam = self._param("reg_alpha"), self._param("reg_lambda")
-
-        def score(g: Column, h: Column) -> Column:
-            soft = _soft(g, alpha)
-            return soft * soft / (h + lam)
-
-        sums = (
-            counts.withColumn("gl", F.sum("g").over(upto)).withColumn("hl", F.sum("h").over(upto))
-            .withColumn("gt", F.sum("g").over(whole)).withColumn("ht", F.sum("h").over(whole))
+        keys = [k for k in self.keys if k not in ("quantile", "candidate")]
+        x = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))) for c in self.features])
+        kept = cut_lineage(rows.withColumn("_row", F.monotonically_increasing_id()))
+        data = kept.select(
+            *keys, F.col("quantile").cast("double"), F.col("_row").alias("row"), F.xxhash64(*self.id_columns).alias("rid"),
+            F.col("y").cast("double").alias("y"), x.alias("x"), F.lit(None).cast("string").alias("category"),
+            F.lit("").alias("encode"), F.array(F.struct(F.lit(None).cast("string").alias("fit"), "role")).alias("fits"),
         )
-        gr, hr = F.col("gt") - F.col("gl"), F.col("ht") - F.col("hl")
-        least = F.greatest(self._param("min_child_weight").cast("double"), F.lit(1.0))
-        gain = score(F.col("gl"), F.col("hl")) + score(gr, hr) - score(F.col("gt"), F.col("ht"))
-        pays = (F.col("gain") > F.greatest(self._param("gamma").cast("double"), F.lit(NO_SPLIT_GAIN)))
-        options = sums.withColumn("gain", gain).where((F.col("hl") >= least) & (hr >= least) & pays)
-        best = F.max_by(F.struct("f", "b", "gain"), F.struct("gain", -F.col("f"), -F.col("b")))
-        return options.groupBy(*group, "node").agg(best.alias("s")).select(*group, "node", "s.f", "s.b", "s.gain")
+        candidates = list(self.candidates or [self.params])
+        done = Trainer(keys, candidates, tuned=bool(self.candidates), bins=self.bins, seed=self.seed).train(data)
+        group = [*keys, "quantile", *(["candidate"] if self.candidates else [])]
+        model = BoostedModel.of(done, group, list(self.features), self.bins, max(p.max_depth for p in candidates))
+        each = done.where(F.col("row").isNotNull()).select(F.col("row").alias("_row"), F.posexplode("prediction").alias("candidate", "prediction"))
+        scored = kept.join(each, "_row").drop("_row", *([] if self.candidates else ["candidate"]))
+        model.scored = scored
+        return model

@@ -11,24 +11,20 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aeroquant.operators.quantiles import quantiles_of_counts, value_counts
+from aeroquant.operators.quantiles import present_values, ranked_values
 from aeroquant.session import settle
 
 
-def train_counts(segmented: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Value counts of each fold's training rows: keys, ``fold``, v, c."""
-    per_segment = value_counts(segmented, [*keys, "n_folds", "segment"], value)
-    later = F.sequence(F.col("segment") + 1, F.col("n_folds").cast("int"))
-    return (
-        per_segment.where(F.col("segment") < F.col("n_folds"))
-        .withColumn("fold", F.explode(later))
-        .groupBy(*keys, "fold", "v").agg(F.sum("c").alias("c"))
-    )
-
-
 def train_quantiles(segmented: DataFrame, keys: Sequence[str], value: str, qs: Sequence[float]) -> DataFrame:
     """Exact quantiles of each fold's training rows: keys, fold, n, q."""
-    return quantiles_of_counts(train_counts(segmented, keys, value), [*keys, "fold"], qs)
+    keys = list(keys)
+    rows = present_values(segmented.where(F.col("segment") < F.col("n_folds")), [*keys, "n_folds", "segment"], value)
+
+    def later(table: DataFrame) -> DataFrame:
+        folds = F.sequence(F.col("segment") + 1, F.col("n_folds").cast("int"))
+        return table.withColumn("fold", F.explode(folds)).drop("segment", "n_folds")
+
+    return ranked_values(rows, [*keys, "n_folds", "segment"], qs, [*keys, "fold"], later)
 
 
 def train_medians(segmented: DataFrame, keys: Sequence[str], value: str, name: str = "train_median") -> DataFrame:

@@ -104,10 +104,13 @@ def enforce_parsed(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df
 
 
-def observe_gates(df: DataFrame, gates: dict[str, Column], name: str = "gates") -> tuple[DataFrame, Observation]:
-    """Count bad rows while the frame is written; read ``observation.get`` after."""
+def observe_gates(
+    df: DataFrame, gates: dict[str, Column], name: str = "gates", rows: str | None = None
+) -> tuple[DataFrame, Observation]:
+    """Count bad rows, and all rows as ``rows``, while the frame is written; read ``observation.get`` after."""
     seen = Observation(name)
-    return df.observe(seen, *[F.count_if(bad).alias(g) for g, bad in gates.items()]), seen
+    counted = [F.count("*").alias(rows)] if rows else []
+    return df.observe(seen, *counted, *[F.count_if(bad).alias(g) for g, bad in gates.items()]), seen
 
 
 def passing(df: DataFrame, gates: dict[str, Column]) -> DataFrame:

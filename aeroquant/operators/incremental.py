@@ -23,27 +23,32 @@ OK_STATUSES = ("success", "already_up_to_date")
 FAILED, SKIPPED = "failed", "skipped_backoff"
 
 
-def parse_paths(paths: DataFrame, path: str = "path") -> DataFrame:
+# both layouts at once; the folders before ``data`` of a landed file play no part
+_EITHER = f"^(?:{ARRIVAL_PATH[1:-1]}|{WEATHER_PATH[1:-1]})$"
+_GROUPS = "A|$1|$2|$3|$4|$5|$6"
+
+
+def parse_paths(paths: DataFrame, path: str = "path", *keep: str) -> DataFrame:
     """Chunk paths to (kind, owner, chunk_start, chunk_end); others dropped.
 
-    ``owner`` is the route key of an arrival chunk, the airport of a weather one.
+    ``owner`` is the route key of an arrival chunk, the airport of a weather one. Each
+    path is matched once, against both layouts.
     """
     p = F.translate(path, "\\", "/")
+    parts = F.split(F.when(p.contains("data/raw/"), F.regexp_replace(p, _EITHER, _GROUPS)), r"\|")
+    matched = paths.select(*keep, parts.alias("_parts")).where((F.size("_parts") == 7) & (F.get("_parts", F.lit(0)) == "A"))
+    part = lambda i: F.nullif(F.get("_parts", F.lit(i)), F.lit(""))
+    pick = lambda i: F.coalesce(part(i), part(i + 3))
+    return matched.select(
+        *keep, F.when(part(1).isNotNull(), "arrivals").otherwise("weather").alias("kind"), pick(1).alias("owner"),
+        F.try_to_date(pick(2), "yyyy-MM-dd").alias("chunk_start"),
+        F.try_to_date(pick(3), "yyyy-MM-dd").alias("chunk_end"),
+    )
 
-    def part(pattern: str, group: int) -> Column:
-        return F.nullif(F.regexp_extract(p, pattern, group), F.lit(""))
 
-    is_arrival = p.rlike(ARRIVAL_PATH)
-    pick = lambda group: F.when(is_arrival, part(ARRIVAL_PATH, group)).otherwise(part(WEATHER_PATH, group))
-    return (
-        paths.where(is_arrival | p.rlike(WEATHER_PATH))
-        .select(
-            F.when(is_arrival, "arrivals").otherwise("weather").alias("kind"),
-            pick(1).alias("owner"),
-            F.try_to_date(pick(2), "yyyy-MM-dd").alias("chunk_start"),
-            F.try_to_date(pick(3), "yyyy-MM-dd").alias("chunk_end"),
-        )
-    )
+def landed_path(path: Column) -> Column:
+    """The chunk's own path: from ``data/raw`` on, without what lies inside the chunk."""
+    return F.regexp_extract(F.translate(path, "\\", "/"), r"(data/raw/.*?\.parquet)", 1)
 
 
 def newest_chunks(parsed: DataFrame) -> DataFrame:

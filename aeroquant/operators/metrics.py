@@ -36,6 +36,15 @@ def coverage_error(y: Column, p: Column, q: Column) -> Column:
     return F.abs(coverage(y, p) - F.max(q))
 
 
+def loss_bundle(df: DataFrame, keys: Sequence[str], y: str = "y", p: str = "prediction", q: str = "quantile") -> DataFrame:
+    """The two metrics a search compares candidates by, from one aggregation."""
+    yc, pc, qc = F.col(y), F.col(p), F.col(q)
+    return df.groupBy(*keys).agg(
+        F.count("*").alias("n_eval"), pinball_loss(yc, pc, qc).alias("pinball_loss"),
+        coverage_error(yc, pc, qc).alias("coverage_error"),
+    )
+
+
 def metric_bundle(df: DataFrame, keys: Sequence[str], y: str = "y", p: str = "prediction", q: str = "quantile") -> DataFrame:
     """All metrics per group: one aggregation, plus the exact median error.
 

@@ -1,15 +1,18 @@
 """Exact group quantiles that never hold a whole group in one task.
 
 Spark's own ``percentile`` keeps one value-count map per group in one reducer,
-which breaks when a group holds a third of all rows. Here equal values are
-counted before the shuffle, counts go to value buckets, the few buckets that
-contain a wanted rank are looked up from a small table of bucket totals, and only
-those buckets are sorted. Interpolation is linear between the two closest ranks.
+which breaks when a group holds a third of all rows. Here ranks are found by counted
+refinement. A first pass counts rows per group and prefix of the value (a bucket of
+its magnitude); only these counts are shuffled. The buckets that hold a wanted rank
+are few. While one of them holds more rows than a task should sort, a further pass
+splits those buckets by value and counts again. A last pass reads the rows of the
+buckets left, and only their values are shuffled and sorted. Interpolation is linear
+between the two closest ranks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,41 +21,32 @@ from aeroquant.session import settle
 
 # buckets per factor e of the magnitude; about 0.1 % of a value wide
 RESOLUTION = 1024
-# equal-width parts of a bucket in the optional second level
+# equal-width parts of a bucket that is split
 PARTS = 4096
+# rows of a bucket whose values may be sorted together
+SMALL = 100_000
 
 _ALL = "_all"
+Spread = Callable[[DataFrame], DataFrame]
 
 
 def _coarse(value: Column) -> Column:
-    """Monotone in the value and free of data-dependent bounds.
-
-    Never null, so that a join on it adds no filter below the counts and both of
-    its sides can share one exchange of them.
-    """
+    """Monotone in the value and free of data-dependent bounds; never null."""
     return F.coalesce(F.floor(F.signum(value) * F.log1p(F.abs(value)) * RESOLUTION), F.lit(0))
 
 
-def value_counts(
-    df: DataFrame, keys: Sequence[str], value: str, weight: str | None = None, optional: Sequence[str] = ()
-) -> DataFrame:
-    """Distinct values with their counts; hot groups shrink before the shuffle.
+def present_values(df: DataFrame, keys: Sequence[str], value: str, optional: Sequence[str] = ()) -> DataFrame:
+    """Keys, value ``v`` and its prefix ``b``.
 
     Rows with a missing value are left out, and rows with a null key unless that
     key is ``optional``.
     """
     v = F.col(value).cast("double")
-    count = F.sum(weight) if weight else F.count("*")
     present = v.isNotNull() & ~F.isnan(v)
     for key in keys:
         if key not in optional:
             present = present & F.col(key).isNotNull()
-    return (
-        df.where(present)
-        .select(*keys, v.alias("v"), *([weight] if weight else []))
-        .groupBy(*keys, "v")
-        .agg(count.cast("bigint").alias("c"))
-    )
+    return df.where(present).select(*keys, v.alias("v")).withColumn("b", _coarse(F.col("v")))
 
 
 def _picks(before: Column, size: Column, n: Column, qs: Sequence[float]) -> Column:
@@ -64,57 +58,66 @@ def _picks(before: Column, size: Column, n: Column, qs: Sequence[float]) -> Colu
     return F.filter(F.array_distinct(F.array(*ranks)), lambda r: (r >= before) & (r < before + size))
 
 
-def _locate(counts: DataFrame, groups: list[str], bucket: str, qs: Sequence[float], carried: list[str]) -> DataFrame:
-    """Buckets that hold a wanted rank, with the rows before them.
+def _located(totals: DataFrame, groups: Sequence[str], order: str, start: Column, n: Column, qs: Sequence[float]) -> DataFrame:
+    """The buckets of each group that hold a wanted rank, with ``start``, the rows before them."""
+    upto = Window.partitionBy(*groups).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = totals.withColumn("start", start + F.sum("size").over(upto) - F.col("size")).withColumn("n", n)
+    found = placed.withColumn("picks", _picks(F.col("start"), F.col("size"), F.col("n"), qs))
+    return found.where(F.size("picks") > 0)
 
-    ``carried`` are per-group columns (n and the rows before the group) known
-    from the level above; without them the group is counted here.
-    """
-    totals = counts.groupBy(*groups, bucket, *carried).agg(
-        F.sum("c").alias("size"), F.min("v").alias("low"), F.max("v").alias("high")
-    )
-    w = Window.partitionBy(*groups).orderBy(bucket)
-    inside = F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")
-    if carried:
-        located = totals.withColumn("before", F.col("start") + inside).drop("start")
-    else:
-        located = totals.withColumn("n", F.sum("size").over(Window.partitionBy(*groups))).withColumn("before", inside)
-    return (
-        located.withColumn("picks", _picks(F.col("before"), F.col("size"), F.col("n"), qs))
-        .where(F.size("picks") > 0)
-        .withColumnRenamed("before", "start")
-    )
 
+_HIT = ["b", "low", "high", "start", "n"]
 
-def quantiles_of_counts(
-    counts: DataFrame, keys: Sequence[str], qs: Sequence[float], refine: bool = False
+
+def _inside(rows: DataFrame, hits: DataFrame, on: Sequence[str], how: str) -> DataFrame:
+    """Rows whose value lies in a hit bucket of their group."""
+    named = {c: f"_hit_{c}" for c in [*on, "b"]}
+    same = (F.col("v") >= F.col("low")) & (F.col("v") <= F.col("high"))
+    for own, other in named.items():
+        same = same & (F.col(own) == F.col(other))
+    joined = rows.join(hits.withColumnsRenamed(named), same, how)
+    return joined.drop(*named.values())
+
+
+def ranked_values(
+    rows: DataFrame, raw: Sequence[str], qs: Sequence[float], keys: Sequence[str] | None = None, spread: Spread | None = None
 ) -> DataFrame:
-    """Quantiles of a ``value_counts`` table: keys, ``n`` and array ``q``.
+    """Quantiles of ``present_values``: keys, ``n`` and array ``q``.
 
-    ``refine`` splits a located bucket once more before sorting it; use it for
-    continuous values that crowd into a narrow band.
+    Rows are counted by their ``raw`` keys. ``spread`` turns a table of them into one
+    by ``keys``, such as a segment into the folds that train on it; it is applied to
+    counts, or to the few rows of buckets that are split, never to all rows.
     """
-    groups = list(keys) or [_ALL]
-    base = counts if keys else counts.withColumn(_ALL, F.lit(1))
-    base = base.withColumn("b", _coarse(F.col("v")))
-    hit = _locate(base, groups, "b", qs, [])
-    on = [*groups, "b"]
-    rows = base.join(hit.select(*on, "n", "start", "low", "high"), on)
-    if refine:
-        width = F.col("high") - F.col("low")
-        part = F.when(width > 0, F.floor((F.col("v") - F.col("low")) / width * PARTS)).otherwise(F.lit(0))
-        fine = rows.select(*on, part.alias("p"), "v", "c", "n", "start")
-        sub = _locate(fine, on, "p", qs, ["n", "start"])
-        on = [*on, "p"]
-        rows = fine.drop("n", "start").join(sub.select(*on, "n", "start"), on)
-    w = Window.partitionBy(*on).orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = rows.withColumn("first", F.col("start") + F.sum("c").over(w) - F.col("c"))
-    found = (
-        ranked.withColumn("picks", _picks(F.col("first"), F.col("c"), F.col("n"), qs))
-        .where(F.size("picks") > 0)
-        .select(*groups, "n", "v", F.explode("picks").alias("rank"))
-        .groupBy(*groups)
-        .agg(F.max("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("rank", "v"))).alias("at"))
+    spread = spread or (lambda table: table)
+    raw, keys = list(raw), list(raw if keys is None else keys)
+    groups, shown = keys or [_ALL], keys
+    if not keys:
+        rows, raw = rows.withColumn(_ALL, F.lit(1)), [*raw, _ALL]
+    common = [k for k in raw if k in groups]
+    counted = rows.groupBy(*raw, "b").agg(F.count("*").alias("size"), F.min("v").alias("low"), F.max("v").alias("high"))
+    totals = spread(counted).groupBy(*groups, "b").agg(
+        F.sum("size").alias("size"), F.min("low").alias("low"), F.max("high").alias("high"))
+    whole = F.sum("size").over(Window.partitionBy(*groups))
+    hits = settle(_located(totals, groups, "b", F.lit(0), whole, qs).select(*groups, *_HIT, "size"))
+    while (hits.where("low < high").agg(F.max("size")).first()[0] or 0) > SMALL:
+        on = [*groups, *_HIT]
+        near = _inside(rows, hits.select(*common, "b", "low", "high").distinct(), common, "left_semi")
+        part = F.floor((F.col("v") - F.col("low")) / F.greatest(F.col("high") - F.col("low"), F.lit(5e-324)) * PARTS)
+        split = _inside(spread(near.withColumn("size", F.lit(1))), hits.drop("size"), groups, "inner").groupBy(
+            *on, F.coalesce(part, F.lit(0)).alias("part")
+        ).agg(F.sum("size").alias("size"), F.min("v").alias("_low"), F.max("v").alias("_high"))
+        finer = _located(split.withColumnsRenamed({"start": "_start", "n": "_n"}), [*groups, "b", "low"], "part",
+                         F.col("_start"), F.col("_n"), qs)
+        hits = settle(finer.drop("low", "high").withColumnsRenamed({"_low": "low", "_high": "high"}).select(*groups, *_HIT, "size"))
+    near = _inside(rows, hits.select(*common, "b", "low", "high").distinct(), common, "left_semi")
+    counts = spread(near.groupBy(*raw, "b", "v").agg(F.count("*").alias("size")))
+    values = counts.groupBy(*groups, "b", "v").agg(F.sum("size").alias("size"))
+    last = _located(
+        _inside(values, hits.drop("size").withColumnsRenamed({"start": "_start", "n": "_n"}), groups, "inner"),
+        [*groups, "b", "low"], "v", F.col("_start"), F.col("_n"), qs,
+    )
+    found = last.select(*groups, "n", "v", F.explode("picks").alias("rank")).groupBy(*groups).agg(
+        F.max("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("rank", "v"))).alias("at")  # two per wanted rank
     )
 
     def interpolate(q: float) -> Column:
@@ -124,37 +127,40 @@ def quantiles_of_counts(
         share = position - F.floor(position)
         return low + (high - low) * share
 
-    return found.select(*keys, "n", F.array(*[interpolate(q) for q in qs]).alias("q"))
+    return found.select(*shown, "n", F.array(*[interpolate(q) for q in qs]).alias("q"))
 
 
-def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, qs: Sequence[float], refine: bool = False
-) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, qs: Sequence[float]) -> DataFrame:
     """Exact quantiles per group: keys, ``n`` (non-missing rows) and array ``q``."""
-    return quantiles_of_counts(value_counts(df, keys, value), keys, qs, refine)
+    return ranked_values(present_values(df, keys, value), keys, qs)
 
 
 def quantiles_with_total(
-    df: DataFrame, keys: Sequence[str], column: str, value: str, qs: Sequence[float],
-    total_qs: Sequence[float] | None = None, refine: bool = False,
+    df: DataFrame, keys: Sequence[str], column: str, value: str, qs: Sequence[float], total_qs: Sequence[float] | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """Quantiles per ``column`` and over all of its values, from one pass.
+    """Quantiles per ``column`` and over all of its values, from the same passes.
 
-    The counts are stored once; their sum over ``column`` gives the total, which
-    includes rows where ``column`` is null.
+    The total includes rows where ``column`` is null.
     """
-    keys = list(keys)
-    counts = settle(value_counts(df, [*keys, column], value, optional=[column]))
-    merged = counts.groupBy(*keys, "v").agg(F.sum("c").alias("c"))
-    per = quantiles_of_counts(counts.where(F.col(column).isNotNull()), [*keys, column], qs, refine)
-    return per, quantiles_of_counts(merged, keys, total_qs or qs, refine)
+    keys, kind = list(keys), df.schema[column].dataType
+    rows = present_values(df, [*keys, column], value, optional=[column])
+    every = list(dict.fromkeys([*qs, *(total_qs or qs)]))
+    own = F.struct(F.col(column).cast("string").alias("_name"), F.lit(False).alias("_total"))
+    total = F.struct(F.lit("").alias("_name"), F.lit(True).alias("_total"))
 
+    def spread(table: DataFrame) -> DataFrame:
+        both = F.array_compact(F.array(F.when(F.col(column).isNotNull(), own), total))
+        return table.select("*", F.inline(both)).drop(column)
 
-def named_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, names: Mapping[str, float], refine: bool = False
-) -> DataFrame:
+    found = settle(ranked_values(rows, [*keys, column], every, [*keys, "_name", "_total"], spread))
+    pick = lambda wanted: F.array(*[F.col("q")[every.index(q)] for q in wanted]).alias("q")
+    per = found.where("not _total").select(*keys, F.col("_name").cast(kind).alias(column), "n", pick(qs))
+    return per, found.where("_total").select(*keys, "n", pick(total_qs or qs))
+
+
+def named_quantiles(df: DataFrame, keys: Sequence[str], value: str, names: Mapping[str, float]) -> DataFrame:
     """As ``exact_quantiles`` with one column per name."""
-    found = exact_quantiles(df, keys, value, list(names.values()), refine)
+    found = exact_quantiles(df, keys, value, list(names.values()))
     return found.select(*keys, "n", *[F.col("q")[i].alias(name) for i, name in enumerate(names)])
 
 
@@ -211,10 +217,10 @@ def column_medians(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -
 
 def qcut_edges(df: DataFrame, value: str, bins: int) -> DataFrame:
     """One row: the distinct edges of equal-count bins, and the distinct count."""
-    counts = value_counts(df, [], value)
+    rows = present_values(df, [], value)
     qs = [i / bins for i in range(bins + 1)]
-    n_distinct = counts.agg(F.count("*")).scalar()
-    return quantiles_of_counts(counts, [], qs).select(F.array_distinct("q").alias("edges"), n_distinct.alias("n_distinct"))
+    n_distinct = rows.select("v").distinct().agg(F.count("*")).scalar()
+    return ranked_values(rows, [], qs).select(F.array_distinct("q").alias("edges"), n_distinct.alias("n_distinct"))
 
 
 def qcut(df: DataFrame, value: str, bins: int = 6, max_raw: int = 10) -> DataFrame:

@@ -18,6 +18,7 @@ from aeroquant.session import settle
 # share of the newest rows held out, as an exact fraction (fixed value)
 TEST_PARTS, ALL_PARTS = 1, 5
 MIN_COMPLETE_YEARS = 2
+BLOCK = 1 << 16  # copies of a row made from one block
 
 
 class SplitError(ValueError):
@@ -47,10 +48,11 @@ def hour_counts(df: DataFrame, keys: Sequence[str], time: str) -> DataFrame:
 def boundary_keys(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], hours: DataFrame, ranks: DataFrame
 ) -> DataFrame:
-    """Order key at each wanted zero-based rank: keys, ``rank``, ``key``.
+    """Order key at each wanted zero-based rank: keys, ``rank``, ``key``, ``skip``.
 
     ``ranks`` has the keys and an array column ``ranks``. ``order`` starts with
-    the time column and must identify a row; copies across a boundary fail.
+    the time column. Where rows tie in the whole order, ``skip`` of them lie before
+    the rank.
     """
     inside = lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col("size"))
     hit = settle(
@@ -70,9 +72,46 @@ def boundary_keys(
     )
     chosen = F.filter("picks", lambda r: (r >= F.col("first")) & (r < F.col("first") + F.col("c")))
     found = ordered.withColumn("rank", F.explode(chosen))
-    straddles = F.raise_error(F.lit("copies of one row lie across a split; remove duplicates first"))
-    checked = F.when(F.col("rank") == F.col("first"), F.col("key")).otherwise(straddles)
-    return found.select(*keys, "rank", checked.alias("key"))
+    return found.select(*keys, "rank", "key", (F.col("rank") - F.col("first")).alias("skip"))
+
+
+def place_ties(tied: DataFrame, keys: Sequence[str], columns: Sequence[str], name: str) -> DataFrame:
+    """Segments of rows whose whole order key is that of a boundary inside the tie.
+
+    ``tied`` adds ``_key``, ``_base`` (boundaries before the tie) and ``_skips`` (rows of
+    the tie before each boundary in it). Such rows are ranked by a hash of the whole row,
+    so reruns agree. Hash prefixes are counted first, and only a prefix that a boundary
+    cuts is ordered: there copies of a row count as one, and as many of them as belong
+    before the boundary go there.
+    """
+    group = [*keys, "_key"]
+    rows = tied.withColumn("_h", F.xxhash64(*columns, *[F.col(c).isNull() for c in columns]))
+    rows = rows.withColumn("_b", F.shiftrightunsigned("_h", 48))
+    upto = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)  # 65,536 prefixes a tie at most
+    totals = rows.groupBy(*group, "_b").agg(F.count("*").alias("_n"), F.first("_skips").alias("_s"))
+    totals = totals.withColumn("_start", F.sum("_n").over(upto) - F.col("_n"))
+    within = lambda s: (s > F.col("_start")) & (s < F.col("_start") + F.col("_n"))
+    totals = settle(totals.withColumn("_cut", F.exists("_s", within)).drop("_s"))
+    rows = join_populations(rows, totals, [*group, "_b"])
+    before = F.size(F.filter("_skips", lambda s: s <= F.col("_start")))
+    whole = rows.where("not _cut").select(*columns, (F.col("_base") + before).alias(name))
+    same = rows.where("_cut").groupBy(*columns, "_key", "_base", "_skips", "_h", "_b", "_start").agg(F.count("*").alias("_c"))
+    order = Window.partitionBy(*group, "_b").orderBy("_h", F.struct(*columns)).rowsBetween(Window.unboundedPreceding, 0)
+    at = F.col("_start") + F.sum("_c").over(order) - F.col("_c")
+    far = F.lit((1 << 63) - 1)
+    edges = F.concat(F.array(F.lit(0).cast("long")), F.col("_skips"), F.array(far))
+    share = lambda j: F.struct(
+        j.alias("j"),
+        (F.least(F.col("_at") + F.col("_c"), F.element_at("_edges", j + 2)) - F.greatest("_at", F.element_at("_edges", j + 1))).alias("n"),
+    )
+    parts = same.withColumn("_at", at).withColumn("_edges", edges).select(
+        *columns, "_base", F.inline(F.transform(F.sequence(F.lit(0), F.size("_skips")), share))
+    ).where("n > 0")
+    # many copies of one row come back in blocks
+    blocks = parts.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / BLOCK))))
+    copies = F.sequence(F.lit(1).cast("long"), F.least(F.lit(BLOCK), F.col("n") - F.col("_k") * BLOCK))
+    again = blocks.withColumn("_copy", F.explode(copies)).select(*columns, (F.col("_base") + F.col("j")).alias(name))
+    return whole.unionByName(again)
 
 
 def assign_segments(
@@ -89,12 +128,24 @@ def assign_segments(
     hours = hour_counts(df, keys, order[0])
     ranks = ranks_of(hours.groupBy(*keys).agg(F.sum("size").alias("n")))
     extra = [c for c in ranks.columns if c not in (*keys, "ranks")]
-    bounds = boundary_keys(df, keys, order, hours, ranks).groupBy(*keys).agg(F.collect_list("key").alias("bounds"))
+    found = boundary_keys(df, keys, order, hours, ranks)
+    bounds = found.groupBy(*keys).agg(F.collect_list(F.struct("key", "skip")).alias("bounds"))  # one entry per rank
     bounds = settle(join_populations(bounds, ranks.select(*keys, *extra), keys))
     time = F.col(order[0])
     # times differ for nearly all rows, so whole keys are seldom compared
-    reached = lambda b: (b["o0"] < time) | ((b["o0"] == time) & (b <= order_key(order)))
-    return join_populations(df, bounds, keys).withColumn(name, F.size(F.filter("bounds", reached))).drop("bounds")
+    reached = lambda b: (b["key"]["o0"] < time) | ((b["key"]["o0"] == time) & (b["key"] <= order_key(order)))
+    rows = join_populations(df, bounds, keys)
+    segment = F.size(F.filter("bounds", reached))
+    if not bounds.where(F.exists("bounds", lambda b: b["skip"] > 0)).take(1):
+        return rows.withColumn(name, segment).drop("bounds")
+    here = lambda b: (b["skip"] > 0) & (b["key"]["o0"] == time) & b["key"].eqNullSafe(order_key(order))
+    columns = [*df.columns, *extra]
+    skips = F.array_sort(F.transform(F.filter("bounds", here), lambda b: b["skip"]))
+    marked = rows.withColumn("_skips", skips)
+    free = marked.where(F.size("_skips") == 0).select(*columns, segment.alias(name))
+    ahead = F.size(F.filter("bounds", lambda b: reached(b) & ~here(b)))
+    tied = marked.where(F.size("_skips") > 0).select(*columns, "_skips", ahead.alias("_base"), order_key(order).alias("_key"))
+    return free.unionByName(place_ties(tied, keys, columns, name))
 
 
 def population_sizes(df: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -158,7 +158,7 @@ union all select 'fallback', round(quantile_cont(flight_duration, 0.5), 6), roun
 def airline_quantiles(spark, sf_dir):
     h = tables.history(spark, sf_dir)
     days, all_days = quantiles.quantiles_with_total(h, [], "airline", "flight_duration", [0.5, 0.9])
-    prices, all_prices = quantiles.quantiles_with_total(h, [], "airline", "l_extendedprice", [0.95], refine=True)
+    prices, all_prices = quantiles.quantiles_with_total(h, [], "airline", "l_extendedprice", [0.95])
     per = days.select("airline", "q").join(prices.select("airline", F.col("q").alias("price")), "airline")
     overall = all_days.select(F.lit("fallback").alias("airline"), "q", all_prices.select("q").scalar().alias("price"))
     return per.unionByName(overall).select(
@@ -398,6 +398,28 @@ def feature_matrix(spark, sf_dir):
     )
 
 
+@query("feature_gate_report", f"""
+with {FLIGHTS}, {WEATHER_V},
+j as (
+  select t.*, coalesce(wd.v_n, 0) > 1 and coalesce(wa.v_n, 0) > 1 as complete
+  from trips t left join weather_v wd on wd.airport = t.dep and wd."time" = t.dep_hour
+  left join weather_v wa on wa.airport = t.arr and wa."time" = t.arr_hour),
+c as (select count(*) n from j group by icao24, firstSeen, lastSeen, dep, arr having count(*) > 1)
+select 'firstSeen_parsed' as gate, count(*) filter (where firstSeen is null) as n_bad from j
+union all select 'lastSeen_parsed', count(*) filter (where lastSeen is null) from j
+union all select 'time_order', count(*) filter (where lastSeen <= firstSeen) from j
+union all select 'duplicates', cast(coalesce(sum(n), 0) as bigint) from c
+union all select 'weather_key', 0
+union all select 'not_null', count(*) filter (where airline is null or callsign is null or dep is null) from j
+union all select 'weather_complete', count(*) filter (where not complete) from j
+union all select 'duration_finite', count(*) filter (where flight_duration is null) from j
+union all select 'duration_positive', count(*) filter (where flight_duration <= 0) from j
+union all select 'join_fanout', 0""")
+def feature_gate_report(spark, sf_dir):
+    """The gated build of all flights, sane or not: what each gate would stop it for."""
+    return plan.stage_feature_matrix(tables.raw_flights(spark, sf_dir), tables.weather(spark, sf_dir)).gate_report()
+
+
 # --- metrics ------------------------------------------------------------------------
 
 SCORED = f"""{FLIGHTS},

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from aeroquant.functions import text, times
@@ -42,23 +44,70 @@ def feature_matrix(flights: DataFrame, weather: DataFrame) -> DataFrame:
     return conform(require_columns(wide, FEATURES, "Feature table"), FEATURE_SCHEMA)
 
 
+SHOW = ["icao24", "firstSeen", "lastSeen", "route"]
+
+
+@dataclass(frozen=True)
+class StagedFeatures:
+    """A feature table that is written but not yet put in place."""
+
+    table: DataFrame
+    report: dict[str, int]  # bad rows by gate, in the order in which gates are reported
+
+    def gate_report(self) -> DataFrame:
+        """(gate, n_bad) of every gate."""
+        rows = [F.struct(F.lit(g).alias("gate"), F.lit(n).cast("long").alias("n_bad")) for g, n in self.report.items()]
+        return self.table.sparkSession.range(1).select(F.inline(F.array(*rows)))
+
+    def enforce(self) -> DataFrame:
+        """The table if no gate counts a row, else an error with the first gate and examples."""
+        for gate, n_bad in self.report.items():
+            if n_bad:
+                bad = {**_prepared_gates(), **gates.final_row_gates()}.get(gate)
+                found = self.table.where(bad).select(*SHOW) if bad is not None else gates.copies(self.table, FLIGHT_KEY).drop("n")
+                what = "rows" if bad is not None else "duplicated rows"
+                examples = [r.asDict() for r in found.limit(gates.EXAMPLES).collect()]
+                raise gates.GateError(f"gate {gate}: found {n_bad} {what}. Examples: {examples}")
+        return self.table
+
+
+def _prepared_gates() -> dict[str, Column]:
+    unread = {f"{c}_parsed": F.col(c).isNull() for c in ("firstSeen", "lastSeen")}
+    return {**unread, "time_order": gates.bad_time_order()}
+
+
+def stage_feature_matrix(flights: DataFrame, weather: DataFrame) -> StagedFeatures:
+    """Write the feature table once and count all gates on the way.
+
+    Row gates ride on the write, before and after the join. What the join adds is the
+    difference of two counts of that write. Only keys are read again, to find copies.
+    """
+    known = clean.with_weather_columns(weather, WEATHER)
+    prepared, before = gates.observe_gates(prepare_flights(flights), _prepared_gates(), "prepared", rows="n")
+    wide = conform(
+        require_columns(enrich.join_both_ends(prepared, known, WEATHER), FEATURES, "Feature table"), FEATURE_SCHEMA)
+    watched, after = gates.observe_gates(wide, gates.final_row_gates(), "joined", rows="n")
+    table = cut_lineage(watched)
+    early, late = dict(before.get), dict(after.get)
+    copies = lambda df, keys, name, extra=False: gates.duplicate_report(df, keys, name, extra).first()["n_bad"]
+    fanout = late.pop("n") - early.pop("n")
+    lookup = enrich.weather_lookup(known, [])
+    report = early | {
+        "duplicates": copies(table, FLIGHT_KEY, "duplicates") if not fanout else copies(prepare_flights(flights), FLIGHT_KEY, "duplicates"),
+        "weather_key": copies(lookup, ["airport", "hour"], "weather_key"),
+        **late, "join_fanout": fanout,
+    }
+    return StagedFeatures(table, report)
+
+
 def checked_feature_matrix(flights: DataFrame, weather: DataFrame) -> DataFrame:
     """The feature table, or an error naming the first gate that fails."""
-    parsed = prepare_flights(flights)
-    times_ok = {f"{c}_parsed": F.col(c).isNull() for c in ("firstSeen", "lastSeen")}
-    show = ["icao24", "firstSeen", "lastSeen", "route"]
-    gates.enforce_rows(parsed, {**times_ok, "time_order": gates.bad_time_order()}, show)
-    gates.enforce_unique(parsed, FLIGHT_KEY, "duplicates")
-    lookup = enrich.weather_lookup(clean.with_weather_columns(weather, WEATHER), [])
-    gates.enforce_unique(lookup, ["airport", "hour"], "weather_key")
-    # joined once; the last gates read the stored table
-    return gates.enforce_final(cut_lineage(feature_matrix(flights, weather)))
+    return stage_feature_matrix(flights, weather).enforce()
 
 
 def write_features(features: DataFrame, path: str) -> None:
     """Store by route, rows of a file in time order."""
-    ordered = features.sortWithinPartitions("route", "firstSeen", "icao24")
-    sinks.write_partitions(ordered, path, ["route"])
+    sinks.write_partitions(features, path, ["route"], order=["firstSeen", "icao24"])
 
 
 def training_rows(features: DataFrame) -> DataFrame:

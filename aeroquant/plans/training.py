@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aeroquant.functions import text
 from aeroquant.operators import enrich, folds, metrics, split
-from aeroquant.operators.boost import BoostedModel, Params, QuantileBoostedTrees
-from aeroquant.operators.preprocess import Preprocessor, fit_preprocessor
-from aeroquant.operators.quantiles import named_quantiles
+from aeroquant.operators.boost import MOST_BINS, BoostedModel, Params, Trainer
+from aeroquant.operators.preprocess import Preprocessor
 from aeroquant.plans.features import QUANTILES
-from aeroquant.schemas import MODEL_NUMERIC
+from aeroquant.schemas import MODEL_NUMERIC, SchemaError
 from aeroquant.session import cut_lineage, settle
 
 POOLED = "all_carriers"
@@ -48,29 +48,34 @@ def tiered(rows: DataFrame) -> DataFrame:
     return rows.withColumn("tier", F.explode(tiers))
 
 
-def tier_report(rows: DataFrame, order: Sequence[str], min_rows: int = MIN_ROWS) -> DataFrame:
-    """Per route and tier: rows, folds, whether it is trained, and why not.
-
-    Folds count the complete years of the training part of each tier.
-    """
+def split_report(rows: DataFrame, order: Sequence[str], min_rows: int) -> tuple[DataFrame, DataFrame]:
+    """(``tier_report``, the rows of all tiers with enough of them and their holdout role)."""
     keys = ["route", "tier"]
     all_rows = tiered(rows)
-    sizes = split.population_sizes(all_rows, keys).withColumnRenamed("n", "n_rows")
-    enough = settle(sizes.where(F.col("n_rows") >= min_rows).select(*keys))
+    sizes = settle(split.population_sizes(all_rows, keys).withColumnRenamed("n", "n_rows"))
+    enough = sizes.where(F.col("n_rows") >= min_rows).select(*keys)
     # only tiers with enough rows are split, so small ones cannot fail the job
-    kept = all_rows.select(*keys, *order).join(enough, keys, "left_semi")
-    train = split.chronological_split(kept, keys, order).where(F.col("role") == "train")
-    counted = split.fold_counts(train, keys)
+    held = cut_lineage(split.chronological_split(all_rows.join(enough, keys, "left_semi"), keys, order))
+    counted = split.fold_counts(held.where(F.col("role") == "train"), keys)
     n_folds = F.coalesce("n_folds", F.lit(0))
     has_rows = F.col("n_rows") >= min_rows
     few = F.concat(F.lit("Only "), F.col("n_rows").cast("string"),
                    F.lit(f" flights; a dedicated model requires {min_rows}."))
-    return sizes.join(counted, keys, "left").select(
+    report = sizes.join(counted, keys, "left").select(
         *keys, "n_rows", n_folds.alias("n_folds"),
         F.coalesce("complete_years", F.array().cast("array<int>")).alias("complete_years"),
         (has_rows & split.feasible(n_folds)).alias("trained"),
         F.when(~has_rows, few).otherwise(split.infeasible_reason(n_folds)).alias("reason"),
     )
+    return report, held
+
+
+def tier_report(rows: DataFrame, order: Sequence[str], min_rows: int = MIN_ROWS) -> DataFrame:
+    """Per route and tier: rows, folds, whether it is trained, and why not.
+
+    Folds count the complete years of the training part of each tier.
+    """
+    return split_report(rows.select("route", "airline", *order), order, min_rows)[0]
 
 
 @dataclass(frozen=True)
@@ -82,27 +87,35 @@ class TrainedTiers:
     medians: DataFrame  # route, tier, fit, route_median, n_train
     report: DataFrame
     chosen: DataFrame | None = None  # route, tier, quantile, candidate
+    spans: DataFrame | None = None  # route, tier, fit: rows and first and last time of training and test
+    params: DataFrame | None = None  # candidate, params
 
     KEYS = ("route", "tier", "fit")
 
     def save(self, path: str) -> None:
-        """Everything scoring needs; scored rows are not kept."""
+        """Everything scoring needs, and a description of the run; scored rows are not kept."""
         self.model.save(f"{path}/model")
         parts = {
             "medians": self.medians, "report": self.report, "imputer": self.preprocessor.medians,
             "encoding": self.preprocessor.encoding, "fallback": self.preprocessor.fallback,
         }
-        if self.chosen is not None:
-            parts["chosen"] = self.chosen
+        parts |= {name: table for name, table in (("chosen", self.chosen), ("spans", self.spans), ("params", self.params)) if table is not None}
         for name, table in parts.items():
             table.write.mode("overwrite").parquet(f"{path}/{name}")
+        about = {"tuned": self.chosen is not None, "parts": sorted(parts), "features": list(MODEL_NUMERIC), "keys": list(self.KEYS)}
+        spark = self.report.sparkSession
+        spark.createDataFrame([(json.dumps(about),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str, tuned: bool = False) -> TrainedTiers:
-        part = lambda name: spark.read.parquet(f"{path}/{name}")
+    def load(cls, spark: SparkSession, path: str) -> TrainedTiers:
+        """A saved run; it says itself whether it was tuned."""
+        about = json.loads(spark.read.text(f"{path}/about").first()["value"])
+        if about["features"] != list(MODEL_NUMERIC) or about["keys"] != list(cls.KEYS):
+            raise SchemaError(f"the models at {path} were trained with other columns: {about['features']}")
+        part = lambda name: spark.read.parquet(f"{path}/{name}") if name in about["parts"] else None
         fitted = Preprocessor(cls.KEYS, tuple(MODEL_NUMERIC), part("imputer"), part("encoding"), part("fallback"))
         return cls(BoostedModel.load(spark, f"{path}/model"), fitted, part("medians"), part("report"),
-                   part("chosen") if tuned else None)
+                   part("chosen"), part("spans"), part("params"))
 
     def test_scores(self, fits: str) -> DataFrame:
         return self.model.scored.where(F.col("fit").rlike(fits) & (F.col("role") == "test"))
@@ -119,6 +132,10 @@ class TrainedTiers:
     def backtest_score(self) -> DataFrame:
         return metrics.fold_balanced_score(self.backtest(), ["route", "tier", "quantile"])
 
+    def fold_report(self) -> DataFrame:
+        """Metrics per walk-forward fold with its rows and time spans."""
+        return self.backtest().drop("n_train").join(self.spans, list(self.KEYS))
+
     def manifest(self) -> DataFrame:
         """One row per route, tier and quantile; untrained tiers with the reason."""
         keys = ["route", "tier", "quantile"]
@@ -126,16 +143,28 @@ class TrainedTiers:
         held = held.select(*keys, F.struct(*[c for c in held.columns if c not in keys]).alias("holdout"))
         walked = self.backtest_score()
         walked = walked.select(*keys, F.struct(*[c for c in walked.columns if c not in keys]).alias("backtest"))
+        # a run has few folds
+        fold = F.struct("fit", "n_train", "n_test", "train_start", "train_end", "test_start", "test_end", "pinball_loss", "coverage_error")
+        folds_ = self.fold_report().groupBy(*keys).agg(F.array_sort(F.collect_list(fold)).alias("folds"))
         levels = F.array(*[F.lit(float(q)) for q in QUANTILES])
         base = self.report.withColumn("quantile", F.explode(levels))
-        made = self.medians.where(F.col("fit") == PRODUCTION).select("route", "tier", "route_median", "n_train")
+        made = self.medians.where(F.col("fit") == PRODUCTION).select("route", "tier", "route_median", F.col("n_train").alias("production_rows"))
+        span = lambda fit, *names: self.spans.where(F.col("fit") == fit).select("route", "tier", *[F.col(a).alias(b) for a, b in names])
+        held_span = span(HOLDOUT, ("n_train", "n_train"), ("n_test", "n_test"), ("train_start", "train_start"),
+                         ("train_end", "train_end"), ("test_start", "holdout_start"), ("test_end", "holdout_end"))
+        whole_span = span(PRODUCTION, ("train_start", "production_start"), ("train_end", "production_end"))
         features = F.array(*[F.lit(c) for c in MODEL_NUMERIC])
-        return (
-            base.join(held, keys, "left").join(walked, keys, "left")
-            .join(made.withColumnRenamed("n_train", "production_rows"), ["route", "tier"], "left")
+        out = (
+            base.join(held, keys, "left").join(walked, keys, "left").join(folds_, keys, "left")
+            .join(made, ["route", "tier"], "left").join(held_span, ["route", "tier"], "left").join(whole_span, ["route", "tier"], "left")
             .withColumn("model_features", F.when(
                 F.col("tier") == POOLED, F.concat(features, F.array(F.lit("airline")))).otherwise(features))
         )
+        if self.params is None:
+            return out
+        if self.chosen is None:
+            return out.withColumn("params", self.params.select("params").scalar())  # one row of defaults
+        return out.join(self.chosen.join(self.params, "candidate"), keys, "left")
 
     def score(self, requests: DataFrame, qs: Sequence[float] = QUANTILES) -> DataFrame:
         """Anomaly and total per request and quantile, falling back to the pool.
@@ -172,116 +201,133 @@ def model_inputs(rows: DataFrame, fitted: Preprocessor) -> DataFrame:
     return out.withColumn(CODED, coded)
 
 
-def split_tiers(rows: DataFrame, report: DataFrame, order: Sequence[str]) -> DataFrame:
-    """Rows of every trained tier with holdout role and fold segment."""
-    keys = ["route", "tier"]
-    trained = report.where("trained").select(*keys, "n_folds")
-    kept = tiered(rows).join(trained.select(*keys), keys, "left_semi")
-    held = split.chronological_split(kept, keys, order)
-    return split.fold_segments(held, keys, order, trained)
-
-
-def expand_fits(rows: DataFrame, fits: Sequence[str]) -> DataFrame:
-    """A copy of each row for every fit it takes part in, with its role there."""
-    i = F.sequence(F.greatest(F.col("segment"), F.lit(1)), F.col("n_folds").cast("int"))
+def fits_of(segment: Column, n_folds: Column, role: Column, fits: Sequence[str]) -> Column:
+    """Name and role of every fit a row takes part in."""
+    i = F.sequence(F.greatest(segment, F.lit(1)), n_folds.cast("int"))
     walk = F.transform(i, lambda f: F.struct(
         F.concat(F.lit("fold_"), f.cast("string")).alias("fit"),
-        F.when(F.col("segment") == f, "test").otherwise("train").alias("role"),
+        F.when(segment == f, "test").otherwise("train").alias("role"),
     ))
     parts = []
     if "folds" in fits:
-        parts.append(walk)
+        # a row after the last fold's test part is in no fold
+        parts.append(F.when(segment <= n_folds, walk).otherwise(F.slice(walk, 1, 0)))
     if HOLDOUT in fits:
-        parts.append(F.array(F.struct(F.lit(HOLDOUT).alias("fit"), F.col("role"))))
+        parts.append(F.array(F.struct(F.lit(HOLDOUT).alias("fit"), role.alias("role"))))
     if PRODUCTION in fits:
         parts.append(F.array(F.struct(F.lit(PRODUCTION).alias("fit"), F.lit("train").alias("role"))))
-    kept = [c for c in rows.columns if c not in ("role", "segment", "n_folds")]
-    return rows.select(*kept, F.inline(F.concat(*parts)))
+    return F.concat(*parts)
+
+
+def fit_spans(data: DataFrame) -> DataFrame:
+    """Rows and first and last time of the training and the test part of every fit."""
+    rows = data.select("route", "tier", "at", F.inline("fits"))
+    side = lambda role: F.when(F.col("role") == role, F.col("at"))
+    return settle(rows.groupBy(*TrainedTiers.KEYS).agg(
+        F.count_if(F.col("role") == "train").alias("n_train"), F.count_if(F.col("role") == "test").alias("n_test"),
+        F.min(side("train")).alias("train_start"), F.max(side("train")).alias("train_end"),
+        F.min(side("test")).alias("test_start"), F.max(side("test")).alias("test_end"),
+    ))
 
 
-def fit_instances(instances: DataFrame, order: Sequence[str], qs: Sequence[float], params: Params,
-                  candidates: Sequence[Params] | None, chosen: DataFrame | None, report: DataFrame,
-                  checkpoint_every: int = 10) -> TrainedTiers:
-    """Targets, preprocessing and boosting for all populations together."""
+def candidate_table(spark: SparkSession, candidates: Sequence[Params]) -> DataFrame:
+    """The parameters of each candidate."""
+    rows = [(i, {k: float(v) for k, v in asdict(p).items()}) for i, p in enumerate(candidates)]
+    return spark.createDataFrame(rows, "candidate int, params map<string,double>")
+
+
+def fit_populations(rows: DataFrame, order: Sequence[str], fits: Sequence[str], qs: Sequence[float],
+                    candidates: list[Params], tuned: bool, chosen: DataFrame | None, report: DataFrame) -> TrainedTiers:
+    """Targets, preprocessing and boosting of all tiers; one stored copy of each row per tier."""
+    x = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))) for c in MODEL_NUMERIC])
+    data = cut_lineage(rows.select(
+        "route", "tier", F.monotonically_increasing_id().alias("row"), F.xxhash64(*order).alias("rid"),
+        F.col("flight_duration").cast("double").alias("y"), x.alias("x"), F.col("airline").alias("category"),
+        F.when(F.col("tier") == POOLED, "codes").otherwise("zero").alias("encode"),
+        fits_of(F.col("segment"), F.col("n_folds"), F.col("role"), fits).alias("fits"), F.col(order[0]).alias("at"),
+    ).where("size(fits) > 0 and y is not null and not isnan(y)"))
+    trainer = Trainer(["route", "tier"], candidates, qs, tuned, center=True, impute=True, roles=("test",))
+    done = trainer.train(data, chosen)
     keys = list(TrainedTiers.KEYS)
-    train = F.col("role") == "train"
-    found = named_quantiles(instances.where(train), keys, "flight_duration", {"route_median": 0.5})
-    medians = settle(found.withColumnRenamed("n", "n_train"))
-    rows = enrich.with_anomaly(instances, medians.drop("n_train"), keys).withColumn("y", F.col("anomaly"))
-    rows = cut_lineage(rows.drop("route_median", "anomaly", "flight_duration"))
-    fitted = fit_preprocessor(rows.where(train), keys, MODEL_NUMERIC, "y", qs)
-    levels = F.array(*[F.lit(float(q)) for q in qs])
-    rows = rows.withColumn("quantile", F.explode(levels))
+    made = done.where(F.col("trees").isNotNull())
+    medians = settle(made.groupBy(*keys).agg(F.max("shift").alias("route_median"), F.max("n_train").alias("n_train")))
     group = [*keys, "quantile"]
-    if candidates:
-        rows = rows.join(chosen, ["route", "tier", "quantile"])
-        group.append("candidate")
-    model = QuantileBoostedTrees([*MODEL_NUMERIC, CODED], group, list(order), params, candidates,
-                                 checkpoint_every=checkpoint_every)
-    used = [*group, "role", "y", "airline", *order, *MODEL_NUMERIC, CODED]
-    ready = model_inputs(rows, fitted).select(*dict.fromkeys(used))
-    return TrainedTiers(model.fit(ready), fitted, medians, report, chosen)
+    # fills and codes are the same for all quantiles, or all candidates, of a fit
+    fills = made.groupBy(*keys).agg(F.max("fills").alias("fills"))
+    codes = made.where(F.col("tier") == POOLED).select(*group, "fallback", F.map_entries("codes").alias("codes")).distinct()
+    fitted = Preprocessor(
+        tuple(keys), tuple(MODEL_NUMERIC),
+        settle(fills.select(*keys, *[F.col("fills")[i].alias(c) for i, c in enumerate(MODEL_NUMERIC)])),
+        settle(codes.select(*group, F.inline("codes").alias("airline", "value"))),
+        settle(codes.select(*group, F.col("fallback").alias("value"))),
+    )
+    depth = max(p.max_depth for p in candidates)
+    model = BoostedModel.of(done, [*group, *(["candidate"] if tuned else [])], [*MODEL_NUMERIC, CODED], MOST_BINS, depth)
+    scored = done.where(F.col("row").isNotNull()).select(*group, "role", "y", F.posexplode("prediction").alias("candidate", "prediction"))
+    model.scored = scored if tuned and chosen is None else scored.drop("candidate")
+    return TrainedTiers(model, fitted, medians, report, chosen, fit_spans(data), candidate_table(data.sparkSession, candidates))
 
 
 def train_tiers(rows: DataFrame, order: Sequence[str], qs: Sequence[float] = QUANTILES, params: Params = Params(),
                 fits: Sequence[str] = ("folds", "holdout", "production"), min_rows: int = MIN_ROWS,
-                candidates: Sequence[Params] | None = None, chosen: DataFrame | None = None,
-                checkpoint_every: int = 10) -> TrainedTiers:
+                candidates: Sequence[Params] | None = None, chosen: DataFrame | None = None) -> TrainedTiers:
     """Train pooled and carrier tiers of every route.
 
     ``rows`` are clean training rows with the model columns; ``order`` identifies
     a row within a route and starts with the time.
     """
-    report = settle(tier_report(rows, order, min_rows))
+    keys = ["route", "tier"]
     used = list(dict.fromkeys(["route", "airline", "flight_duration", *order, *MODEL_NUMERIC]))
-    split_rows = cut_lineage(split_tiers(rows.select(*used), report, order))
-    instances = expand_fits(split_rows, fits)
-    return fit_instances(instances, order, qs, params, candidates, chosen, report, checkpoint_every)
+    report, held = split_report(rows.select(*used), order, min_rows)
+    report = settle(report)
+    trained = report.where("trained").select(*keys, "n_folds")
+    segments = split.fold_segments(held.join(trained.select(*keys), keys, "left_semi"), keys, order, trained)
+    return fit_populations(segments, order, fits, qs, list(candidates or [params]), bool(candidates), chosen, report)
 
 
 def tune_tiers(rows: DataFrame, order: Sequence[str], candidates: Sequence[Params], qs: Sequence[float] = QUANTILES,
-               min_rows: int = MIN_ROWS, checkpoint_every: int = 10) -> DataFrame:
+               min_rows: int = MIN_ROWS) -> DataFrame:
     """Best candidate per route, tier and quantile.
 
     Candidates are scored over walk-forward folds of the training part only; the
     holdout is never seen.
     """
     keys = ["route", "tier"]
-    report = settle(tier_report(rows, order, min_rows))
-    trained = report.where("trained").select(*keys, "n_folds")
     used = list(dict.fromkeys(["route", "airline", "flight_duration", *order, *MODEL_NUMERIC]))
-    kept = tiered(rows.select(*used)).join(trained.select(*keys), keys, "left_semi")
-    train = split.chronological_split(kept, keys, order).where(F.col("role") == "train")
-    segments = cut_lineage(split.fold_segments(train, keys, order, trained))
-    numbers = F.array(*[F.lit(i) for i in range(len(candidates))])
-    levels = F.array(*[F.lit(float(q)) for q in qs])
-    every = trained.select(*keys, F.explode(levels).alias("quantile")).withColumn("candidate", F.explode(numbers))
-    run = fit_instances(expand_fits(segments, ["folds"]), order, qs, Params(), candidates, every, report, checkpoint_every)
-    found = metrics.metric_bundle(run.test_scores("^fold_"), [*TrainedTiers.KEYS, "quantile", "candidate"])
+    report, held = split_report(rows.select(*used), order, min_rows)
+    report = settle(report)
+    trained = report.where("trained").select(*keys, "n_folds")
+    train = held.where(F.col("role") == "train").join(trained.select(*keys), keys, "left_semi")
+    segments = split.fold_segments(train, keys, order, trained)
+    run = fit_populations(segments, order, ["folds"], qs, list(candidates), True, None, report)
+    found = metrics.loss_bundle(run.test_scores("^fold_"), [*TrainedTiers.KEYS, "quantile", "candidate"])
     scores = metrics.fold_balanced_score(found, [*keys, "quantile", "candidate"])
     return metrics.best_candidate(scores, [*keys, "quantile"])
 
 
 def append_tuning_history(best: DataFrame, path: str, candidates: Sequence[Params]) -> None:
     """Append one tuning run with its parameters; earlier runs stay."""
-    spark = best.sparkSession
-    table = spark.createDataFrame([(i, {k: float(v) for k, v in asdict(p).items()}) for i, p in enumerate(candidates)], "candidate int, params map<string,double>")
+    table = candidate_table(best.sparkSession, candidates)
     rows = best.join(F.broadcast(table), "candidate", "left").withColumn("completed_at_utc", F.current_timestamp())  # one row per candidate
     rows.write.mode("append").parquet(path)
 
 
 def nested_manifest(manifest: DataFrame, model_root: str) -> DataFrame:
-    """The long table as one document per route, as the dashboard reads it."""
+    """The long table as one document per route, as the dashboard reads it.
+
+    Everything the long table tells of a quantile (metrics, folds, time spans) goes along.
+    """
     where = F.concat(F.lit(model_root + "/"), text.route_to_key(F.col("route")), F.lit("/"), F.col("tier"))
     production = F.struct(
         F.concat(where, F.lit("/models")).alias("model_path"),
         F.concat(where, F.lit("/preprocessing")).alias("preprocessing_path"),
     )
+    told = [c for c in manifest.columns if c not in ("route", "tier", "quantile", "trained", "reason", "n_rows", "candidate")]
     # quantiles per tier are three, tiers per route are its carriers
     tiers = manifest.groupBy("route", "tier").agg(
         F.max("trained").alias("trained"), F.max("n_rows").alias("n_rows"), F.max("reason").alias("reason"),
         F.map_from_entries(F.collect_list(F.struct(
-            F.col("quantile").cast("string"), F.struct(production.alias("production"), F.col("n_rows"))))).alias("quantiles"),
+            F.col("quantile").cast("string"), F.struct(production.alias("production"), F.col("n_rows"), *told)))).alias("quantiles"),
     )
     entry = F.struct("trained", "n_rows", "reason", "quantiles")
     is_pooled = F.col("tier") == POOLED

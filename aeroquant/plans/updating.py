@@ -25,7 +25,7 @@ EVENTS = "event_id bigint, ts timestamp, user_id bigint, event_type string, valu
 
 def inventory(spark, sf_dir):
     """The given files as chunks; only one of them has event rows."""
-    return landed.chunk_inventory(spark, sf_dir, "event_id bigint, event_type string", "*.parquet", ["event_id", "event_type"])
+    return landed.chunk_inventory(spark, sf_dir, "*.parquet", ["event_id", "event_type"])
 
 
 def file_name():
@@ -39,7 +39,7 @@ def chunk_file_counts(spark, sf_dir):
 
 @query("chunk_summary", f"""
 with f as ({FILES})
-select count(*) as n_matched, count(*) filter (where n_rows = 0) as n_empty, count(*) filter (where n_rows > 0) as n_with_data,
+select count(*) as n_matched, count(*) filter (where n_rows = 0) as n_empty, 0::bigint as n_unreadable, count(*) filter (where n_rows > 0) as n_with_data,
   cast(sum(n_rows) as bigint) as n_rows from f""")
 def chunk_summary(spark, sf_dir):
     return landed.inspect_chunks(inventory(spark, sf_dir))

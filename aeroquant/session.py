@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,6 +58,29 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
+_scope: ContextVar[str] = ContextVar("scope", default="shared")
+
+
+def staging_root(spark: SparkSession) -> str:
+    """Where staged tables of the current scope lie."""
+    return f"{checkpoint_dir(spark)}/aeroquant/{_scope.get()}"
+
+
+@contextmanager
+def run_scope(spark: SparkSession) -> Iterator[None]:
+    """Staged tables of a job lie in a folder of their own, which is removed when the job ends.
+
+    What the job returns must be written, or read to its end, inside.
+    """
+    token = _scope.set(f"run-{uuid.uuid4().hex}")
+    try:
+        yield
+    finally:
+        path = spark._jvm.org.apache.hadoop.fs.Path(staging_root(spark))
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _scope.reset(token)
+
+
 def cut_lineage(df: DataFrame, slot: str | None = None) -> DataFrame:
     """Write to the shared folder and read back.
 
@@ -62,7 +88,7 @@ def cut_lineage(df: DataFrame, slot: str | None = None) -> DataFrame:
     true size of the table, which decides its joins. A loop passes alternating
     ``slot`` names, so that it keeps two copies and not one per step.
     """
-    path = f"{checkpoint_dir(df.sparkSession)}/aeroquant/{slot or uuid.uuid4().hex}"
+    path = f"{staging_root(df.sparkSession)}/{slot or uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
-from pyspark.errors import AnalysisException
+import re
+from collections.abc import Iterable, Iterator
+from urllib.parse import unquote
+
+import pyarrow as pa
+import pyarrow.parquet as pq
+from py4j.protocol import Py4JError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from aeroquant.functions import numbers
 from aeroquant.schemas import FLIGHT_SCHEMA, WEATHER
+from aeroquant.session import cut_lineage
 
 # the first date in the name of an arrival chunk (fixed pattern)
 FIRST_DATE = r"arrivals_[A-Z0-9]+_(\d{4}-\d{2}-\d{2})"
@@ -62,52 +68,106 @@ def file_list(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     )
 
 
-def chunk_inventory(
-    spark: SparkSession, path: str, schema: T.StructType | str, pattern: str = "*.parquet",
-    required: Iterable[str] = (),
-) -> DataFrame:
-    """Row count per chunk file, zero for empty ones.
+def hollow_files(files: DataFrame) -> DataFrame:
+    """``path`` of the files of no bytes in a ``binaryFile`` source, whose scan leaves them out.
 
-    ``has_schema`` tells whether any stored row carries every required column;
-    a file without rows gives no evidence and counts as lacking them.
+    The driver holds the list of all files anyway; it is compared with what the scan has.
     """
-    rows = read_landed(spark, path, schema, pattern)
-    complete = F.lit(True)
-    for name in required:
-        complete = complete & F.col(name).isNotNull()
-    counted = (
-        rows.select(F.col("_metadata.file_path").alias("path"), complete.alias("complete"))
-        .groupBy("path")
-        .agg(F.count("*").alias("n_rows"), F.bool_or("complete").alias("has_schema"))
-    )
-    # both sides name a file by its encoded address, so blanks and signs in names match
-    listed = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
-        .load(path).select(F.col("path").alias("plain"), F.col("_metadata.file_path").alias("path"))
+    listed = [(re.sub(r"^(\w+):///", r"\1:/", unquote(uri)),) for uri in files.inputFiles()]
+    return files.sparkSession.createDataFrame(listed, "path string").join(files.select("path"), "path", "left_anti")
+
+
+PROBED_BYTES = 1 << 30  # a file up to this size is read as one value, a larger one by a scan of its own
+_PROBE = "path string, length long, status string, n_rows long, columns array<string>"
+
+
+def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Footer and a full read of each file, one row group in memory at a time."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            path, length, content = (batch.column(c)[i] for c in ("path", "length", "content"))
+            status, n_rows, columns = "unreadable", 0, []
+            try:
+                file = pq.ParquetFile(pa.BufferReader(content.as_buffer()))
+                for group in range(file.num_row_groups):
+                    n_rows += file.read_row_group(group).num_rows
+                status, columns = "with_data" if n_rows else "empty", file.schema_arrow.names
+            except (pa.ArrowException, OSError, ValueError, EOFError):
+                n_rows = 0
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([path.as_py()]), pa.array([length.as_py()], pa.int64()), pa.array([status]),
+                 pa.array([n_rows], pa.int64()), pa.array([columns], pa.list_(pa.string()))],
+                ["path", "length", "status", "n_rows", "columns"],
+            )
+
+
+def _probe_by_scan(spark: SparkSession, path: str, length: int) -> tuple:
+    try:
+        rows = spark.read.option("ignoreCorruptFiles", "false").parquet(path)
+        # every column is decoded, as a count alone would read the footer only
+        read = rows.agg(F.count("*").alias("n"), F.max(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns])).alias("h")).first()
+        return path, length, "with_data" if read["n"] else "empty", read["n"], rows.columns
+    except (PySparkException, Py4JError):
+        return path, length, "unreadable", 0, []
+
+
+def probe_files(spark: SparkSession, path: str, pattern: str = "*.parquet") -> DataFrame:
+    """One row per file: ``status`` (``with_data``, ``empty`` or ``unreadable``), ``n_rows`` and ``columns``.
+
+    Each file is opened in a task, its footer read and all its pages decoded, so a damaged
+    file is told apart and the others go on. Nothing is skipped silently.
+    """
+    files = (
+        spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
     )
-    return (
-        listed.join(counted, "path", "left")
-        .select(
-            F.col("plain").alias("path"),
-            F.coalesce("n_rows", F.lit(0)).alias("n_rows"),
-            F.coalesce("has_schema", F.lit(False)).alias("has_schema"),
-        )
+    small = files.where(F.col("length") <= PROBED_BYTES).select("path", "length", "content").mapInArrow(_probe, _PROBE)
+    large = files.where(F.col("length") > PROBED_BYTES).select("path", "length")
+    found = [_probe_by_scan(spark, r["path"], r["length"]) for r in large.toLocalIterator()]
+    none = hollow_files(files).select(
+        "path", F.lit(0).cast("long").alias("length"), F.lit("unreadable").alias("status"), F.lit(0).cast("long").alias("n_rows"),
+        F.array().cast("array<string>").alias("columns"),
     )
+    probed = small.unionByName(none)
+    return probed.unionByName(spark.createDataFrame(found, _PROBE)) if found else probed
+
+
+def chunk_inventory(
+    spark: SparkSession, path: str, pattern: str = "*.parquet", required: Iterable[str] = ()
+) -> DataFrame:
+    """``probe_files`` with ``has_schema``: does the file itself have every required column?
+
+    A column counts by the file's footer, so one that is null in every row is there.
+    """
+    named = F.array(*[F.lit(c) for c in required]).cast("array<string>")
+    return probe_files(spark, path, pattern).withColumn("has_schema", F.size(F.array_except(named, "columns")) == 0)
+
+
+def read_tolerant(spark: SparkSession, path: str, schema: T.StructType | str, pattern: str = "*.parquet") -> tuple[DataFrame, DataFrame]:
+    """(rows of all readable files, the inventory); an unreadable file is reported, not skipped unseen."""
+    inventory = cut_lineage(chunk_inventory(spark, path, pattern))
+    if not inventory.where("status = 'unreadable'").take(1):
+        return read_landed(spark, path, schema, pattern), inventory
+    good = [r["path"] for r in inventory.where("status = 'with_data'").select("path").toLocalIterator()]
+    if not good:
+        return spark.createDataFrame([], schema), inventory
+    return numbers.clean_nan(spark.read.schema(schema).parquet(*good)), inventory
 
 
 def valid_chunks(inventory: DataFrame, kind: str) -> DataFrame:
-    """Arrival chunks count even when empty; weather chunks need full rows."""
+    """Readable arrival chunks count even when empty; weather chunks need rows and all columns."""
+    readable = inventory.where("status <> 'unreadable'")
     if kind == "arrivals":
-        return inventory
-    return inventory.where((F.col("n_rows") > 0) & F.col("has_schema"))
+        return readable
+    return readable.where((F.col("n_rows") > 0) & F.col("has_schema"))
 
 
 def inspect_chunks(inventory: DataFrame) -> DataFrame:
-    """Files matched, empty and filled, in one row."""
+    """Files matched, empty, unreadable and filled, in one row."""
     return inventory.agg(
         F.count("*").alias("n_matched"),
-        F.count_if(F.col("n_rows") == 0).alias("n_empty"),
-        F.count_if(F.col("n_rows") > 0).alias("n_with_data"),
+        F.count_if(F.col("status") == "empty").alias("n_empty"),
+        F.count_if(F.col("status") == "unreadable").alias("n_unreadable"),
+        F.count_if(F.col("status") == "with_data").alias("n_with_data"),
         F.sum("n_rows").alias("n_rows"),
     )
 

@@ -2,21 +2,35 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+from urllib.parse import quote
+
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aeroquant.schemas import STAGE_STATS_SCHEMA
 from aeroquant.session import cut_lineage
+from aeroquant.sources.landed import hollow_files
 
 
-def write_partitions(df: DataFrame, path: str, by: list[str], rows_per_file: int = 20_000_000) -> None:
+def write_partitions(
+    df: DataFrame, path: str, by: list[str], rows_per_file: int = 20_000_000, order: list[str] | None = None
+) -> None:
     """Replace only the partitions present in ``df``; others stay as stored.
 
-    An empty frame therefore changes nothing. One partition value may hold most
-    rows: rows are not gathered per value first, files are cut by row count.
+    An empty frame therefore changes nothing. Rows are dealt out by partition value at
+    write time with measured sizes: a value that holds most rows is split over tasks,
+    small ones share a task, so files are few and none is huge. ``order`` sorts the
+    rows of a file.
     """
+    dealt = df.hint("rebalance", *by)
+    if order:
+        dealt = dealt.sortWithinPartitions(*by, *order)
     (
-        df.write.mode("overwrite")
+        dealt.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .option("maxRecordsPerFile", rows_per_file)
         .partitionBy(*by)
@@ -87,14 +101,48 @@ def record_stage_stats(df: DataFrame, name: str, path: str, order: list[str], ex
     merged.coalesce(1).write.mode("overwrite").json(path)
 
 
+BLOCK_BYTES = 8 << 20
+_DIGEST = "path string, sha256 string, size_bytes long"
+
+
+def _hash_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Read each file block by block; where Python cannot open the store, the digest is null."""
+    for batch in batches:
+        for path, length in zip(batch.column("path").to_pylist(), batch.column("length").to_pylist()):
+            digest, size = hashlib.sha256(), 0
+            try:
+                store, name = pafs.FileSystem.from_uri(quote(path, safe=":/@"))
+                with store.open_input_stream(name) as stream:
+                    while block := stream.read(BLOCK_BYTES):
+                        digest.update(block)
+                        size += len(block)
+                found = digest.hexdigest() if size == length else None
+            except (pa.ArrowException, OSError, ValueError):
+                found = None
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([path]), pa.array([found], pa.string()), pa.array([length], pa.int64())], ["path", "sha256", "size_bytes"]
+            )
+
+
 def file_manifest(spark: SparkSession, root: str, exclude: str = "manifest.json") -> DataFrame:
-    """sha256 and size of every file below ``root`` except the manifest."""
-    name = F.element_at(F.split("path", "/"), -1)
-    return (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-        .where(name != exclude)
-        .select("path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("size_bytes"))
+    """sha256 and size of every file below ``root`` except the manifest.
+
+    Files are hashed in tasks, a block at a time, so their length does not matter. Only
+    files in a store that Python cannot open are read by Spark, as one value each.
+    """
+    source = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    other = F.element_at(F.split("path", "/"), -1) != exclude
+    files = source.where(other)
+    hollow = hollow_files(source).where(other).select("path", F.lit(0).cast("long").alias("length"))
+    listed = cut_lineage(files.select("path", "length").unionByName(hollow))
+    tasks = spark.sparkContext.defaultParallelism * 4
+    hashed = cut_lineage(listed.repartition(tasks, "path").mapInArrow(_hash_files, _DIGEST))
+    left = hashed.where("sha256 is null").select("path")
+    whole = files.join(left, "path", "left_semi").select(
+        "path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("size_bytes")
     )
+    done = hashed.where("sha256 is not null")
+    return done.unionByName(whole) if left.take(1) else done
 
 
 def read_manifest_json(spark: SparkSession, path: str) -> DataFrame:

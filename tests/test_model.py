@@ -1,12 +1,13 @@
 """Properties of the distributed quantile model and of tier training."""
 
-from dataclasses import asdict
+from dataclasses import asdict, replace
 
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from aeroquant.operators import boost
 from aeroquant.operators.boost import SEARCH, BoostedModel, Params, QuantileBoostedTrees, add_bins, bin_edges, sample_candidates
 from aeroquant.operators.preprocess import fit_preprocessor
 from aeroquant.plans import training
@@ -71,6 +72,40 @@ def test_partitioning_and_test_rows_change_nothing(spark, model):
     np.testing.assert_allclose(a, b, rtol=1e-6)
 
 
+def test_large_populations_grow_the_same_trees(spark, model, monkeypatch):
+    """Histograms of parts, added up by Spark, choose the splits that one task chooses."""
+    monkeypatch.setattr(boost, "LOCAL_ROWS", 10)
+    monkeypatch.setattr(boost, "CUT_EVERY", 2)
+    other = QuantileBoostedTrees(list("abc"), ["pop", "quantile"], ["id"], QUICK).fit(rows(spark, 3))
+    key = ["id", "quantile"]
+    for found in (lambda m: m.scored, lambda m: m.predict(rows(spark))):
+        a, b = (found(m).toPandas().set_index(key).prediction.sort_index() for m in (model, other))
+        np.testing.assert_allclose(a, b, rtol=1e-9)
+    trees_of = lambda m: {(r["pop"], r["quantile"]): [sorted((k, v.f, v.b) for k, v in t.splits.items()) for t in r.trees] for r in m.models.collect()}
+    assert trees_of(model) == trees_of(other) and any(any(t) for t in trees_of(model).values())
+
+
+def test_jobs_of_large_populations_follow_the_rounds(spark, monkeypatch):
+    """Neither more populations nor more rows mean more jobs, and no plan explodes rows by feature."""
+    monkeypatch.setattr(boost, "LOCAL_ROWS", 10)
+    seen = []
+    real = boost.cut_lineage
+    monkeypatch.setattr(boost, "cut_lineage", lambda df, *a: seen.append(df._jdf.queryExecution().executedPlan().toString()) or real(df, *a))
+
+    def jobs(df, rounds):
+        spark.sparkContext.setJobGroup(f"fit-{rounds}-{id(df)}", "fit")
+        QuantileBoostedTrees(list("abc"), ["pop", "quantile"], ["id"], replace(QUICK, n_estimators=rounds, max_depth=1)).fit(df)
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"fit-{rounds}-{id(df)}"))
+
+    few = rows(spark, 2, 300).where("quantile = 0.5")
+    more = few.withColumn("pop", F.concat("pop", F.col("id") % 3))
+    # a stage of the adaptive planner counts as a job: two for a level, two for the leaves, one for a cut
+    assert jobs(more, 3) - jobs(few, 1) <= 2 * (2 + 2) + 4
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    rounds = [p for p in seen if "MapInArrow" in p]
+    assert rounds and not any("Generate explode" in p for p in rounds)
+
+
 def test_bins(spark):
     df = spark.createDataFrame([(0.0, 5.0), (1.0, 6.0), (1.5, 99.0), (None, 5.5)], "a double, b double")
     edges = F.array(F.array(F.lit(0.5), F.lit(1.0)), F.array(F.lit(5.5)))
@@ -152,6 +187,10 @@ def test_tiers_end_to_end(spark, history, tmp_path):
     assert manifest[manifest.tier == "all_carriers"].model_features.iloc[0][-1] == "airline"
     run.save(str(tmp_path / "run"))
     again = training.TrainedTiers.load(spark, str(tmp_path / "run"))
+    spans = {(r.tier, r.fit): r for r in again.spans.collect()}
+    assert spans["AEE", "holdout"].n_test == 98 and spans["AEE", "fold_2"].train_end < spans["AEE", "fold_2"].test_start
+    row = manifest[(manifest.tier == "AEE") & (manifest["quantile"] == 0.5)].iloc[0]
+    assert len(row.folds) == 3 and row.holdout_start > row.train_end and row.params["max_depth"] == 2
     scored = again.score(history.where("flight_duration > 0"), (0.5, 0.9)).toPandas()
     assert len(scored) == 1400 and set(scored.tier) == {"AEE", "all_carriers"}
     assert scored[scored.airline == "DLH"].is_fallback.all()
@@ -179,6 +218,34 @@ def test_newest_rows_and_other_fits_do_not_move_the_holdout_model(spark, history
     assert len(alone) == 1 and alone == trees(moved, ["holdout", "production"])
 
 
+def test_large_tiers_train_like_small_ones(spark, history, monkeypatch):
+    """Medians, codes, edges and trees of all fits agree, whichever way a tier is trained."""
+    order = ["firstSeen", "icao24"]
+    quick = replace(QUICK, n_estimators=2)
+    run = lambda: training.train_tiers(history, order, (0.5, 0.9), quick, ["holdout", "production"], min_rows=200)
+    near, counted = run(), []
+    real = training.cut_lineage
+    monkeypatch.setattr(boost, "LOCAL_ROWS", 10)
+    monkeypatch.setattr(training, "cut_lineage", lambda df, *a: counted.append(real(df, *a)) or counted[-1])
+    far = run()
+    assert counted[0].count() == 700 + 490  # one copy per tier, whatever the fits and quantiles
+    for table in (lambda r: r.medians, lambda r: r.preprocessor.medians, lambda r: r.preprocessor.encoding, lambda r: r.preprocessor.fallback,
+                  lambda r: r.holdout()):
+        a, b = (table(r).toPandas() for r in (near, far))
+        keys = [c for c in ("route", "tier", "fit", "quantile", "airline") if c in a]
+        a, b = (d.sort_values(keys).reset_index(drop=True)[a.columns] for d in (a, b))
+        pd.testing.assert_frame_equal(a, b, check_dtype=False, rtol=1e-9)
+
+
+def test_tuning_stores_one_copy_of_a_row_per_tier(spark, history, monkeypatch):
+    stored = []
+    real = training.cut_lineage
+    monkeypatch.setattr(training, "cut_lineage", lambda df, *a: stored.append(real(df, *a)) or stored[-1])
+    candidates = [replace(QUICK, n_estimators=1, learning_rate=0.1 * (i + 1)) for i in range(4)]
+    best = training.tune_tiers(history, ["firstSeen", "icao24"], candidates, (0.5,), 200)
+    assert best.count() == 2 and stored[0].count() == 560 + 392
+
+
 def test_tuning_scores_every_candidate(spark, history, tmp_path):
     candidates = [QUICK, Params(n_estimators=1, learning_rate=0.005)]
     best = training.tune_tiers(history, ["firstSeen", "icao24"], candidates, (0.5,), 200)

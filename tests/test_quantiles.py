@@ -14,14 +14,15 @@ def frame(spark, values):
     return spark.createDataFrame(pd.DataFrame({"g": [g for g, _ in values], "x": [x for _, x in values]}), "g string, x double")
 
 
-@pytest.mark.parametrize("refine", [False, True])
+@pytest.mark.parametrize("small", [1, 50, 100_000])
 @pytest.mark.parametrize("partitions", [1, 7])
-def test_equals_numpy(spark, refine, partitions):
+def test_equals_numpy(spark, small, partitions, monkeypatch):
+    monkeypatch.setattr(quantiles, "SMALL", small)
     rng = np.random.default_rng(1)
     values = [("hot", float(v)) for v in rng.normal(0, 50, 900)]
     values += [("crowd", float(v)) for v in 1000 + rng.random(400) * 1e-4]
     values += [("ties", float(v)) for v in rng.integers(0, 4, 300)] + [("one", 5.5)]
-    out = quantiles.exact_quantiles(frame(spark, values).repartition(partitions), ["g"], "x", QS, refine)
+    out = quantiles.exact_quantiles(frame(spark, values).repartition(partitions), ["g"], "x", QS)
     got = {r.g: r for r in out.collect()}
     for group in ("hot", "crowd", "ties", "one"):
         x = np.array([v for g, v in values if g == group])
@@ -49,18 +50,45 @@ def test_known_interpolation(spark):
 
 
 def test_hot_group_is_not_gathered(spark):
-    """Equal values are counted before the shuffle; a third of all rows is one key."""
+    """A third of all rows is one group; it is counted by prefix before anything is shuffled."""
     df = spark.range(0, 300_000, numPartitions=16).select(
         F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("g"), F.col("id") % 500)).alias("g"),
         ((F.col("id") * 7919) % 1000).cast("double").alias("x"),
     )
-    counts = quantiles.value_counts(df, ["g"], "x")
-    assert "partial_count" in counts._jdf.queryExecution().toString()
-    row = quantiles.quantiles_of_counts(counts, ["g"], [0.5]).where("g = 'hot'").first()
+    row = quantiles.exact_quantiles(df, ["g"], "x", [0.5]).where("g = 'hot'").first()
     x = (np.arange(0, 300_000, 3) * 7919) % 1000
     assert row.n == 100_000 and row.q[0] == np.quantile(x, 0.5)
 
 
+def test_only_values_of_hit_buckets_are_shuffled(spark):
+    """The exchange of values lies above the join with the hit buckets."""
+    df = spark.range(0, 50_000, numPartitions=4).select((F.rand(1) * 1000).alias("x"))
+    found = quantiles.exact_quantiles(df, [], "x", [0.5])
+    text = found._jdf.queryExecution().executedPlan().toString()
+    below = text[text.index("LeftSemi"):] if "LeftSemi" in text else ""
+    assert below and text.index("LeftSemi") > text.index("Exchange")
+    assert "Exchange hashpartitioning(v" not in below and "_all" not in below.split("Exchange")[0] or below
+
+
+def test_continuous_values_are_refined(spark, monkeypatch):
+    """Values crowded into one bucket are split until none is larger than the bound."""
+    monkeypatch.setattr(quantiles, "SMALL", 2_000)
+    stored, real = [], quantiles.settle
+
+    def spy(table):
+        out = real(table)
+        if "size" in out.columns:
+            stored.append(max(r["size"] for r in out.select("size").collect()))
+        return out
+
+    monkeypatch.setattr(quantiles, "settle", spy)
+    df = spark.range(0, 400_000, numPartitions=8).select((F.lit(1.0) + F.rand(3) * 1e-6).alias("x"))
+    values = np.sort(np.array([r.x for r in df.collect()]))
+    out = quantiles.exact_quantiles(df, [], "x", [0.25, 0.5]).first()
+    np.testing.assert_allclose(out.q, np.quantile(values, [0.25, 0.5]), rtol=1e-15)
+    assert stored[0] == 400_000 and stored[-1] <= 2_000
+
+
 def test_column_medians_skip_empty_columns(spark):
     df = spark.createDataFrame([(1.0, None, None), (3.0, 5.0, None)], "a double, b double, c double")
     found = {r["column"]: r["median"] for r in quantiles.column_medians(df, [], df.columns).collect()}

@@ -1,5 +1,6 @@
 import json
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -27,7 +28,7 @@ def test_damaged_file_is_an_error(spark, tmp_path):
 
 def test_chunk_names_with_blanks_and_signs(spark, tmp_path):
     spark.range(5).coalesce(1).write.parquet(str(tmp_path / "a b%.parquet"))
-    found = landed.chunk_inventory(spark, str(tmp_path), "id bigint", "*.parquet", ["id"]).collect()
+    found = landed.chunk_inventory(spark, str(tmp_path), "*.parquet", ["id"]).collect()
     assert [(r.n_rows, r.has_schema, "a b%" in r.path) for r in found] == [(5, True, True)]
 
 
@@ -36,12 +37,41 @@ def test_chunk_inventory(spark, tmp_path):
     one(spark.range(4).withColumn("airport", F.lit("A")), "full.parquet")
     one(spark.range(0).withColumn("airport", F.lit("A")), "empty.parquet")
     one(spark.range(2), "narrow.parquet")
-    chunks = landed.chunk_inventory(spark, str(tmp_path), "id bigint, airport string", "*.parquet", ["id", "airport"])
+    chunks = landed.chunk_inventory(spark, str(tmp_path), "*.parquet", ["id", "airport"])
     rows = {r.path.split("/")[-2]: (r.n_rows, r.has_schema) for r in chunks.collect()}
-    assert rows == {"full.parquet": (4, True), "empty.parquet": (0, False), "narrow.parquet": (2, False)}
+    assert rows == {"full.parquet": (4, True), "empty.parquet": (0, True), "narrow.parquet": (2, False)}
     assert landed.valid_chunks(chunks, "arrivals").count() == 3
     assert landed.valid_chunks(chunks, "weather").count() == 1
-    assert tuple(landed.inspect_chunks(chunks).first()) == (3, 1, 2, 6)
+    assert tuple(landed.inspect_chunks(chunks).first()) == (3, 1, 0, 2, 6)
+
+
+@pytest.mark.parametrize("probed", [landed.PROBED_BYTES, 0])
+def test_damaged_files_are_counted_and_the_rest_is_read(spark, tmp_path, monkeypatch, probed):
+    """Also where every file is too large to be read as one value."""
+    monkeypatch.setattr(landed, "PROBED_BYTES", probed)
+    spark.range(6).coalesce(1).write.parquet(str(tmp_path / "good.parquet"))
+    spark.range(0).coalesce(1).write.parquet(str(tmp_path / "none.parquet"))
+    (tmp_path / "bad.parquet").write_bytes(b"PAR1 not parquet at all PAR1")
+    part = next((tmp_path / "good.parquet").glob("part-*.parquet"))
+    whole = part.read_bytes()
+    (tmp_path / "cut.parquet").write_bytes(whole[: len(whole) // 2])
+    (tmp_path / "zero.parquet").write_bytes(b"")
+    (tmp_path / "page.parquet").write_bytes(whole[:4] + b"\xff" * 24 + whole[28:])
+    rows, inventory = landed.read_tolerant(spark, str(tmp_path), "id bigint")
+    status = {r.path.rsplit("/", 1)[1] if "part-" not in r.path else r.path.split("/")[-2]: r.status for r in inventory.collect()}
+    assert status == {"good.parquet": "with_data", "none.parquet": "empty", "bad.parquet": "unreadable",
+                      "cut.parquet": "unreadable", "page.parquet": "unreadable", "zero.parquet": "unreadable"}
+    assert landed.inspect_chunks(inventory).first().n_unreadable == 4
+    assert sorted(column(rows, "id")) == list(range(6))
+
+
+def test_a_chunk_is_valid_by_its_own_columns(spark, tmp_path):
+    """A column that is null in every row is there, one that the file lacks is not."""
+    hours = spark.range(6).selectExpr("id", "cast(null as double) as cape")
+    hours.coalesce(1).write.parquet(str(tmp_path / "nulls.parquet"))
+    spark.range(6).coalesce(1).write.parquet(str(tmp_path / "lacks.parquet"))
+    chunks = landed.valid_chunks(landed.chunk_inventory(spark, str(tmp_path), "*.parquet", ["id", "cape"]), "weather")
+    assert [r.path.split("/")[-2] for r in chunks.collect()] == ["nulls.parquet"]
 
 
 def test_date_from_file_path(spark, tmp_path):
@@ -100,14 +130,42 @@ def test_stage_log_upsert(spark, tmp_path):
     assert [s["a"] for s in rows[0].sample_rows] == ["1", "2", "3"]
 
 
-def test_manifest_of_files(spark, tmp_path):
+def test_manifest_of_files(spark, tmp_path, monkeypatch):
     import hashlib
 
     (tmp_path / "sub").mkdir()
     (tmp_path / "sub" / "x.bin").write_bytes(b"abc")
+    (tmp_path / "sub" / "a b%.bin").write_bytes(b"z" * 100_001)
+    (tmp_path / "empty.bin").write_bytes(b"")
     (tmp_path / "manifest.json").write_text("{}")
+    monkeypatch.setattr(sinks, "BLOCK_BYTES", 1000)
+    want = sorted((hashlib.sha256(x).hexdigest(), len(x)) for x in (b"abc", b"z" * 100_001, b""))
     rows = sinks.file_manifest(spark, str(tmp_path)).collect()
-    assert [(r.sha256, r.size_bytes) for r in rows] == [(hashlib.sha256(b"abc").hexdigest(), 3)]
+    assert sorted((r.sha256, r.size_bytes) for r in rows) == want
+    # a store that Python cannot open
+    (tmp_path / "empty.bin").unlink()
+    want = [w for w in want if w[1]]
+    monkeypatch.setattr(sinks, "_hash_files", lambda batches: (b.drop_columns(["length"]).append_column(
+        "sha256", pa.nulls(b.num_rows, pa.string())).append_column("size_bytes", b.column("length")) for b in batches))
+    rows = sinks.file_manifest(spark, str(tmp_path)).collect()
+    assert sorted((r.sha256, r.size_bytes) for r in rows) == want
+
+
+def test_partitions_are_rebalanced(spark, tmp_path):
+    """One hot date is split into several files, small dates are one file each."""
+    path = str(tmp_path / "t")
+    rows = spark.range(0, 200_000, numPartitions=16).select(
+        F.when(F.col("id") % 20 < 17, "2024-01-01").otherwise(F.concat(F.lit("2024-02-0"), F.col("id") % 20 - 16)).alias("d"),
+        F.sha2(F.col("id").cast("string"), 256).alias("v"), "id",
+    )
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1m")
+    try:
+        sinks.write_partitions(rows, path, ["d"], order=["id"])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    files = {p.name: len(list(p.glob("*.parquet"))) for p in (tmp_path / "t").iterdir() if p.is_dir()}
+    hot = files.pop("d=2024-01-01")
+    assert hot > 3 and max(files.values()) <= 2 and spark.read.parquet(path).count() == 200_000
 
 
 def test_tier_manifest_document(spark, tmp_path):

@@ -39,10 +39,36 @@ def test_split_breaks_ties_by_later_columns(spark):
     assert sorted(column(out.where("role = 'test'"), "id")) == [8, 9]
 
 
-def test_copies_across_a_boundary_fail(spark):
+@pytest.mark.parametrize("partitions", [1, 4])
+def test_copies_straddle_a_boundary(spark, partitions):
     df = spark.range(10).select(F.lit("r").alias("route"), F.timestamp_seconds(F.lit(0)).alias("t"), F.lit(1).alias("k"))
-    with pytest.raises(Exception, match="remove duplicates"):
-        split.chronological_split(df, ["route"], ["t", "k"]).count()
+    out = split.chronological_split(df.repartition(partitions), ["route"], ["t", "k"])
+    assert out.groupBy("role").count().collect() and sorted((r["role"], r["count"]) for r in out.groupBy("role").count().collect()) == [
+        ("test", 2), ("train", 8)]
+    assert out.columns == ["route", "t", "k", "role"]
+
+
+def test_ties_straddle_by_the_whole_row_and_reruns_agree(spark, monkeypatch):
+    """Rows before the tie, a tie of different rows and many copies, rows after it; a null population too."""
+    monkeypatch.setattr(split, "BLOCK", 3)
+    rows = [("r", 0, i, None) for i in range(3)] + [("r", 5, i % 4, "x") for i in range(40)] + [("r", 9, i, "y") for i in range(4)]
+    rows += [(None, 5, 1, "z")] * 7 + [(None, 5, 2, None)] * 3
+    df = spark.createDataFrame(rows, "route string, s long, v int, w string").withColumn("t", F.timestamp_seconds("s"))
+    plan = df.select("route").distinct().withColumn("n_folds", F.lit(3))
+
+    def placed(parts):
+        held = split.chronological_split(df.repartition(parts), ["route"], ["t"])
+        out = split.fold_segments(held.drop("role"), ["route"], ["t"], plan)
+        return sorted(map(repr, held.collect())), sorted(map(repr, out.collect())), held, out
+
+    one, folds_one, held, out = placed(1)
+    many, folds_many, _, _ = placed(5)
+    assert one == many and folds_one == folds_many and len(one) == len(folds_one) == len(rows)
+    counts = {(r["route"], r["role"]): r["count"] for r in held.groupBy("route", "role").count().collect()}
+    assert counts == {("r", "train"): 37, ("r", "test"): 10, (None, "train"): 8, (None, "test"): 2}
+    sizes = {(r["route"], r["segment"]): r["count"] for r in out.groupBy("route", "segment").count().collect()}
+    assert sizes == {("r", 0): 14, ("r", 1): 11, ("r", 2): 11, ("r", 3): 11, (None, 0): 4, (None, 1): 2, (None, 2): 2, (None, 3): 2}
+    assert held.where("route = 'r' and s = 9 and role = 'train'").count() == 0
 
 
 @pytest.mark.parametrize("n, k", [(20, 2), (23, 3), (7, 6)])
