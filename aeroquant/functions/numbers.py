@@ -19,6 +19,16 @@ def clean_nan(df: DataFrame) -> DataFrame:
     return df.withColumns({c: nan_to_null(F.col(c)) for c in floats})
 
 
+def clean_where(df: DataFrame, where: Column | None = None) -> DataFrame:
+    """``clean_nan``, with a comparison applied to the stored values first.
+
+    Cleaning hides a floating column from the reader, so a filter after it is not pushed
+    down. A comparison holds for a NaN as the greatest value; once cleaned it is null, so
+    the comparison is made again. Not for tests of null, which a NaN would fail.
+    """
+    return clean_nan(df) if where is None else clean_nan(df.where(where)).where(where)
+
+
 def is_finite(value: Column) -> Column:
     """True or false, never null."""
     return value.isNotNull() & ~F.isnan(value) & (F.abs(value) < INF)

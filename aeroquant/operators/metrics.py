@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from aeroquant.operators.quantiles import medians
+from aeroquant.session import cut_lineage
 
 # weights of the scores (fixed values)
 COVERAGE_WEIGHT = 10.0
@@ -51,6 +52,8 @@ def metric_bundle(df: DataFrame, keys: Sequence[str], y: str = "y", p: str = "pr
     ``q`` is a column that is constant within a group, usually one of ``keys``.
     """
     yc, pc, qc = F.col(y), F.col(p), F.col(q)
+    # the aggregation and the median both read the scored rows
+    df = cut_lineage(df.select(*dict.fromkeys([*keys, y, p, q])))
     base = df.groupBy(*keys).agg(
         F.count("*").alias("n_eval"),
         F.max(qc).alias("_q"),

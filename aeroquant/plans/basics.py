@@ -38,6 +38,13 @@ def scan_events(spark, sf_dir):
     return e.select("event_id", us("ts"), "event_type", r6("value", "value"))
 
 
+@query("scan_large_values", "select event_id, round(value, 6) as value from events where value > 100 and not isnan(value)")
+def scan_large_values(spark, sf_dir):
+    """A comparison of a double, made by the reader although NaN counts as missing."""
+    e = tables.table(spark, sf_dir, "events", F.col("value") > 100)
+    return e.select("event_id", r6("value", "value"))
+
+
 @query("inline_parallel_arrays", f"""
 with {WEATHER_V}
 select airport, epoch_us("time") as "time", round(v_avg, 6) as temperature_2m, round(v_min, 6) as relative_humidity_2m

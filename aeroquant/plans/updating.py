@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from datetime import datetime, timezone
 
 from pyspark.sql import functions as F
 
@@ -58,6 +59,20 @@ def file_manifest(spark, sf_dir):
     return sinks.file_manifest(spark, sf_dir).select(file_name(), "sha256", "size_bytes")
 
 
+@query("file_manifest_of_chunks", """
+select cast(cast(ts as date) as varchar) as chunk, sha256(string_agg(line, chr(10) order by event_id) || chr(10)) as sha256,
+  cast(sum(strlen(line) + 1) as bigint) as size_bytes
+from (select ts, event_id, concat(event_id, '|', event_type) as line from events) group by 1""")
+def file_manifest_of_chunks(spark, sf_dir):
+    """Digests of one text file per day, as Spark wrote them."""
+    home = f"{checkpoint_dir(spark)}/aeroquant/texts-{uuid.uuid4().hex}"
+    lines = tables.table(spark, sf_dir, "events").select(
+        F.to_date("ts").cast("string").alias("d"), "event_id", F.concat_ws("|", "event_id", "event_type").alias("value"))
+    lines.repartition("d").sortWithinPartitions("d", "event_id").select("d", "value").write.partitionBy("d").text(home)
+    chunk = F.regexp_extract("path", r"d=(\d{4}-\d{2}-\d{2})", 1).alias("chunk")
+    return sinks.file_manifest(spark, home).select(chunk, "sha256", "size_bytes")
+
+
 @query("files_with_date", """
 select cast(cast(ts as date) as varchar) as flight_date, count(*) as n, cast(min(event_id) as bigint) as first_event
 from events group by 1""")
@@ -324,3 +339,42 @@ def incremental_update(spark, sf_dir):
     update.update_flights(spark, f.where(F.col("firstSeen") >= cut).unionByName(first.where(F.col("icao24") < "2")), routes, path)
     stored = spark.read.schema("icao24 string, firstSeen timestamp, lastSeen timestamp, callsign string, route string, flight_date date").parquet(path)
     return stored.select("icao24", us("firstSeen"), us("lastSeen"), "callsign", "route", day("flight_date"))
+
+
+@query("weather_update", f"""
+with {WEATHER_V}, b as (select airport, "time" t, v_avg, 1 batch from weather_v where "time" < timestamp '2024-01-16'
+  union all select airport, "time", v_avg + 1, 2 from weather_v where "time" >= timestamp '2024-01-12'),
+k as (select *, row_number() over (partition by airport, t order by batch) rn from b)
+select airport, epoch_us(t) as "time", round(v_avg, 6) as v_avg, cast(cast(t as date) as varchar) as weather_date from k where rn = 1""")
+def weather_update(spark, sf_dir):
+    """Two overlapping batches of hours; the stored hour wins."""
+    path = f"{checkpoint_dir(spark)}/aeroquant/hours-{uuid.uuid4().hex}"
+    hours = tables.weather_hours(spark, sf_dir).select("airport", "time", "v_avg")
+    at = lambda d: F.lit(d).cast("timestamp")
+    update.update_weather(spark, hours.where(F.col("time") < at("2024-01-16")), path)
+    update.update_weather(spark, hours.where(F.col("time") >= at("2024-01-12")).withColumn("v_avg", F.col("v_avg") + 1), path)
+    stored = spark.read.schema("airport string, time timestamp, v_avg double, weather_date date").parquet(path)
+    return stored.select("airport", us("time"), r6("v_avg", "v_avg"), day("weather_date"))
+
+
+@query("update_run", f"""
+with {FLIGHTS}, ends as (select distinct route, dep, arr from sane),
+f as (select route, cast(max(cast(firstSeen as date)) as varchar) d from sane where firstSeen < timestamp '2024-01-16' group by route),
+w as (select event_type airport, max(cast(date_trunc('hour', ts) as date)) d from events where ts < timestamp '2024-01-16' group by 1)
+select e.route, case when f.d is null and w.d is null then 'failed' else 'success' end as status, f.d as flights_through,
+  cast(greatest(w.d, v.d) as varchar) as weather_through
+from ends e left join f on e.route = f.route left join w on w.airport = e.dep left join w v on v.airport = e.arr""")
+def update_run(spark, sf_dir):
+    """The update job over landed files of all routes, up to a given day."""
+    home = f"{checkpoint_dir(spark)}/aeroquant/update-{uuid.uuid4().hex}"
+    f = tables.flights(spark, sf_dir)
+    epoch = {c: F.unix_seconds(c).alias(c) for c in ("firstSeen", "lastSeen")}
+    arrivals = f.select(*[
+        epoch[n] if n in epoch else F.col(n) if n in f.columns else F.lit(None).cast(t.dataType).alias(n)
+        for n, t in ((t.name, t) for t in landed.ARRIVAL_SCHEMA.fields)
+    ])
+    arrivals.write.parquet(f"{home}/arrivals")
+    tables.weather(spark, sf_dir).write.parquet(f"{home}/hours")
+    routes = sane(spark, sf_dir).select(F.col("estDepartureAirport").alias("origin"), F.col("estArrivalAirport").alias("destination")).distinct()
+    run = update.update_all(spark, routes, f"{home}/out", f"{home}/arrivals", f"{home}/hours", datetime(2024, 1, 15, 23, tzinfo=timezone.utc))
+    return run.results.select("route", "status", day("flights_through"), day("weather_through"))

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 from py4j.protocol import Py4JError
 from pyspark.errors import AnalysisException, PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,9 +41,9 @@ def read_landed(spark: SparkSession, paths, schema: T.StructType | str, pattern:
     return numbers.clean_nan(reader.parquet(*([paths] if isinstance(paths, str) else paths)))
 
 
-def read_table(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """A stored table, whose partition columns come from its folders."""
-    return numbers.clean_nan(spark.read.schema(schema).parquet(path))
+def read_table(spark: SparkSession, path: str, schema: T.StructType | str, where: Column | None = None) -> DataFrame:
+    """A stored table, whose partition columns come from its folders; see ``clean_where``."""
+    return numbers.clean_where(spark.read.schema(schema).parquet(path), where)
 
 
 def read_or_none(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame | None:

@@ -6,7 +6,7 @@ instants so that time filters reach the parquet reader.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aeroquant.functions import numbers, text, times
@@ -34,9 +34,9 @@ TABLES = {
 AIRPORTS = ["click", "error", "purchase", "signup", "view"]
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = spark.read.schema(TABLES[name]).parquet(f"{sf_dir}/{name}.parquet")
-    return numbers.clean_nan(df)
+def table(spark: SparkSession, sf_dir: str, name: str, where: Column | None = None) -> DataFrame:
+    """A given table; NaN is null. ``where`` is a comparison that the reader is handed too."""
+    return numbers.clean_where(spark.read.schema(TABLES[name]).parquet(f"{sf_dir}/{name}.parquet"), where)
 
 
 def flights(spark: SparkSession, sf_dir: str) -> DataFrame:
