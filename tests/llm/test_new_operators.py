@@ -172,7 +172,7 @@ def test_codes_against_brute_force(spark, entries):
     want = brute_codes(rows, 4, entries, 4)
     key = lambda r: repr(r)
     assert sorted([(r["vec_id"], r["code"], r["error"], r["label_error"], r["codebooks_sha256"]) for r in out], key=key) == sorted(want, key=key)
-    assert len(books) == 4 and all(len(b) == min(entries, 155) for b in books)
+    assert len(books) == 4 and all(len(b) == min(entries, 156) for b in books)
     assert all(r[c] == f"x_{c}" for r in out for c in OWN)
 
 
