@@ -443,12 +443,22 @@ def jaccard_classes(
         ).select("a", "b")
 
     def in_place(groups: DataFrame) -> DataFrame:
-        """Links found by bringing the texts of a crowd to where it meets, block by block."""
-        own = groups.groupBy("node").agg(F.collect_list("sig").alias("sigs"))  # no more than a set has signatures
+        """Links found by bringing the texts of a crowd to where it meets, block by block.
+
+        Linked sets meet twice at least, so every set may leave out its most crowded
+        place: two sets that share it and another still meet in the other. Texts are
+        joined once per set, not once per place.
+        """
+        place = F.struct("n", "sig")
+        own = groups.groupBy("node", "comp", "size").agg(F.sort_array(F.collect_list(place)).alias("places"))  # as many as a set has signatures
+        own = own.withColumn("places", F.slice("places", 1, F.size("places") - 1)).where("size(places) > 0")
+        rows = own.join(texts, "node").withColumn("sigs", F.col("places.sig")).select(
+            "node", "comp", "size", "packed", "sigs", F.inline("places")
+        )
         blocks = F.ceil(F.col("n") / CROWD_BLOCK).cast("long")
-        rows = groups.join(own, "node").join(texts, "node").withColumn(
-            "block", F.pmod(F.xxhash64("node"), blocks)
-        ).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+        rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), blocks)).withColumn(
+            "with", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))
+        )
         dealt = rows.select(
             "sig", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "node", "comp",
             "size", "sigs", "packed",
