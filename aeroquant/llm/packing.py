@@ -28,7 +28,8 @@ MAX_SEGMENTS = 128
 END = 0  # the id that closes a text
 BLOCK_TOKENS = 2_000_000
 BLOCK_TEXTS = 1_024
-CACHED = 300_000
+TABLE_BYTES = 240_000_000  # what a worker's table of words may hold, by estimate
+ENTRY_BYTES = 180  # of an entry without its word and ids
 
 
 # --- tokens --------------------------------------------------------------------
@@ -49,6 +50,12 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes | None] = {"": None}
         self.first: dict[str, bytes] = {}
+        self.held = 0
+
+    def _keep(self, table: dict, made: dict[str, bytes | None]) -> None:
+        if self.held < TABLE_BYTES:
+            table.update(made)
+            self.held += sum(len(w) + len(ids or b"") + ENTRY_BYTES for w, ids in made.items())
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -57,8 +64,7 @@ class Encoder:
         got = self.first.get(word)
         if got is None:
             got = self._ids(word)
-            if len(self.first) < CACHED:
-                self.first[word] = got
+            self._keep(self.first, {word: got})
         return got
 
     def encode(self, text: str) -> bytes:
@@ -83,8 +89,7 @@ class Encoder:
         for word, got in zip(alone, self.tokenizer.encode_batch_fast([" " + w for w in alone], add_special_tokens=False)):
             made[word] = np.array(got.ids, "<u4").tobytes()
         made |= {w: None for w in new if w not in made}
-        if len(known) < CACHED:
-            known.update(made)
+        self._keep(known, made)
         tail = b""
         if last and last[-1].isspace() and not last[0].isspace():  # nothing follows it
             tail, rest = self._ids(" " + last), rest[:-1]
