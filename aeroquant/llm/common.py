@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import inspect
 import uuid
 from collections.abc import Iterator
 
@@ -42,6 +44,37 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def sheltered(*named: str, added: tuple[str, ...]):
+    """Keep the caller's columns apart from an operator's own.
+
+    ``named`` are the operator's parameters that name columns it reads, ``added`` the
+    columns it adds; one of that name in the input goes. All others travel under names
+    no operator uses, and get theirs back in the (first) result.
+    """
+
+    def wrap(operator):
+        signature = inspect.signature(operator)
+
+        @functools.wraps(operator)
+        def run(df: DataFrame, *args, **kwargs):
+            bound = signature.bind(df, *args, **kwargs)
+            bound.apply_defaults()
+            read = {bound.arguments[n] for n in named}
+            hidden = {c: f"caller~{i}" for i, c in enumerate(df.columns) if c not in read and c not in added}
+            shown = {v: k for k, v in hidden.items()}
+            inside = df.select(*[
+                F.col(f"`{c}`").alias(hidden.get(c, c)) for c in df.columns if c in hidden or c in read
+            ])
+            out = operator(inside, *args, **kwargs)
+            first = out[0] if isinstance(out, tuple) else out
+            first = first.select(*[F.col(f"`{c}`").alias(shown.get(c, c)) for c in first.columns])
+            return (first, *out[1:]) if isinstance(out, tuple) else first
+
+        return run
+
+    return wrap
+
+
 HINT_ROWS = 1_000_000  # rows of a few numbers that may be sent to every executor
 
 

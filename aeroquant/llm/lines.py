@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from aeroquant.llm.common import NO_ID, SPACE, Scratch, mix64, pieces, with_fields
+from aeroquant.llm.common import NO_ID, SPACE, Scratch, mix64, pieces, sheltered, with_fields
 
 LEVELS = 40
 ROOM = 2  # bits per key on each level
@@ -228,6 +228,7 @@ def shared_lines(documents: DataFrame, min_docs: int = 2, min_chars: int = 10,
     return keys, shared
 
 
+@sheltered("id_col", "text_col", added=("n_lines", "n_dropped"))
 def dedup_lines(
     documents: DataFrame, min_docs: int = 2, min_chars: int = 10, shard_keys: int = 50_000, salts: int = 4,
     id_col: str = "doc_id", text_col: str = "text",

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from aeroquant.llm.common import Scratch, running_totals
+from aeroquant.llm.common import Scratch, running_totals, sheltered
 
 # weights of the sources in the order of their names, null last, repeating (fixed values)
 WEIGHTS = (5, 2, 1)
@@ -102,6 +102,7 @@ def schedule(scratch: Scratch, plan: list[Share], slots: int, passes: int = MAX_
     )
 
 
+@sheltered("id_col", "text_col", "source_col", added=("size", "source_size", "target", "taken", "_row"))
 def mix_documents(
     documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, passes: int = MAX_PASSES, block: int = BLOCK, seed: int = 7,
     id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
@@ -109,8 +110,8 @@ def mix_documents(
     """The mix of all documents: (rows with their take, the mix itself).
 
     Rows: every input row without its text, with ``size`` (words), ``source_size``,
-    ``target`` and ``taken`` (words the mix takes, repeats counted; at most
-    ``passes`` times the size). Mix: (slot, epoch, row, start, length), the words of
+    ``target``, ``taken`` (words the mix takes, repeats counted; at most ``passes`` times
+    the size) and ``_row`` (its number in the mix). Mix: (slot, epoch, row, start, length), the words of
     row ``_row`` that stand at a slot.
 
     - Null or empty text has no words: size and taken are 0.

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aeroquant.llm.common import NO_ID, Scratch, components, running_totals
+from aeroquant.llm.common import NO_ID, Scratch, components, running_totals, sheltered
 
 BLOCK = 1024
 BLOCKS_A_TASK = 8
@@ -181,6 +181,7 @@ def _compare_far(threshold: float, passes: int):
     return run
 
 
+@sheltered("id_col", "vector_col", "label_col", added=("n_links", "component_id", "kept"))
 def near_duplicates(
     embeddings: DataFrame, threshold: float = 0.93, block: int = BLOCK, passes: int | None = None,
     id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label",

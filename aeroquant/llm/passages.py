@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from aeroquant.llm.common import NO_ID, Scratch, SpanHash, pieces, text_bytes, with_fields
+from aeroquant.llm.common import NO_ID, Scratch, SpanHash, pieces, sheltered, text_bytes, with_fields
 
 LENGTH = 200
 GRAM = 40
@@ -395,6 +395,7 @@ def repeated_spans(
     return spans.unionByName(scratch.stage(found, "found"))
 
 
+@sheltered("id_col", "text_col", added=("n_bytes", "n_removed", "n_spans"))
 def remove_repeats(
     documents: DataFrame, length: int = LENGTH, gram: int = GRAM, name_bytes: int = NAME_BYTES,
     id_col: str = "doc_id", text_col: str = "text",

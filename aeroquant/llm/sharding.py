@@ -17,7 +17,7 @@ from bisect import bisect_left, bisect_right
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from aeroquant.llm.common import Scratch, running_totals
+from aeroquant.llm.common import Scratch, running_totals, sheltered
 
 RUNS = 20_000  # run totals the driver sees at once
 HEAVY_PARTS = 128  # a group above 1/128 of a shard is laid out by size
@@ -159,6 +159,7 @@ def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+@sheltered("id_col", "text_col", added=("size", "text_crc32", "shard", "slot"))
 def shard_documents(
     documents: DataFrame, shards: int = 40, overhead: int = 16, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import collections
+
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
-from llm.cases import Union, shingles
+from aeroquant.llm import mixing
+from llm.cases import Union, awkward, shingles, words_of
 
 SF = "/root/testdata/sf0.001"
 
@@ -91,6 +94,72 @@ def test_mix_repeats_no_document_more_than_three_times(stages):
     assert after.join(before, "doc_id", "left_anti").count() == 0
 
 
+def _source_words(spark, ids):
+    """Words per source that the stage keeps, with the source's target, for given ids of the rows."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select(*pipeline.COLUMNS).withColumn("doc_id", ids)
+    got = pipeline.mix_sources(spark, docs, SF).collect()
+    rows, _ = mixing.mix_documents(docs.select("doc_id", "text", "source"))
+    target = {r["source"]: r["target"] for r in rows.select("source", "target").distinct().collect()}
+    words = collections.Counter()
+    for r in got:
+        words[r["source"]] += len(words_of(r["text"]))
+    return words, target, docs, got
+
+
+@pytest.mark.parametrize("ids", ["null", "shared", "some"])
+def test_mix_goes_by_row_not_by_id(spark, ids):
+    """Null and shared ids leave every source near its target, like unique ones."""
+    column = {"null": F.lit(None).cast("long"), "shared": F.col("doc_id") % 3,
+              "some": F.when(F.col("doc_id") % 2 == 0, F.col("doc_id"))}[ids]
+    words, target, docs, got = _source_words(spark, column)
+    longest = max(len(words_of(r["text"])) for r in docs.collect())
+    plain, _, _, _ = _source_words(spark, F.col("doc_id"))
+    for source, goal in target.items():
+        # whole rows only, so a source may be off by halves of its rows
+        assert abs(words[source] - goal) <= max(0.15 * goal, longest)
+    assert abs(sum(words.values()) - sum(plain.values())) <= 0.05 * sum(plain.values())
+    copies = collections.Counter((r["doc_id"], r["text"]) for r in got)
+    have = collections.Counter((r["doc_id"], r["text"]) for r in docs.collect())
+    assert set(copies) <= set(have) and all(n <= 3 * have[k] for k, n in copies.items())
+
+
+def test_mix_is_laid_out_in_its_own_order(spark, stages):
+    """Any long stretch of the stage's output holds the sources in their shares."""
+    _, before, _ = stages[3]
+    rows = pipeline.mix_sources(spark, before, SF).select("source", "text", F.spark_partition_id().alias("p")).collect()
+    size = [(r["source"], len(words_of(r["text"]))) for r in rows]
+    total, share = sum(n for _, n in size), collections.Counter()
+    for source, n in size:
+        share[source] += n / total
+    half, seen = collections.Counter(), 0
+    for source, n in size:
+        if seen > total / 2:
+            break
+        half[source] += n
+        seen += n
+    for source, part in share.items():
+        if part > 0.1:
+            assert abs(half[source] / seen - part) < 0.5 * part
+
+
+@pytest.mark.parametrize("name", [name for name, _ in pipeline.STAGES])
+def test_stages_take_awkward_and_empty_tables(spark, name, tmp_path):
+    """Nulls in any column, empty and very long texts, shared ids and copies: no stage stops, and what it keeps it was given."""
+    stage = dict(pipeline.STAGES)[name]
+    docs = awkward(spark).select("doc_id", "text", F.lit(None).cast("string").alias("lang"), "source",
+                                 F.char_length("text").cast("long").alias("n_chars"))
+    stage(spark, docs, SF).write.parquet(str(tmp_path / "out"))
+    after = spark.read.parquet(str(tmp_path / "out"))
+    assert stage(spark, docs.where("false"), SF).count() == 0
+    if name in ("toxicity", "n-gram jaccard", "source mix"):
+        given = {(r["doc_id"], r["text"]) for r in docs.collect()}
+        assert {(r["doc_id"], r["text"]) for r in after.collect()} <= given
+    if name == "line dedup":
+        assert after.count() == docs.count()
+    if name == "packing":
+        assert after.groupBy("doc_id").count().count() == docs.select("doc_id").distinct().count()
+
+
 def test_packing_takes_every_document(stages):
     _, before, after = stages[4]
     whole = after.groupBy("doc_id", "doc_tokens").agg(F.sum("length").alias("n")).where(F.col("n") % F.col("doc_tokens") != 0)
