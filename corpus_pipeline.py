@@ -17,14 +17,22 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score stays below one half."""
+    """Documents whose toxicity score stays below one half.
+
+    A row without a text, or without an id, has a score like others; only the labelled
+    sample depends on ids. An empty table gives an empty one.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.fit(toxicity.training_rows(docs, labels))
     return toxicity.score_toxicity(docs.select(*COLUMNS), model).where("predicted = 0").select(*COLUMNS)
 
 
 def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines an earlier one holds; ``n_chars`` follows the text."""
+    """Documents without the lines an earlier one holds; ``n_chars`` follows the text.
+
+    Every row stays, also one that has lost all its lines; a null text becomes empty.
+    Rows that share an id are one document, rows without one come last.
+    """
     kept = lines.dedup_lines(docs.select(*COLUMNS))
     return kept.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*COLUMNS)
 
@@ -53,22 +61,30 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes its words, to the nearest whole time.
+    """Each row as often as the mix takes its words, to the nearest whole time, in the mix's order.
 
-    Documents without words, and those of which the mix takes less than half, go.
+    Rows are told apart by themselves, not by their ids: null and shared ids change
+    nothing. A copy stands where its pass over the row's source first reaches it. Rows
+    without words, and those of which the mix takes less than half, go.
     """
-    rows, _ = mixing.mix_documents(docs.select("doc_id", "text", "source"))
-    times = (
-        rows.groupBy("doc_id").agg(F.sum("taken").alias("__taken"), F.sum("size").alias("__size"))
-        .where("__size > 0").select(F.col("doc_id").alias("__id"), F.round(F.col("__taken") / F.col("__size")).cast("int").alias("__times"))
-        .where("__times > 0")
-    )
-    taken = docs.join(times, F.col("doc_id").eqNullSafe(F.col("__id")))
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*COLUMNS)
+    scratch = Scratch(spark, "pipeline-mix")
+    rows = scratch.stage(docs.select(*COLUMNS).withColumn("__row", F.monotonically_increasing_id()), "rows")
+    taken, mix = mixing.mix_documents(rows.select("doc_id", "text", "source", "__row"))
+    times = taken.where("size > 0").select(
+        "_row", "__row", F.round(F.col("taken") / F.col("size")).cast("int").alias("__times")
+    ).where("__times > 0")
+    passes = mix.groupBy("_row", "epoch").agg(F.min("slot").alias("__slot"))
+    copies = times.join(passes, "_row").where("epoch < __times").select("__row", "__slot")
+    placed = rows.join(copies, "__row")
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return placed.repartitionByRange(parts, "__slot").sortWithinPartitions("__slot", "__row").select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the mix in sequences of at most 1024 tokens."""
+    """Pieces of the mix in sequences of at most 1024 tokens, neighbours in the mix together.
+
+    An empty text is its closing token; ids are passed through as they are.
+    """
     return packing.pack_documents(docs, tokenizer_path())
 
 
