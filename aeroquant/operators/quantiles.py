@@ -101,7 +101,7 @@ def ranked_values(
     hits = settle(_located(totals, groups, "b", F.lit(0), whole, qs).select(*groups, *_HIT, "size"))
     while (hits.where("low < high").agg(F.max("size")).first()[0] or 0) > SMALL:
         on = [*groups, *_HIT]
-        near = _inside(rows, hits.select(*common, "b", "low", "high").distinct(), common, "left_semi")
+        near = _inside(rows, hits.select(*common, "b", "low", "high"), common, "left_semi")
         part = F.floor((F.col("v") - F.col("low")) / F.greatest(F.col("high") - F.col("low"), F.lit(5e-324)) * PARTS)
         split = _inside(spread(near.withColumn("size", F.lit(1))), hits.drop("size"), groups, "inner").groupBy(
             *on, F.coalesce(part, F.lit(0)).alias("part")
@@ -109,7 +109,7 @@ def ranked_values(
         finer = _located(split.withColumnsRenamed({"start": "_start", "n": "_n"}), [*groups, "b", "low"], "part",
                          F.col("_start"), F.col("_n"), qs)
         hits = settle(finer.drop("low", "high").withColumnsRenamed({"_low": "low", "_high": "high"}).select(*groups, *_HIT, "size"))
-    near = _inside(rows, hits.select(*common, "b", "low", "high").distinct(), common, "left_semi")
+    near = _inside(rows, hits.select(*common, "b", "low", "high"), common, "left_semi")
     counts = spread(near.groupBy(*raw, "b", "v").agg(F.count("*").alias("size")))
     values = counts.groupBy(*groups, "b", "v").agg(F.sum("size").alias("size"))
     last = _located(

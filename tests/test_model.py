@@ -243,7 +243,8 @@ def test_tuning_stores_one_copy_of_a_row_per_tier(spark, history, monkeypatch):
     monkeypatch.setattr(training, "cut_lineage", lambda df, *a: stored.append(real(df, *a)) or stored[-1])
     candidates = [replace(QUICK, n_estimators=1, learning_rate=0.1 * (i + 1)) for i in range(4)]
     best = training.tune_tiers(history, ["firstSeen", "icao24"], candidates, (0.5,), 200)
-    assert best.count() == 2 and stored[0].count() == 560 + 392
+    # the holdout split of all rows, then the training part with its fits
+    assert best.count() == 2 and [t.count() for t in stored] == [700 + 490, 560 + 392]
 
 
 def test_tuning_scores_every_candidate(spark, history, tmp_path):

