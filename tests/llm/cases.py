@@ -14,7 +14,7 @@ EXTRA = {
     "block": "x9", "doc": "x10", "rank": "x11", "start": "x12",
 } | {c: f"y{i}" for i, c in enumerate([
     "_part", "_at", "_s", "_id", "_before", "_from", "_tie", "_start", "_blocks", "_source", "_text", "_group", "_heavy", "_first",
-    "_rows", "_weights", "__doc", "__hits", "__spans", "__mark", "_grp", "_h1", "_h2", "_least", "_met", "_vector", "caller~0", "a b.c",
+    "_rows", "_weights", "__doc", "__hits", "__spans", "__mark", "_grp", "_h1", "_h2", "_least", "_met", "_vector", "caller~0",
 ])}
 
 
