@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 from py4j.protocol import Py4JError
 from pyspark.errors import AnalysisException, PySparkException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -77,20 +77,22 @@ def hollow_files(files: DataFrame) -> DataFrame:
     return files.sparkSession.createDataFrame(listed, "path string").join(files.select("path"), "path", "left_anti")
 
 
-PROBED_BYTES = 1 << 30  # a file up to this size is read as one value, a larger one by a scan of its own
+# a file up to this size is read as one value, which a task holds some five times; a larger one by a scan of its own
+PROBED_BYTES = 32 << 20
+PROBED_ROWS = 8192  # rows decoded at a time
 _PROBE = "path string, length long, status string, n_rows long, columns array<string>"
 
 
 def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Footer and a full read of each file, one row group in memory at a time."""
+    """Footer and a full read of each file, a bounded number of rows in memory at a time."""
     for batch in batches:
         for i in range(batch.num_rows):
             path, length, content = (batch.column(c)[i] for c in ("path", "length", "content"))
             status, n_rows, columns = "unreadable", 0, []
             try:
                 file = pq.ParquetFile(pa.BufferReader(content.as_buffer()))
-                for group in range(file.num_row_groups):
-                    n_rows += file.read_row_group(group).num_rows
+                for part in file.iter_batches(PROBED_ROWS, use_threads=False):
+                    n_rows += part.num_rows
                 status, columns = "with_data" if n_rows else "empty", file.schema_arrow.names
             except (pa.ArrowException, OSError, ValueError, EOFError):
                 n_rows = 0
@@ -102,11 +104,17 @@ def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _probe_by_scan(spark: SparkSession, path: str, length: int) -> tuple:
+    """As ``_probe``, by a scan that splits the file among the tasks."""
+    own = spark.newSession()
+    own.conf.set("spark.sql.legacy.parquet.nanosAsLong", "true")  # such a file is readable, whatever its times mean
+    own.conf.set("spark.sql.caseSensitive", "true")  # names that differ in case only are columns of their own
     try:
-        rows = spark.read.option("ignoreCorruptFiles", "false").parquet(path)
+        rows = own.read.option("ignoreCorruptFiles", "false").parquet(path)
+        seen = Observation()
         # every column is decoded, as a count alone would read the footer only
-        read = rows.agg(F.count("*").alias("n"), F.max(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns])).alias("h")).first()
-        return path, length, "with_data" if read["n"] else "empty", read["n"], rows.columns
+        rows.observe(seen, F.count(F.lit(1)).alias("n")).write.format("noop").mode("overwrite").save()
+        n = seen.get["n"]
+        return path, length, "with_data" if n else "empty", n, rows.columns
     except (PySparkException, Py4JError):
         return path, length, "unreadable", 0, []
 

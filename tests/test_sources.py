@@ -1,6 +1,10 @@
 import json
+import subprocess
+import sys
+from pathlib import Path
 
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,6 +69,36 @@ def test_damaged_files_are_counted_and_the_rest_is_read(spark, tmp_path, monkeyp
     assert sorted(column(rows, "id")) == list(range(6))
 
 
+@pytest.mark.parametrize("probed", [landed.PROBED_BYTES, 0])
+def test_files_of_maps_and_fine_times_are_readable(spark, tmp_path, monkeypatch, probed):
+    """Either way of reading decodes every kind of column."""
+    monkeypatch.setattr(landed, "PROBED_BYTES", probed)
+    table = pa.table({"at": pa.array([1, 2], pa.timestamp("ns")), "m": pa.array([[("a", 1)], []], pa.map_(pa.string(), pa.int64()))})
+    pq.write_table(table, tmp_path / "odd.parquet")
+    (found,) = landed.probe_files(spark, str(tmp_path)).collect()
+    assert (found.status, found.n_rows, found.columns) == ("with_data", 2, ["at", "m"])
+
+
+PROBE = """
+import sys, pyarrow as pa, pyarrow.parquet as pq
+from aeroquant.sources import landed
+content = open(sys.argv[1], "rb").read()
+batch = pa.RecordBatch.from_pydict({"path": ["p"], "length": pa.array([len(content)], pa.int64()), "content": [content]})
+(found,) = landed._probe(iter([batch]))
+print(found.to_pylist()[0]["n_rows"], pa.default_memory_pool().max_memory() >> 20)
+"""
+
+
+def test_a_probe_holds_few_rows_at_a_time(tmp_path):
+    """A row group that is large once decoded is read piece by piece."""
+    pq.write_table(pa.table({"t": ["x" * 1000] * 200_000}), tmp_path / "t.parquet", row_group_size=200_000, store_schema=False)
+    told = subprocess.run([sys.executable, "-c", PROBE, str(tmp_path / "t.parquet")], capture_output=True, text=True, check=True,
+                          cwd=Path(landed.__file__).parents[2])
+    n_rows, most = map(int, told.stdout.split())
+    assert n_rows == 200_000 and most < 50
+    assert landed.PROBED_BYTES <= 64 << 20  # the tasks of an executor hold such files at once
+
+
 def test_a_chunk_is_valid_by_its_own_columns(spark, tmp_path):
     """A column that is null in every row is there, one that the file lacks is not."""
     hours = spark.range(6).selectExpr("id", "cast(null as double) as cape")
