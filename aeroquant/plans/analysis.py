@@ -156,7 +156,7 @@ select airline, round(quantile_cont(flight_duration, 0.5), 6) as p50, round(quan
 union all select 'fallback', round(quantile_cont(flight_duration, 0.5), 6), round(quantile_cont(flight_duration, 0.9), 6),
   round(quantile_cont(l_extendedprice, 0.95), 6) from history_v""")
 def airline_quantiles(spark, sf_dir):
-    h = tables.history(spark, sf_dir)
+    h = tables.stored_history(spark, sf_dir, "airline", "flight_duration", "l_extendedprice")
     days, all_days = quantiles.quantiles_with_total(h, [], "airline", "flight_duration", [0.5, 0.9])
     prices, all_prices = quantiles.quantiles_with_total(h, [], "airline", "l_extendedprice", [0.95])
     per = days.select("airline", "q").join(prices.select("airline", F.col("q").alias("price")), "airline")
@@ -192,7 +192,7 @@ select 'flight_duration' as "column", round(median(flight_duration), 6) as media
 select 'l_extendedprice', round(median(l_extendedprice), 6) from history_v union all
 select 'l_discount', round(median(case when l_discount > 0.02 then l_discount end), 6) from history_v""")
 def impute_medians(spark, sf_dir):
-    h = tables.history(spark, sf_dir).select(
+    h = tables.stored_history(spark, sf_dir, "flight_duration", "l_extendedprice", "l_discount").select(
         "flight_duration", "l_extendedprice", F.when(F.col("l_discount") > 0.02, F.col("l_discount")).alias("l_discount"),
         F.lit(None).cast("double").alias("never_filled"),
     )
@@ -289,7 +289,7 @@ from v join e using (g) group by 1, 2"""
 
 
 def transformed(spark, sf_dir):
-    h = tables.history(spark, sf_dir)
+    h = tables.stored_history(spark, sf_dir, "firstSeen", "flight_duration")
     middle = quantiles.medians(h, [], "flight_duration", "med").select("med").scalar()
     anomaly = F.col("flight_duration") - middle
     return h.withColumn("anomaly", anomaly).withColumn("v", numbers.signed_log(numbers.clip(F.col("anomaly"), -60, 60)))

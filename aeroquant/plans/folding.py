@@ -28,11 +28,11 @@ foldrows as (select seg.*, f.fold, case when segment = f.fold then 'test' else '
 """
 
 
-def segmented(spark, sf_dir):
-    h = tables.history(spark, sf_dir)
-    k = settle(h.select("airline").distinct().withColumn("n_folds", F.lit(K)))
-    # read by several branches below, so cut once
-    return cut_lineage(split.fold_segments(h, ["airline"], tables.HISTORY_ORDER, k))
+def segmented(spark, sf_dir, *columns, key="airline"):
+    """Columns of the history with the segment of each row in its population."""
+    h = tables.stored_history(spark, sf_dir)  # ties are ranked by all columns
+    k = settle(h.select(key).distinct().withColumn("n_folds", F.lit(K)))
+    return split.fold_segments(h, [key], tables.HISTORY_ORDER, k).select(key, *columns, "segment", "n_folds")
 
 
 @query("chrono_split", f"""
@@ -52,7 +52,7 @@ select airline, cast(fold as int) as fold, count(*) filter (role = 'train') as n
   date_diff('day', min(firstSeen) filter (role = 'train'), max(firstSeen) filter (role = 'train')) as days_trained
 from foldrows group by airline, fold""")
 def walkforward_folds(spark, sf_dir):
-    spans = folds.fold_spans(segmented(spark, sf_dir), ["airline"])
+    spans = folds.fold_spans(segmented(spark, sf_dir, "firstSeen"), ["airline"])
     return spans.select("airline", "fold", "n_train", "n_test", *[us(c) for c in ("train_start", "train_end", "test_start", "test_end")],
                         F.col("days_trained").cast("bigint").alias("days_trained"))
 
@@ -60,7 +60,7 @@ def walkforward_folds(spark, sf_dir):
 @query("fold_roles", f"""
 with {SEGMENTS} select l_orderkey, l_linenumber, l_partkey, airline, cast(fold as int) as fold, role from foldrows""")
 def fold_roles(spark, sf_dir):
-    return split.expand_folds(segmented(spark, sf_dir)).select(*ROW, "airline", "fold", "role")
+    return split.expand_folds(segmented(spark, sf_dir, *ROW)).select(*ROW, "airline", "fold", "role")
 
 
 @query("fold_anomaly", f"""
@@ -68,7 +68,7 @@ with {SEGMENTS}, m as (select airline, fold, median(flight_duration) med from fo
 select l_orderkey, l_linenumber, l_partkey, airline, cast(fold as int) as fold, role, round(flight_duration - med, 6) as y
 from foldrows join m using (airline, fold)""")
 def fold_anomaly(spark, sf_dir):
-    s = segmented(spark, sf_dir)
+    s = cut_lineage(segmented(spark, sf_dir, *ROW, "flight_duration"))  # read by several branches, so cut once
     medians = folds.train_medians(s, ["airline"], "flight_duration")
     out = enrich.with_anomaly(split.expand_folds(s), medians, ["airline", "fold"], "train_median")
     return out.select(*ROW, "airline", "fold", "role", r6("anomaly", "y"))
@@ -87,9 +87,7 @@ g as (select fold, quantile_cont(y, 0.9) v from y where role = 'train' and airli
 select cast(y.fold as int) as fold, airline, role, count(*) as n, round(sum(coalesce(m.v, g.v)), 4) as sum_encoded, round(max(coalesce(m.v, g.v)), 6) as encoded
 from y left join m using (fold, airline) join g on g.fold = y.fold group by y.fold, airline, role""")
 def fold_target_encode(spark, sf_dir):
-    h = tables.history(spark, sf_dir)
-    k = settle(h.select("route").distinct().withColumn("n_folds", F.lit(K)))
-    s = cut_lineage(split.fold_segments(h, ["route"], tables.HISTORY_ORDER, k))
+    s = cut_lineage(segmented(spark, sf_dir, "airline", "flight_duration", key="route"))
     medians = folds.train_medians(s, ["route"], "flight_duration")
     rows = enrich.with_anomaly(split.expand_folds(s), medians, ["route", "fold"], "train_median")
     train = rows.where((F.col("role") == "train") & (F.col("airline") != "5-LOW"))
@@ -108,7 +106,8 @@ p as (select airline, fold, unnest([0.5, 0.9, 0.95]::double[]) quantile, unnest(
 t as (select y.airline, cast(y.fold as int) fold, p.quantile, y.y, p.prediction from y join p on p.airline = y.airline and p.fold = y.fold where role = 'test')
 {METRICS_SQL.format(keys='airline, fold, quantile', source='t')}""")
 def walkforward_baseline(spark, sf_dir):
-    out = training.walkforward_baseline(segmented(spark, sf_dir), ["airline"], plan.QUANTILES)
+    s = cut_lineage(segmented(spark, sf_dir, "flight_duration"))
+    out = training.walkforward_baseline(s, ["airline"], plan.QUANTILES)
     return out.select("airline", "fold", "quantile", "n_eval", *[r96(c) for c in metrics.BUNDLE])
 
 
@@ -122,8 +121,9 @@ select l_orderkey, l_linenumber, l_partkey, l_quantity, role, round(flight_durat
   round(coalesce(price, price_med), 6) as price, round(m.v, 6) as airline_encoded
 from t join m using (airline), med""")
 def preprocess_apply(spark, sf_dir):
-    h = tables.history(spark, sf_dir).withColumn("price", F.when(F.col("l_orderkey") % 7 != 0, F.col("l_extendedprice")))
-    rows = cut_lineage(split.chronological_split(h, ["route"], tables.HISTORY_ORDER))
+    kept = [*ROW, "l_quantity", "price", "route", "airline", "flight_duration"]
+    h = tables.stored_history(spark, sf_dir).withColumn("price", F.when(F.col("l_orderkey") % 7 != 0, F.col("l_extendedprice")))
+    rows = cut_lineage(split.chronological_split(h, ["route"], tables.HISTORY_ORDER).select(*kept, "role"))
     is_train = F.col("role") == "train"
     rows = enrich.with_anomaly(rows, plan.route_medians(rows.where(is_train), ["route"]), ["route"])
     fitted = preprocess.fit_preprocessor(rows.where(is_train), ["route"], ["price"], "anomaly", [0.9])
@@ -141,7 +141,8 @@ select route, airline as tier, n as n_rows, case when n >= 6300 then n_folds els
        when n_folds < 2 then 'Only ' || n_folds || ' complete calendar year(s); at least 2 are required.' end as reason
 from k""")
 def tier_report(spark, sf_dir):
-    report = training.tier_report(tables.history(spark, sf_dir), tables.HISTORY_ORDER, 6300)
+    h = tables.stored_history(spark, sf_dir, "route", "airline", *tables.HISTORY_ORDER)
+    report = training.tier_report(h, tables.HISTORY_ORDER, 6300)
     return report.where(F.col("tier") != training.POOLED).select("route", "tier", "n_rows", "n_folds", "trained", "reason")
 
 

@@ -14,8 +14,9 @@ from aeroquant.sources import sinks, tables
 
 def training_rows(spark, sf_dir):
     """Trips of several years with stand-in weather columns from the line items."""
-    h = tables.history(spark, sf_dir)
-    facts = [F.col(c) for c in ("l_quantity", "l_discount", "l_extendedprice")]
+    measures = ["l_quantity", "l_discount", "l_extendedprice"]
+    h = tables.stored_history(spark, sf_dir, *tables.HISTORY_ORDER, "flight_duration", "airline", "route", *measures)
+    facts = [F.col(c) for c in measures]
     filled = {}
     for i, c in enumerate(DEP_WEATHER + ARR_WEATHER):
         value = facts[i % 3].cast("double") * (i + 1)

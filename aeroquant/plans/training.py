@@ -48,14 +48,19 @@ def tiered(rows: DataFrame) -> DataFrame:
     return rows.withColumn("tier", F.explode(tiers))
 
 
-def split_report(rows: DataFrame, order: Sequence[str], min_rows: int) -> tuple[DataFrame, DataFrame]:
-    """(``tier_report``, the rows of all tiers with enough of them and their holdout role)."""
+def split_report(
+    rows: DataFrame, order: Sequence[str], min_rows: int, kept: Sequence[str] = ("*",)
+) -> tuple[DataFrame, DataFrame]:
+    """(``tier_report``, the rows of all tiers with enough of them and their holdout role).
+
+    Of the rows the ``kept`` columns are stored, among them those the report counts.
+    """
     keys = ["route", "tier"]
     all_rows = tiered(rows)
     sizes = settle(split.population_sizes(all_rows, keys).withColumnRenamed("n", "n_rows"))
     enough = sizes.where(F.col("n_rows") >= min_rows).select(*keys)
     # only tiers with enough rows are split, so small ones cannot fail the job
-    held = cut_lineage(split.chronological_split(all_rows.join(enough, keys, "left_semi"), keys, order))
+    held = cut_lineage(split.chronological_split(all_rows.join(enough, keys, "left_semi"), keys, order).select(*kept))
     counted = split.fold_counts(held.where(F.col("role") == "train"), keys)
     n_folds = F.coalesce("n_folds", F.lit(0))
     has_rows = F.col("n_rows") >= min_rows
@@ -75,7 +80,7 @@ def tier_report(rows: DataFrame, order: Sequence[str], min_rows: int = MIN_ROWS)
 
     Folds count the complete years of the training part of each tier.
     """
-    return split_report(rows.select("route", "airline", *order), order, min_rows)[0]
+    return split_report(rows.select("route", "airline", *order), order, min_rows, ["route", "tier", "role", "firstSeen"])[0]
 
 
 @dataclass(frozen=True)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from aeroquant.functions import numbers, text, times
 from aeroquant.schemas import WEATHER
+from aeroquant.session import cut_lineage
 
 TABLES = {
     "region": "r_regionkey int, r_name string",
@@ -118,5 +119,10 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stored_history(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Columns of ``history``, or all, joined once and stored, for what reads them several times."""
+    return cut_lineage(history(spark, sf_dir).select(*dict.fromkeys(columns or ["*"])))
+
+
 HISTORY_ORDER = ["firstSeen", "icao24", "lastSeen", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"]
 FLIGHT_ORDER = ["firstSeen", "icao24", "lastSeen", "callsign", "estDepartureAirport", "estArrivalAirport"]

@@ -90,3 +90,21 @@ def test_queries_read_the_given_tables(spark):
         q = entry.queries()[name]
         small, large = (sorted(map(str, q(spark, d).collect())) for d in (SF, "/root/testdata/sf0.01"))
         assert small and small != large
+
+
+@pytest.mark.parametrize("name", [
+    "walkforward_folds", "fold_target_encode", "walkforward_baseline", "fold_roles", "tier_report", "fold_anomaly", "preprocess_apply",
+    "airline_quantiles", "impute_medians", "histogram_by_month",
+])
+def test_the_history_is_joined_once(spark, monkeypatch, name):
+    """What reads the history several times reads it stored; its wide rows are shuffled once."""
+    from aeroquant.plans import catalog
+
+    made, real = [], tables.history
+    monkeypatch.setattr(tables, "history", lambda *a: made.append(real(*a)) or made[-1])
+    seen = []
+    store = tables.cut_lineage
+    monkeypatch.setattr(tables, "cut_lineage", lambda df, *a: seen.append(df) or store(df, *a))
+    out = catalog.QUERIES[name](spark, SF)
+    assert len(made) == len(seen) == 1
+    assert "lineitem" not in out._jdf.queryExecution().optimizedPlan().toString() and "orders.parquet" not in plan(out)
