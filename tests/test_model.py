@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from aeroquant.operators import boost
+from aeroquant.operators import boost, trees
 from aeroquant.operators.boost import SEARCH, BoostedModel, Params, QuantileBoostedTrees, add_bins, bin_edges, sample_candidates
 from aeroquant.operators.preprocess import fit_preprocessor
 from aeroquant.plans import training
@@ -85,6 +85,50 @@ def test_large_populations_grow_the_same_trees(spark, model, monkeypatch):
     assert trees_of(model) == trees_of(other) and any(any(t) for t in trees_of(model).values())
 
 
+def test_large_populations_keep_roles_and_gaps(spark, monkeypatch):
+    """A row of another role is scored only if it is asked for; gaps and null categories bin alike."""
+    def data():
+        x = F.array(F.when(F.col("id") % 7 == 0, float("nan")).otherwise(F.col("id") % 50), (F.col("id") * 37 % 101).cast("double"))
+        role = F.when(F.col("id") % 11 == 0, "late").when(F.col("id") % 13 == 0, F.lit(None)).when(F.col("id") % 5 == 0, "test").otherwise("train")
+        other = F.struct(F.lit("b").alias("fit"), F.when(F.col("id") < 300, "train").otherwise("test").alias("role"))
+        return spark.range(600).repartition(3).select(
+            F.lit("p").alias("pop"), F.col("id").alias("row"), F.xxhash64("id").alias("rid"), (F.col("id") * 31 % 97).cast("double").alias("y"),
+            x.alias("x"), F.when(F.col("id") % 9 != 0, F.concat(F.lit("c"), F.col("id") % 3)).alias("category"), F.lit("codes").alias("encode"),
+            F.array(F.struct(F.lit("a").alias("fit"), role.alias("role")), other).alias("fits"))
+
+    def outcome():
+        done = boost.Trainer(["pop"], [QUICK], (0.5, 0.9), center=True, impute=True, roles=("late", "test")).train(data())
+        told = done.where("row is not null").orderBy("fit", "quantile", "row").select("fit", "quantile", "row", "role", "y", "prediction").collect()
+        kept = done.where("trees is not null").orderBy("fit", "quantile").select("fit", "shift", "n_train", "fills", "codes", "base", "edges").collect()
+        return told, kept
+
+    near = outcome()
+    monkeypatch.setattr(boost, "LOCAL_ROWS", 10)
+    far = outcome()
+    assert near == far and {r.role for r in far[0] if r.fit == "a"} == {"late", "test"}
+
+
+def test_leaves_no_task_was_near_are_looked_for_again():
+    """Tasks whose rows differ tell other buckets; a second pass finds the value of all rows."""
+    rng = np.random.default_rng(1)
+    parts = [rng.uniform(0, 100, 40_000), rng.uniform(5000, 9000, 30_000), rng.uniform(-3000, -10, 9_000)]
+    turn = boost._Turn(0, 0, QUICK, 0.9, 0, {}, [])
+
+    def batch(y):
+        n, zeros = len(y), np.zeros(len(y), np.uint8)
+        row = (0, "", n, np.arange(n), y, zeros, zeros, np.zeros(n), np.arange(n))
+        return boost.pa.RecordBatch.from_pylist([{c: v.tobytes() if isinstance(v, np.ndarray) else v for c, v in zip(
+            [f.split()[0] for f in boost._BLOCK.split(", ")], row)}])
+
+    turns, wanted, passes = {(0, ""): [turn]}, None, 0
+    while wanted is None or wanted:
+        told = [b for y in parts for b in boost._add_leaves(turns, 0, 64, 1, wanted)(iter([batch(y)]))]
+        (found,) = boost._choose_leaves(turns)(boost.pa.Table.from_batches(told)).to_pylist()
+        wanted, passes = {} if found["value"] is not None else {(0, 0): {found["node"]: (found["low"], found["high"])}}, passes + 1
+    whole = np.concatenate(parts)
+    assert passes == 2 and found["value"] == trees.leaf_values(*trees.leaf_totals(whole, np.ones(len(whole), int)), 0.9)[1]
+
+
 def test_jobs_of_large_populations_follow_the_rounds(spark, monkeypatch):
     """Neither more populations nor more rows mean more jobs, and no plan explodes rows by feature."""
     monkeypatch.setattr(boost, "LOCAL_ROWS", 10)
