@@ -268,7 +268,8 @@ def fit_populations(rows: DataFrame, order: Sequence[str], fits: Sequence[str],
     )
     depth = max(p.max_depth for p in candidates)
     model = BoostedModel.of(done, [*group, *(["candidate"] if tuned else [])], [*MODEL_NUMERIC, CODED], MOST_BINS, depth)
-    scored = done.where(F.col("row").isNotNull()).select(*group, "role", "y", F.posexplode("prediction").alias("candidate", "prediction"))
+    scored = done.where(F.col("row").isNotNull()).select(*group, "role", "y", F.posexplode("prediction").alias("candidate", "prediction")) \
+        .where("prediction is not null")  # the candidates of a row may come apart
     model.scored = scored if tuned and chosen is None else scored.drop("candidate")
     return TrainedTiers(model, fitted, medians, report, chosen, fit_spans(data), candidate_table(data.sparkSession, candidates))
 
